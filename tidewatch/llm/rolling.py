@@ -67,22 +67,32 @@ class Fingerprints:
         return mix((self.sums[length:] - self.sums[:n]) * self.down[:n])
 
 
+#: Low bits of a packed key that hold the position; the fingerprint's other bits order. One fixed number everywhere, so that
+#: equal windows choose alike in every batch. Flat arrays are shorter than 2**POS_BITS symbols.
+POS_BITS = 28
+
+
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """For each window of `width` values the index of its least value, the leftmost of equal ones."""
+    """For each window of `width` fingerprints the index of its least one, the leftmost of equal ones."""
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    # The value's upper bits order; ties there are settled below by keeping the left one.
-    best = np.arange(len(values), dtype=np.int32)
-    span = 1
-    while span * 2 <= width:  # best of [i, i + span)
-        a, b = best[: len(best) - span], best[span:]
-        best = np.where(values[b] < values[a], b, a)
-        span *= 2
-    if span < width:
-        a, b = best[:n], best[width - span : width - span + n]
-        best = np.where(values[b] < values[a], b, a)
-    return best[:n].astype(np.int64)
+    low = U64((1 << POS_BITS) - 1)
+    key = (values & ~low) | np.arange(len(values), dtype=U64)
+    if width <= 32:
+        span = 1
+        while span * 2 <= width:
+            key = np.minimum(key[:-span], key[span:])
+            span *= 2
+        best = np.minimum(key[:n], key[width - span : width - span + n]) if span < width else key[:n]
+    else:  # least of each block's beginning and end
+        blocks = np.full(-(-len(key) // width) * width, ~U64(0))
+        blocks[: len(key)] = key
+        blocks = blocks.reshape(-1, width)
+        head = np.minimum.accumulate(blocks, axis=1).ravel()
+        tail = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+        best = np.minimum(tail[:n], head[width - 1 : width - 1 + n])
+    return (best & low).astype(np.int64)
 
 
 SEPARATOR = np.zeros(256, bool)
