@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import pieces, pii, quality, substring_dedup, suffix_dedup, token_counts
+from tidewatch.llm import decontaminate, html_extract, licenses, near_join, pieces, pii, quality, substring_dedup, suffix_dedup, token_counts
 from tidewatch.llm.base import table, text_of
 
 PIECE_MODEL, WORD_MODEL = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -32,6 +32,13 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document that holds a benchmark item: doc_id, n_hits, hits (item:start:end:edits, comma-joined)."""
+    found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).filter(F.size("hits") > 0)
+    row = lambda h: F.concat_ws(":", *[h[c].cast("string") for c in ("item_id", "start", "end", "edits")])
+    return found.select("doc_id", F.size("hits").cast("bigint").alias("n_hits"), F.array_join(F.transform("hits", row), ",").alias("hits"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path(PIECE_MODEL)
     encoded = pieces.decode_pieces(pieces.encode_pieces(table(spark, sf_dir, "documents"), path), path)
@@ -51,19 +58,33 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.near_join(table(spark, sf_dir, "documents"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_licenses, licenses (template:start:end:coverage in thousandths, comma-joined)."""
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    row = lambda m: F.concat_ws(":", m["license"], m["start"].cast("string"), m["end"].cast("string"), F.floor(m["coverage"] * 1000).cast("string"))
+    return found.select("doc_id", F.size("licenses").cast("bigint").alias("n_licenses"), F.array_join(F.transform("licenses", row), ",").alias("licenses"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("n_bytes", F.octet_length(text_of()).cast("bigint"))
     return token_counts.count_tokens(docs, tokenizer_path(WORD_MODEL), keep=("doc_id", "n_bytes")).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_pii": op1_pii,
-    "op2_substring_dedup": op2_substring_dedup,
-    "op4_sentencepiece": op4_sentencepiece,
-    "op5_suffix_dedup": op5_suffix_dedup,
-    "op6_quality_rules": op6_quality_rules,
-    "op9_token_counts": op9_token_counts,
-}
+    f.__name__: f
+    for f in (
+        op1_pii, op2_substring_dedup, op3_decontamination, op4_sentencepiece, op5_suffix_dedup,
+        op6_quality_rules, op7_near_join, op8_license_scan, op9_token_counts, op10_html_extract,
+    )
+}
 
 OP6_SQL = r"""
 WITH d AS (
