@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.anchors import _repeated, keyed, runs
@@ -309,3 +309,16 @@ def near_join(docs: DataFrame, threshold: float = THRESHOLD, gram: int = SHINGLE
     least_long = F.lit(-(2**63)).cast("bigint")
     class_id = F.coalesce("class_k", "k")
     return out.select("doc_id", F.when(class_id != least_long, class_id).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, gram: int = SHINGLE, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of docs, with their own columns, of which one document of each class stays: that of its least doc_id.
+
+    Of rows that share doc_id and text one stays. A class whose least doc_id is null keeps its rows without doc_id, one of
+    each text.
+    """
+    found = near_join(docs, threshold, gram, text, key)
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__kept")).distinct()
+    rows = docs.join(kept, F.col(key).cast("bigint").eqNullSafe(F.col("__kept")), "left_semi")
+    once = Window.partitionBy(F.col(key), F.xxhash64(F.col(text))).orderBy(F.lit(1))
+    return rows.withColumn("__nth", F.row_number().over(once)).filter("__nth = 1").select(*docs.columns)

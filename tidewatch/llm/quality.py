@@ -61,10 +61,13 @@ def dup_lines(text: Column) -> Column:
     return let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("bigint"))
 
 
-def rules(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id") -> DataFrame:
-    """key, host and the counts of every document."""
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def rule_columns(text: str = "text") -> Column:
+    """One struct of all counts of a document."""
     whole = text_of(text)
-    counts = let(
+    return let(
         whole,
         lambda t: F.struct(
             let(
@@ -76,14 +79,21 @@ def rules(docs: DataFrame, text: str = "text", host: str = "source", key: str =
             dup_lines(t).alias("n_dup_lines"),
         ),
     )
-    host_col = F.col(host) if host in docs.columns else F.lit(None).cast("string")
-    c = docs.select(F.col(key).alias("key"), host_col.cast("string").alias("host"), counts.alias("c"))
-    n, r = F.col("c.w.n_words"), F.col("c.w.n_repeat_words")
-    return c.select(
-        "key", "host", n.alias("n_words"), F.col("c.word_chars").alias("word_chars"), F.col("c.n_symbols").alias("n_symbols"),
-        F.col("c.n_dup_lines").alias("n_dup_lines"), r.alias("n_repeat_words"),
-        ((n < MIN_WORDS) | (100 * r > MAX_REPEAT_PERCENT * n)).alias("base_failed"),
-    )
+
+
+def failed(c: Column) -> Column:
+    return (c["w"]["n_words"] < MIN_WORDS) | (100 * c["w"]["n_repeat_words"] > MAX_REPEAT_PERCENT * c["w"]["n_words"])
+
+
+def host_of(docs: DataFrame, host: str) -> Column:
+    return (F.col(host) if host in docs.columns else F.lit(None)).cast("string")
+
+
+def rules(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id") -> DataFrame:
+    """key, host, the counts and base_failed of every document."""
+    c = docs.select(F.col(key).alias("key"), host_of(docs, host).alias("host"), rule_columns(text).alias("c"))
+    inner = {"n_words": F.col("c.w.n_words"), "n_repeat_words": F.col("c.w.n_repeat_words")}
+    return c.select("key", "host", *[inner.get(n, F.col(f"c.{n}")).alias(n) for n in COUNTS], failed(F.col("c")).alias("base_failed"))
 
 
 def host_verdicts(counts: DataFrame, host_rate: float = HOST_RATE) -> DataFrame:
@@ -109,3 +119,11 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", key
     counts = materialised(rules(docs, text, host, key))
     verdicts = host_verdicts(counts, host_rate).select(F.col("host").alias("h"), F.col("rate").alias("host_rate"), "host_failed")
     return counts.join(verdicts, F.col("host").eqNullSafe(F.col("h")), "left").drop("h").withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
+
+
+def quality_filter(docs: DataFrame, text: str = "text", host: str = "source", host_rate: float = HOST_RATE) -> DataFrame:
+    """The documents that pass, with their own columns: rows that fail a rule or whose host's shrunk failure rate is too high go."""
+    h, c = "__host", "__failed"
+    judged = materialised(docs.withColumns({h: host_of(docs, host), c: failed(rule_columns(text))}))
+    verdicts = host_verdicts(judged.select(F.col(h).alias("host"), F.col(c).alias("base_failed")), host_rate).filter("host_failed").select("host")
+    return judged.filter(~F.col(c)).join(verdicts, F.col(h).eqNullSafe(F.col("host")), "left_anti").select(*docs.columns)
