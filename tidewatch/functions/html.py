@@ -8,11 +8,14 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.functions.urls import normal, parse
 
-FACTS = (
-    "title string, meta_description string, canonical_raw array<string>, canonical_resolved array<string>, robots_meta array<string>, internal_links array<string>, internal_links_count bigint"
+_TEXTS = T.ArrayType(T.StringType())
+FACTS = T.StructType(
+    [T.StructField("title", T.StringType()), T.StructField("meta_description", T.StringType()), T.StructField("canonical_raw", _TEXTS), T.StructField("canonical_resolved", _TEXTS)]
+    + [T.StructField("robots_meta", _TEXTS), T.StructField("internal_links", _TEXTS), T.StructField("internal_links_count", T.LongType())]
 )
 SKIPPED = ("#", "mailto:", "tel:", "javascript:")
 
@@ -72,8 +75,7 @@ def extract_page(html: str | None, final_url: str) -> tuple:
 
 @F.pandas_udf(FACTS)
 def page_facts(html: pd.Series, final_url: pd.Series) -> pd.DataFrame:
-    names = [f.split()[0] for f in FACTS.split(", ")]
-    return pd.DataFrame([extract_page(h, u) for h, u in zip(html, final_url, strict=True)], columns=names)
+    return pd.DataFrame([extract_page(h, u) for h, u in zip(html, final_url, strict=True)], columns=FACTS.names)
 
 
 def is_html(content_type: Column) -> Column:

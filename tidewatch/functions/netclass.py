@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Address blocks and their classes, in the order in which they are tried.
 IPV4_BLOCKS = (
@@ -52,7 +53,7 @@ def classify(literal: str | None) -> str | None:
     return PUBLIC
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def address_class(literals: pd.Series) -> pd.Series:
     return literals.map(classify)
 

@@ -7,8 +7,11 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-PARSED = "groups array<struct<agents:array<string>,rules:array<struct<allow:boolean,path:string>>>>, sitemaps array<string>"
+_RULE = T.StructType([T.StructField("allow", T.BooleanType()), T.StructField("path", T.StringType())])
+_GROUP = T.StructType([T.StructField("agents", T.ArrayType(T.StringType())), T.StructField("rules", T.ArrayType(_RULE))])
+PARSED = T.StructType([T.StructField("groups", T.ArrayType(_GROUP)), T.StructField("sitemaps", T.ArrayType(T.StringType()))])
 
 
 def parse_robots(text: str | None) -> tuple[list[dict], list[str]]:

@@ -6,6 +6,7 @@ import xml.etree.ElementTree as ET
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_LOC = 8192
 
@@ -27,6 +28,6 @@ def parse_sitemap(xml: str | None) -> tuple[str, list[str]]:
     return "UNKNOWN", []
 
 
-@F.pandas_udf("kind string, urls array<string>")
+@F.pandas_udf(T.StructType([T.StructField("kind", T.StringType()), T.StructField("urls", T.ArrayType(T.StringType()))]))
 def sitemap_facts(xml: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_sitemap(x) for x in xml], columns=["kind", "urls"])

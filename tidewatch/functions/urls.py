@@ -12,6 +12,7 @@ from urllib.parse import quote, unquote_to_bytes, urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.functions.netclass import PUBLIC, classify
 
@@ -148,12 +149,12 @@ def safety(url: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def identity_any(urls: pd.Series, bases: pd.Series) -> pd.Series:
     return pd.Series([normal(u, b or None) for u, b in zip(urls, bases, strict=True)], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def safety_any(urls: pd.Series) -> pd.Series:
     return urls.map(safety)
 

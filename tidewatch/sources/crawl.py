@@ -15,27 +15,27 @@ from tidewatch.sources.tables import load
 RUNS = 4
 
 _OBSERVED = r"""
-p AS (
+obs_p AS (
   SELECT page_id, {host} AS project_id, regexp_replace(url, '#.*$', '') AS identity_url, {title} AS html_title, {links} AS n_links FROM {pages}
 ),
-h AS (SELECT *, min(page_id) OVER (PARTITION BY project_id) AS hn FROM p),
-w AS (
-  SELECT h.*, CAST(run_no AS BIGINT) AS run_no, concat(project_id, '#', CAST(run_no AS {string})) AS run_id,
+obs_h AS (SELECT *, min(page_id) OVER (PARTITION BY project_id) AS hn FROM obs_p),
+obs_w AS (
+  SELECT obs_h.*, CAST(run_no AS BIGINT) AS run_no, concat(project_id, '#', CAST(run_no AS {string})) AS run_id,
     concat(project_id, CASE WHEN hn % 13 = 0 AND run_no >= 3 THEN '@2' ELSE '@1' END) AS policy_id,
     CASE WHEN (hn + run_no) % 6 = 0 AND page_id % 3 = 0 THEN 'NETWORK_ERROR'
       WHEN (hn + run_no * 2) % 11 = 0 AND page_id % 4 = 1 THEN 'SECURITY_BLOCKED'
       WHEN (page_id * 7 + run_no * 3) % 40 = 0 THEN 'ROBOTS_BLOCKED' ELSE 'HTTP_RESPONSE' END AS fetch_outcome
-  FROM h {runs} WHERE (page_id + run_no) % 23 <> 0
+  FROM obs_h {runs} WHERE (page_id + run_no) % 23 <> 0
 ),
-s AS (
+obs_s AS (
   SELECT *, CASE WHEN fetch_outcome <> 'HTTP_RESPONSE' THEN NULL WHEN (page_id * 11 + run_no * 5) % 30 = 0 THEN 404
       WHEN (page_id * 11 + run_no * 5) % 30 = 1 THEN 410 WHEN (page_id * 11 + run_no * 5) % 30 = 2 THEN 503
       WHEN (page_id * 11 + run_no * 5) % 30 = 3 THEN 301 ELSE 200 END AS initial_status
-  FROM w
+  FROM obs_w
 ),
-v AS (
+obs_v AS (
   SELECT *, CASE WHEN fetch_outcome <> 'HTTP_RESPONSE' THEN 'UNKNOWN' WHEN initial_status = 200 THEN 'KNOWN' ELSE 'NOT_APPLICABLE' END AS validity,
-    (page_id * 13 + run_no) % 19 AS canonical_kind FROM s
+    (page_id * 13 + run_no) % 19 AS canonical_kind FROM obs_s
 ),
 obs AS (
   SELECT project_id, run_no, run_id, policy_id, page_id, identity_url, fetch_outcome, initial_status, validity,
@@ -47,7 +47,7 @@ obs AS (
     CASE WHEN validity <> 'KNOWN' THEN NULL ELSE canonical_kind END AS canonical_kind,
     CASE WHEN validity <> 'KNOWN' THEN NULL WHEN (page_id * 5 + run_no) % 13 = 0 THEN 'DISALLOWED' ELSE 'ALLOWED' END AS robots_index,
     CASE WHEN validity <> 'KNOWN' THEN NULL ELSE n_links + CASE WHEN page_id % 5 = 0 THEN run_no % 2 ELSE 0 END END AS internal_links_count
-  FROM v
+  FROM obs_v
 )"""
 
 SPARK = {
@@ -60,7 +60,7 @@ DUCK = {
     "links": "len(list_distinct(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)))",
     "string": "VARCHAR", "runs": ", unnest([1, 2, 3, 4]) AS t(run_no)", "pages": "pages",
 }
-#: CTEs p to obs for the oracle.
+#: CTEs obs_p to obs for the oracle.
 OBSERVED_SQL = _OBSERVED.format(**DUCK)
 FIELDS = ("title", "metaDescription", "canonical", "robots", "internalLinksCount")
 BAD_CANONICAL, OTHER_CANONICAL = "::bad::", "https://other.example/x"
