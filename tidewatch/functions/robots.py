@@ -44,7 +44,7 @@ def pattern_regex(pattern: Column) -> Column:
     """A rule's pattern as a regular expression: * any run, a last $ the end, else a prefix."""
     anchored = pattern.endswith("$")
     body = F.when(anchored, F.substring(pattern, F.lit(1), F.length(pattern) - 1)).otherwise(pattern)
-    parts = F.transform(F.split(body, r"\*"), lambda p: F.concat(F.lit(r"\Q"), F.regexp_replace(p, r"\\E", r"\\\\E\\\\\\\\E\\\\Q"), F.lit(r"\E")))
+    parts = F.transform(F.split(body, r"\*"), lambda p: F.regexp_replace(p, r"([\\.\[\]{}()+?^$|&~#-])", r"\\$1"))
     return F.concat(F.lit("(?s)^"), F.array_join(parts, ".*"), F.when(anchored, "$").otherwise(""))
 
 
