@@ -263,3 +263,36 @@ def test_completeness_cascade(spark, case):
     base["forced_failure" if case[0] == "forced" else case[0]] = case[1]
     df = spark.createDataFrame([tuple(base.values())], "forced_failure string, cancelled boolean, http_count int, security_blocked boolean, body_exceeded boolean, limit_reached boolean, unrecovered boolean")
     assert publish.completeness(df).collect()[0].status == case[2]
+
+
+def test_crawl_loop(spark):
+    from tidewatch.operators.crawl import crawl
+
+    link = lambda *to: "<title>t</title>" + "".join(f'<a href="{t}">x</a>' for t in to)
+    site = {"/": link("/a", "/blocked"), "/a": link("/b", "/missing"), "/b": link("/"), "/blocked": link(), "/pdf": "x"}
+    rows = [(f"https://s.example{p}", 200, "application/pdf" if p == "/pdf" else "text/html", None, [], b) for p, b in site.items()]
+    responses = spark.createDataFrame(rows, "url string, status int, content_type string, x_robots_tag string, redirects array<string>, body string")
+    rules = spark.createDataFrame([("s.example", "/blocked", False)], "host string, rule_path string, allow boolean")
+    seeds = spark.createDataFrame([("r", "https://s.example/"), ("r", "https://s.example/pdf")], "run_id string, url string")
+    done, state = crawl(seeds, responses, rules)
+    got = {r.url.removeprefix("https://s.example"): (r.fetch_outcome, r.depth, r.field_validity["title"]) for r in done.collect()}
+    assert got == {
+        "/": ("HTTP_RESPONSE", 0, "KNOWN"), "/pdf": ("HTTP_RESPONSE", 0, "NOT_APPLICABLE"), "/a": ("HTTP_RESPONSE", 1, "KNOWN"), "/blocked": ("ROBOTS_BLOCKED", 1, "UNKNOWN"),
+        "/b": ("HTTP_RESPONSE", 2, "KNOWN"), "/missing": ("NETWORK_ERROR", 2, "UNKNOWN"),
+    }
+    assert [(r.observed, r.limit_reached) for r in state.collect()] == [(6, False)]
+    assert [(r.observed, r.limit_reached) for r in crawl(seeds, responses, rules, max_pages=2)[1].collect()] == [(2, True)]
+
+
+def test_response_bodies(spark):
+    import gzip
+    import zlib
+
+    from tidewatch.sources.responses import BODY_CAP, config, decode_body, decoded
+
+    cases = [(b"x", None), (gzip.compress(b"abc"), "gzip"), (zlib.compress(b"abc"), "deflate"), (b"zz", "gzip"), (None, None)]
+    rows = spark.createDataFrame(cases, "b binary, e string").select(decode_body("b", "e").alias("d")).collect()
+    assert [(None if r.d.body is None else bytes(r.d.body), r.d.outcome) for r in rows] == [(b"x", "OK"), (b"abc", "OK"), (b"abc", "OK"), (None, "NETWORK_ERROR"), (None, "NETWORK_ERROR")]
+    assert decoded(gzip.compress(b"0" * (BODY_CAP + 1)), "gzip", BODY_CAP)[1] == "BODY_TOO_LARGE"
+    with pytest.raises(ValueError):
+        config({"NODE_ENV": "production"})

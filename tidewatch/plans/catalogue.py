@@ -556,3 +556,18 @@ def write_relations(spark, sf_dir):
     o = observations(spark, sf_dir)
     pages = o.filter("run_no = 1").select("project_id", "page_id", F.col("run_id").alias("first_seen_run_id"), F.col("run_id").alias("last_seen_run_id"))
     return writes.upsert_pages(pages, o.filter("run_no = 2").select("project_id", "page_id", "run_id"), ["project_id", "page_id"])
+
+
+@query
+def crawl_run(spark, sf_dir):
+    """Every page of every host as a seed, its robots rules, one level of discovery; fetch outcomes per host."""
+    from tidewatch.operators.crawl import crawl
+    from tidewatch.sources.responses import responses
+
+    answered = responses(load(spark, sf_dir, "pages"))
+    seeds = answered.select(urls.host_of(F.col("url")).alias("run_id"), "url")
+    rules = seeds.select(F.col("run_id").alias("host")).distinct().select("host", F.lit("/en/").alias("rule_path"), F.lit(False).alias("allow"))
+    done, _ = crawl(seeds, answered, rules, max_depth=0)
+    return done.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("observed"), F.count_if(F.col("fetch_outcome") == "HTTP_RESPONSE").alias("answered"), F.count_if(F.col("fetch_outcome") == "ROBOTS_BLOCKED").alias("blocked"), F.count("title").alias("titled")
+    )

@@ -246,3 +246,6 @@ ORACLES: dict[str, str] = {
 ORACLES["frontier_bfs"] = f"""WITH RECURSIVE t AS (SELECT {_HOST} AS scope, row_number() OVER (PARTITION BY {_HOST} ORDER BY page_id) - 1 AS n FROM pages),
   b AS (SELECT scope, n AS node, 0 AS depth FROM t WHERE n = 0 UNION ALL SELECT t.scope, t.n, depth + 1 FROM b JOIN t ON t.scope = b.scope AND t.n > 0 AND (t.n - 1) // 3 = b.node WHERE depth < 3)
   SELECT scope, node, depth FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY depth, node) AS k FROM b) WHERE k <= 20"""
+ORACLES["crawl_run"] = f"""WITH p AS (SELECT DISTINCT {_HOST} AS host, {_IDENTITY} AS u FROM pages)
+  SELECT host AS run_id, count(*) AS observed, count(*) FILTER (NOT regexp_matches(u, '^[a-z]+://[^/]+/en/')) AS answered, count(*) FILTER (regexp_matches(u, '^[a-z]+://[^/]+/en/')) AS blocked,
+    count(*) FILTER (NOT regexp_matches(u, '^[a-z]+://[^/]+/en/')) AS titled FROM p GROUP BY host"""
