@@ -291,7 +291,8 @@ def near_join(docs: DataFrame, threshold: float = THRESHOLD, gram: int = SHINGLE
     groups = materialised(sets.select("node", "k", "rid", "copies", "n").join(groups, "node"))
     blocks = groups.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
     members = groups.join(blocks, "root").select("k", "rid", "root", "node", "copies", "blocks")
-    found = rows.join(members, ["k", "rid"]).select("root", "node", "copies", "blocks", "text")
+    # A merge join at every size: the texts are shuffled once, whether or not the groups would fit a broadcast just now.
+    found = rows.join(members.hint("merge"), ["k", "rid"]).select("root", "node", "copies", "blocks", "text")
     found = found.mapInArrow(_sets(gram), "root bigint, node bigint, copies bigint, blocks int, grams binary")
     side = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # A set of block s goes to each pair of blocks with s: part (lower, higher); one block: part 0.
@@ -319,6 +320,6 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, gram: int = SHINGLE,
     """
     found = near_join(docs, threshold, gram, text, key)
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, F.col(key).cast("bigint").eqNullSafe(F.col("__kept")), "left_semi")
+    rows = docs.join(kept.hint("merge"), F.col(key).cast("bigint").eqNullSafe(F.col("__kept")), "left_semi")
     once = Window.partitionBy(F.col(key), F.xxhash64(F.col(text))).orderBy(F.lit(1))
     return rows.withColumn("__nth", F.row_number().over(once)).filter("__nth = 1").select(*docs.columns)
