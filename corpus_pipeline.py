@@ -29,8 +29,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return found.filter(F.size("hits") == 0).select(*docs.columns)
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns), out="__hits")
+    return found.filter(F.size("__hits") == 0).select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

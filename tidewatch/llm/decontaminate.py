@@ -6,8 +6,8 @@ diagonal bands; bands that reach the bound are verified by banded alignment, the
 e is RATE of the item's length, lowered where the bound would fall below one shared q-gram. Characters are compared in
 lower case, and every white-space character as a space; places are code points of the text itself.
 
-The items are sent to the workers in blocks of at most BLOCK characters (checked), one pass over the documents per block;
-benchmarks are small, so that is one block. Documents are never shuffled.
+The items are sent to the workers in blocks of about BLOCK characters at most (their size is checked), one pass over the
+documents per block, written out in between; a benchmark is small, so that is one block. Documents are never shuffled.
 
 Defined results: a null text is empty; items that are null or empty match nothing; items shorter than q characters are
 looked for exactly; repeated items each count; repeated rows each get a row; a null doc_id is kept; extra columns are
@@ -16,12 +16,14 @@ ignored; an empty benchmark or table finds nothing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.base import map_batches, text_of
+from tidewatch.llm.base import map_batches, materialised, text_of
 from tidewatch.llm.rolling import mix
 
 Q, RATE = 10, 0.08
@@ -174,16 +176,21 @@ HITS = "array<struct<item_id:bigint,start:bigint,end:bigint,edits:bigint>>"
 _HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())]))
 
 
-def item_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> list[list[tuple[int, str]]]:
-    """All items, in blocks of about BLOCK characters at most; only one block is fetched at a time by the caller's pass."""
+def item_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> tuple[int, Callable[[int], list[tuple[int, str]]]]:
+    """The number of blocks of about BLOCK characters at most, and a function that fetches one of them."""
     rows = benchmark.select(F.col(item).cast("bigint").alias("i"), text_of(text).alias("t"))
     total = rows.agg(F.sum(F.length("t")).alias("n")).collect()[0].n or 0
-    n = max(1, -(-total * 2 // BLOCK) if total > BLOCK else 1)
-    return [sorted((r.i if r.i is not None else -1, r.t) for r in (rows if n == 1 else rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)).collect()) for b in range(n)]
+    n = -(-2 * total // BLOCK) if total > BLOCK else 1
+
+    def fetch(b: int) -> list[tuple[int, str]]:
+        own = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
+        return sorted((-1 if r.i is None else r.i, r.t) for r in own.collect())
+
+    return n, fetch
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns named in keep and hits (item_id, start, end, edits) of every row."""
+def find_contamination(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "hits") -> DataFrame:
+    """The columns named in keep and out, the hits (item_id, start, end, edits) of every row; out must not be one of keep."""
     rows = docs.select(*[F.col(c) for c in keep], text_of(text).alias("__text"))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
     rest = [f.name for f in rows.schema if f.name != "__text"]
@@ -196,16 +203,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate:
                 items.append(Items(block, q, rate))
             found = items[0].search(batch.column("__text").to_pylist())
             cells = [[{"item_id": items[0].ids[k], "start": s, "end": t, "edits": e} for k, s, t, e in x] for x in found]
-            if "hits" in rest:  # an earlier block's
-                cells = [a + b for a, b in zip(batch.column("hits").to_pylist(), cells, strict=True)]
-            cols = {n: batch.column(n) for n in batch.schema.names} | {"hits": pa.array(cells, _HITS)}
-            names = [*[n for n in rest if n != "hits"], *(["__text"] if more else []), "hits"]
+            if out in rest:  # an earlier block's
+                cells = [a + b for a, b in zip(batch.column(out).to_pylist(), cells, strict=True)]
+            cols = {n: batch.column(n) for n in batch.schema.names} | {out: pa.array(cells, _HITS)}
+            names = [*[n for n in rest if n != out], *(["__text"] if more else []), out]
             return pa.RecordBatch.from_arrays([cols[n] for n in names], names=names)
 
-        return map_batches(rows, searched, f"{ddl}{', __text string' if more else ''}, hits {HITS}")
+        return map_batches(rows, searched, f"{ddl}{', __text string' if more else ''}, `{out}` {HITS}")
 
-    blocks = item_blocks(benchmark)
-    for n, block in enumerate(blocks):
-        more = n + 1 < len(blocks)
-        rows = one(block, rows, rest if n == 0 else [*rest, "hits"], more)
+    n, fetch = item_blocks(benchmark)
+    for b in range(n):
+        more = b + 1 < n
+        rows = one(fetch(b), rows, rest if b == 0 else [*rest, out], more)
+        if more:  # one block at a time on the driver and in the plan
+            rows = materialised(rows)
     return rows

@@ -104,11 +104,12 @@ def host_verdicts(counts: DataFrame, host_rate: float = HOST_RATE) -> DataFrame:
     over (a + b = 10^6). rate = (failed + a) / (n + a + b).
     """
     hosts = counts.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("bigint")).alias("failed"))
-    prior = hosts.agg(F.avg(F.col("failed") / F.col("n")).alias("m"), F.coalesce(F.var_pop(F.col("failed") / F.col("n")), F.lit(0.0)).alias("v"))
-    weight = F.when(F.col("v") <= 1e-12, F.lit(1e6)).otherwise(F.greatest(F.lit(1.0), F.least(F.lit(1e6), F.col("m") * (1 - F.col("m")) / F.col("v") - 1)))
-    prior = prior.select("m", weight.alias("weight"))  # one row
-    rate = (F.col("failed") + F.col("m") * F.col("weight")) / (F.col("n") + F.col("weight"))
-    return hosts.join(F.broadcast(prior)).select("host", "n", "failed", rate.alias("rate"), (rate > host_rate).alias("host_failed"))
+    rate = F.col("failed") / F.col("n")
+    found = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v")).collect()[0]  # two numbers
+    m, v = found.m or 0.0, found.v or 0.0
+    weight = 1e6 if v <= 1e-12 else max(1.0, min(1e6, m * (1 - m) / v - 1))
+    shrunk = (F.col("failed") + m * weight) / (F.col("n") + weight)
+    return hosts.select("host", "n", "failed", shrunk.alias("rate"), (shrunk > host_rate).alias("host_failed"))
 
 
 def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", host_rate: float = HOST_RATE) -> DataFrame:
@@ -125,5 +126,5 @@ def quality_filter(docs: DataFrame, text: str = "text", host: str = "source", ho
     """The documents that pass, with their own columns: rows that fail a rule or whose host's shrunk failure rate is too high go."""
     h, c = "__host", "__failed"
     judged = materialised(docs.withColumns({h: host_of(docs, host), c: failed(rule_columns(text))}))
-    verdicts = host_verdicts(judged.select(F.col(h).alias("host"), F.col(c).alias("base_failed")), host_rate).filter("host_failed").select("host")
-    return judged.filter(~F.col(c)).join(verdicts, F.col(h).eqNullSafe(F.col("host")), "left_anti").select(*docs.columns)
+    verdicts = host_verdicts(judged.select(F.col(h).alias("host"), F.col(c).alias("base_failed")), host_rate).filter("host_failed").select(F.col("host").alias("__bad"))
+    return judged.filter(~F.col(c)).join(verdicts, F.col(h).eqNullSafe(F.col("__bad")), "left_anti").select(*docs.columns)
