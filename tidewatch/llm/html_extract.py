@@ -50,7 +50,7 @@ LABELLED = (
     '<section class="related recommended promo newsletter subscribe"><h3>read next</h3><p>p q r</p></section><form class="signup"><label>your mail</label><button>send it</button></form></body>',
     '<body><div class="alert notification popup modal overlay">sale today only</div><div class="ads advert advertisement sponsor sponsored banner-ad adsbygoogle">cheap things here</div><main>[[<h1>one two</h1>'
     "<p>three <em>four</em> <a>five</a></p><div><p>six seven eight</p></div><dl><dt>nine</dt><dd>ten</dd></dl>]]</main>"
-    '<div class="share social sharing toolbar">tweet pin mail</div><div id="disqus_thread" class="disqus discussion replies reply respond">u v w</div></body>',
+    '<div class="share social sharing toolbar">tweet pin mail</div><div class="pagination pager">1 2 3 next</div><div class="search login skip-link">find log in</div><div class="disclaimer paywall cta warning">terms apply here</div><div id="disqus_thread" class="disqus discussion replies reply respond">u v w</div></body>',
     '<body><div class="topbar masthead">a b c</div><div class="wrapper container"><div class="menu">d e f</div>[[<article class="post hentry"><h1>one</h1><p>two three four</p>]]'
     '<form><select><option>g h i</option></select><input><textarea>j k l</textarea></form><aside>m n o p</aside><div class="ad">q r s</div><div class="comments">t u v</div></article></div>'
     "<noscript>turn on scripts</noscript><dialog>ok go away</dialog><menu><li>x y</li></menu></body>",
