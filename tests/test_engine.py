@@ -296,3 +296,22 @@ def test_response_bodies(spark):
     assert decoded(gzip.compress(b"0" * (BODY_CAP + 1)), "gzip", BODY_CAP)[1] == "BODY_TOO_LARGE"
     with pytest.raises(ValueError):
         config({"NODE_ENV": "production"})
+
+
+def test_small_relations(spark):
+    u = spark.createDataFrame([("https://A.example/x#y", "a.example"), ("https://b.example/", "a.example")], "u string, h string").select(urls.same_host_identity(F.col("u"), F.col("h"))).collect()
+    assert [x[0] for x in u] == ["https://a.example/x", None]
+    s = spark.range(1).select(urls.sitemap_sources(F.array(F.lit("a"), F.lit("a")), F.lit("o")), urls.addresses(F.lit(None).cast("array<string>"), F.array(F.lit("::1")))).collect()[0]
+    assert s[0] == ["a", "o/sitemap.xml"] and s[1] == ["::1"]
+    f = spark.createDataFrame([("r", "PENDING", dt.datetime(2026, 1, 2)), ("r", "PENDING", dt.datetime(2026, 1, 1)), ("r", "DONE", None)], "run_id string, state string, next_attempt_at timestamp_ntz")
+    assert frontier.earliest_retry(f).collect()[0].next_attempt_at == dt.datetime(2026, 1, 1)
+    assert (frontier.state_counts(f).collect()[0].pending, frontier.state_counts(f).collect()[0].done) == (2, 1)
+    n = spark.createDataFrame([("a", 2), ("b", 3)], "run_id string, deleted long")
+    assert operations.prune_counters(n, n).collect()[0].deleted == 10
+    m = spark.createDataFrame([("w", "OWNER"), ("w", "ADMIN")], "workspace_id string, role string")
+    assert control.owners(m).collect()[0].owners == 1
+    e = spark.createDataFrame([([("password", "string", "x"), ("a", "string", "b")],)], "e array<struct<key:string,kind:string,value:string>>")
+    row = e.select(writes.audit_row(F.lit("u"), F.lit("act"), F.col("e"), F.lit("2026-01-01").cast("timestamp")).alias("r")).collect()[0].r
+    assert row.details == {"a": "b"}
+    ok = spark.createDataFrame([("GET", "https://evil"), ("POST", None), ("POST", "https://me"), ("POST", "https://evil"), ("post", "null")], "m string, o string")
+    assert [r[0] for r in ok.select(control.same_origin(F.col("m"), F.col("o"), F.lit("https://me"))).collect()] == [True, True, True, False, False]

@@ -171,3 +171,20 @@ def valid_hostname(raw: Column) -> Column:
     """A project's host name: trimmed, lower case, without a trailing dot; null if it is none."""
     h = F.rtrim(F.lower(F.trim(raw)), F.lit("."))
     return F.when(h.rlike(r"^(?=.{1,253}$)([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z][a-z0-9-]*[a-z0-9]$") & ~h.endswith(".localhost"), h)
+
+
+def same_host_identity(url: Column, host: Column) -> Column:
+    """Identity of a plain http(s) URL on that host, else null."""
+    i = identity(url)
+    return F.when(host_of(i) == F.lower(host), i)
+
+
+def sitemap_sources(declared: Column, origin: Column) -> Column:
+    """Sitemaps that robots.txt names, then the customary one; each once, in that order."""
+    return F.array_distinct(F.concat(F.coalesce(declared, F.array().cast("array<string>")), F.array(F.concat(origin, F.lit("/sitemap.xml")))))
+
+
+def addresses(v4: Column, v6: Column) -> Column:
+    """All addresses of a host."""
+    none = F.array().cast("array<string>")
+    return F.concat(F.coalesce(v4, none), F.coalesce(v6, none))

@@ -95,3 +95,18 @@ def suppress(issues: DataFrame, issue_id: str, until: Column) -> DataFrame:
 def archive(projects: DataFrame, project_id: str, now: Column) -> DataFrame:
     hit = (F.col("project_id") == project_id) & F.col("archived_at").isNull()
     return projects.withColumn("archived_at", F.when(hit, now).otherwise(F.col("archived_at")))
+
+
+def memberships(members: DataFrame, users: DataFrame, workspaces: DataFrame) -> DataFrame:
+    """Memberships with their user and workspace."""
+    return members.join(users, "user_id").join(workspaces, "workspace_id")
+
+
+def invitations(invited: DataFrame, workspaces: DataFrame, now: Column) -> DataFrame:
+    """Invitations with their workspace and present state."""
+    state = invitation_state(F.col("revoked_at"), F.col("consumed_at"), F.col("expires_at"), now)
+    return invited.join(workspaces, "workspace_id").withColumn("state", state)
+
+
+def owners(members: DataFrame) -> DataFrame:
+    return members.groupBy("workspace_id").agg(F.count_if(F.col("role") == "OWNER").alias("owners"))

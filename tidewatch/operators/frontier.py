@@ -144,3 +144,13 @@ def capped(outcome: Column, body: Column, cap: int) -> Column:
 def paced(frontier: DataFrame, scope: str = "run_id", interval_ms: int = 1000) -> DataFrame:
     """Earliest start of each fetch, in ms after the run's: one request per interval and host."""
     return frontier.withColumn("start_ms", (F.row_number().over(Window.partitionBy(scope).orderBy("depth", "url_key")) - 1) * interval_ms)
+
+
+def earliest_retry(frontier: DataFrame) -> DataFrame:
+    """When the next pending row of each run may be tried again."""
+    return frontier.filter("state = 'PENDING' and next_attempt_at is not null").groupBy("run_id").agg(F.min("next_attempt_at").alias("next_attempt_at"))
+
+
+def state_counts(frontier: DataFrame) -> DataFrame:
+    """Rows of each run's frontier by state."""
+    return frontier.groupBy("run_id").agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("state") == s).alias(s.lower()) for s in ("PENDING", "FETCHING", "DONE", "FAILED")])

@@ -162,3 +162,16 @@ def create_crawl(requests: DataFrame) -> DataFrame:
         .when(~c("has_policy"), "NO_POLICY").when(c("active"), "ALREADY_ACTIVE").when(c("runs_today") >= DAILY_MANUAL_RUNS, "DAILY_LIMIT")
         .when(c("seconds_since_last") < MANUAL_SPACING_S, "SPACING"),
     )
+
+
+def prune_counters(*counts: DataFrame) -> DataFrame:
+    """Rows deleted in all, over the per-run counts of several tables."""
+    out = counts[0].select("deleted")
+    for c in counts[1:]:
+        out = out.union(c.select("deleted"))
+    return out.agg(F.coalesce(F.sum("deleted"), F.lit(0)).alias("deleted"))
+
+
+def stale_transitions(transitions: DataFrame, now: Column, days: int = RETENTION_DAYS) -> DataFrame:
+    """Transitions that go by age alone."""
+    return transitions.filter(seconds(F.col("created_at")) < seconds(now) - days * DAY_S)

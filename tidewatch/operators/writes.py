@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.codec import redact
+
 
 def insert_new(existing: DataFrame, new: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """Rows of new to append: those whose key is not there yet, one per key (the first by order)."""
@@ -70,3 +72,8 @@ def envelope(data: Column, request_id: Column) -> Column:
 def error_status(code: Column) -> Column:
     """HTTP status of an error's class."""
     return F.when(code == "UNIQUE_VIOLATION", 409).when(code == "ROW_MISSING", 404).when(code == "INVALID_INPUT", 400).otherwise(500)
+
+
+def audit_row(actor: Column, action: Column, details: Column, now: Column) -> Column:
+    """An audit entry; its details are redacted before they are kept."""
+    return F.struct(actor.alias("actor_id"), action.alias("action"), redact(details).alias("details"), now.alias("created_at"))
