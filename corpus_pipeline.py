@@ -40,9 +40,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' other columns, n_tokens, ids and decoded."""
-    path = tokenizer_path(PIECE_MODEL)
     rest = tuple(c for c in docs.columns if c not in ("text", "n_tokens", "ids", "decoded"))
-    out = pieces.decode_pieces(pieces.encode_pieces(docs, path, keep=rest), path)
+    out = pieces.encode_pieces(docs, tokenizer_path(PIECE_MODEL), keep=rest, decoded="decoded")
     return out.select(*rest, F.size("ids").cast("bigint").alias("n_tokens"), "ids", "decoded")
 
 

@@ -36,6 +36,8 @@ def test_pieces_equal_the_library(spark, docs):
     for r in rows:
         want = sp.encode(every[r.spans] or "")
         assert r.ids == want and r.decoded == sp.decode(want)
+    both = pieces.encode_pieces(docs, path, keep=("spans",), decoded="decoded")
+    assert sorted(map(str, both.collect())) == sorted(map(str, rows))
     assert pieces.encode_pieces(docs.limit(0), path).count() == 0
 
 

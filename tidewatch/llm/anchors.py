@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,15 +122,26 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(held[1]), pa.array(held[2]), pa.array(held[0])], names=names)
 
 
-def repeated_anchors(rows: DataFrame, copies: DataFrame, found: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+def portions(batch: pa.RecordBatch, limit: int | None, text: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts hold about limit bytes (one text at least); bounds the arrays made of them."""
+    if limit is None or batch.num_rows < 2:
+        if batch.num_rows:
+            yield batch
+        return
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.flatnonzero(runs(sizes // limit)).tolist() + [batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(a, b - a)]) for c in batch.columns], names=batch.schema.names)
+
+
+def repeated_anchors(rows: DataFrame, copies: DataFrame, found: Callable[[pa.RecordBatch], pa.RecordBatch], limit: int | None = None) -> DataFrame:
     """k, rid, hs (fingerprints of the anchors of that row that occur again); found: batch of rows -> anchor_rows()."""
     limits(rows.sparkSession)
     sources = rows.join(copies.filter(~F.col("first")).select("k", "rid"), ["k", "rid"], "left_anti").select("doc_id", "k", "rid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield found(batch)
+            yield from map(found, portions(batch, limit))
 
     hits = sources.mapInArrow(run, ANCHORS).repartition("route").sortWithinPartitions("route").mapInArrow(_repeated, "k bigint, rid bigint, h bigint")
     return hits.groupBy("k", "rid").agg(F.collect_list("h").alias("hs"))

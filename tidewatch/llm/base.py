@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -25,8 +28,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema) -> DataFrame:
-    """Arrow batches through a function, one at a time."""
+def release() -> None:
+    """Gives freed memory back to the system: workers stay alive between stages and count against their executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema, after: Callable[[], None] | None = None) -> DataFrame:
+    """Arrow batches through a function, one at a time; after is called when a task's batches are through."""
     limits(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,6 +45,9 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | I
             if batch.num_rows:
                 out = fn(batch)
                 yield from ([out] if isinstance(out, pa.RecordBatch) else out)
+        if after:
+            after()
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.anchors import _repeated, keyed, runs
-from tidewatch.llm.base import limits, materialised
+from tidewatch.llm.base import limits, materialised, release
 from tidewatch.llm.components import components
 from tidewatch.llm.rolling import BASES, Fingerprints, flat_texts, mix, word_bounds
 
@@ -97,6 +97,7 @@ def _sketched(gram: int, minima: int):
                  pa.array([r.tobytes() for r in out], pa.binary())],
                 names=["doc_id", "k", "rid", "n", "d1", "d2", "minima"],
             )
+        release()
 
     return run
 

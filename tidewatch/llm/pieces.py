@@ -23,7 +23,8 @@ from tidewatch.llm.base import map_batches, text_of
 
 SPACE = "▁"
 WORD = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-CACHE = 500_000
+#: Words kept in a worker's cache before it is emptied; bounds memory, not results.
+CACHE = 120_000
 LONG = 48
 NONE = np.int32(2**31 - 1)
 
@@ -196,19 +197,25 @@ def _ddl(rows: DataFrame, without: tuple[str, ...]) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in without)
 
 
-def encode_pieces(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns named in keep and ids (array of int) of every whole text, without begin or end ids."""
+def encode_pieces(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: str | None = None) -> DataFrame:
+    """The columns named in keep and ids (array of int) of every whole text, without begin or end ids.
+
+    With decoded, a column of that name has the text decoded from those ids: the same as decode_pieces() afterwards, with
+    one worker per task instead of two.
+    """
     rows = docs.select(*[F.col(c) for c in keep], text_of(text).alias("__text"))
 
     def encoded(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = model(path).encode(batch.column("__text").to_pylist())
         offsets = np.zeros(len(found) + 1, np.int32)
         np.cumsum([len(b) // 4 for b in found], out=offsets[1:])
-        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
+        flat = np.frombuffer(b"".join(found), np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
         rest = [c for c in batch.schema.names if c != "__text"]
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), ids], names=[*rest, "ids"])
+        more = [pa.array(model(path).decode(flat, offsets.astype(np.int64)), pa.string())] if decoded else []
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), ids, *more], names=[*rest, "ids", *([decoded] if decoded else [])])
 
-    return map_batches(rows, encoded, f"{_ddl(rows, ('__text',))}, ids array<int>")
+    return map_batches(rows, encoded, f"{_ddl(rows, ('__text',))}, ids array<int>{f', `{decoded}` string' if decoded else ''}", after=lambda: model(path).cache.clear())
 
 
 def decode_pieces(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

@@ -40,8 +40,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path(PIECE_MODEL)
-    encoded = pieces.decode_pieces(pieces.encode_pieces(table(spark, sf_dir, "documents"), path), path)
+    encoded = pieces.encode_pieces(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL), decoded="decoded")
     return encoded.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
@@ -116,4 +115,29 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source, p
 """
 
-ORACLES: dict[str, str] = {"op6_quality_rules": OP6_SQL}
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"
+
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g FROM d, unnest(range(1, len(w) - 18)) AS u(i) WHERE len(w) >= 20),
+dup AS (SELECT doc_id, i FROM g QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM dup, unnest(range(0, 20)) AS u(k)),
+word AS (SELECT doc_id, p, w[p] AS word FROM d, unnest(range(1, len(w) + 1)) AS u(p)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+OP7_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM d, unnest(range(1, len(w) - 3)) AS u(i) WHERE len(w) >= 5
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4
+),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 9 * shared >= 4 * (a.n + b.n)),
+r(x, y) AS (SELECT x, y FROM link UNION SELECT r.x, link.y FROM r JOIN link ON r.y = link.x)
+SELECT doc_id, least(doc_id, coalesce((SELECT min(y) FROM r WHERE x = doc_id), doc_id)) AS class_id, (SELECT count(*) FROM link WHERE x = doc_id) AS n_links FROM documents
+"""
+
+ORACLES: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op6_quality_rules": OP6_SQL, "op7_near_join": OP7_SQL}

@@ -27,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.anchors import anchor_rows, keyed, packed, repeated_anchors, runs, whole_copies
+from tidewatch.llm.anchors import anchor_rows, keyed, portions, repeated_anchors, runs, whole_copies
 from tidewatch.llm.base import limits
 from tidewatch.llm.rolling import BASES, Fingerprints, flat_texts, sliding_argmin
 
 WINDOW, GRAM = 400, 64
 SAMPLE, LEADING = 8192, 32
+#: Bytes of text worked on at once: each takes some 80 bytes of arrays.
+PORTION = 1 << 20
 
 
 class Bytes:
@@ -69,11 +71,9 @@ def _suffixes(window: int, gram: int, splitters: np.ndarray):
     distance from a string's start to the anchor. Kind 1: a range [near, far) of bytes that the batch already answers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in portions(whole, PORTION)):
             k, rid = batch.column("k").to_numpy(), batch.column("rid").to_numpy()
-            hs = np.unique(batch.column("hs").values.to_numpy().view(np.uint64))
+            hs = np.unique(batch.column("hs").flatten().to_numpy().view(np.uint64))
             w = Bytes(batch.column("text").to_pylist(), window, gram)
             head = np.flatnonzero(runs(w.anchor, w.doc))
             tail = np.append(head[1:], len(w.anchor)) - 1
@@ -267,7 +267,7 @@ def dedup_suffixes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text
     rows = keyed(docs, text, key)
     copies = whole_copies(rows)
     splitters = sampled_splitters(rows, 16 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(LEADING, gram))
-    hits = repeated_anchors(rows, copies, _found(window, gram))
+    hits = repeated_anchors(rows, copies, _found(window, gram), PORTION)
     suffixes = rows.join(hits, ["k", "rid"]).select("doc_id", "k", "rid", "text", "hs").mapInArrow(_suffixes(window, gram, splitters), SUFFIXES)
     ranges = suffixes.repartition("route").sortWithinPartitions("route").mapInArrow(_sorted(window), "k bigint, rid bigint, lo int, hi int")
     ranges = ranges.groupBy("k", "rid").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
