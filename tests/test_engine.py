@@ -1,6 +1,7 @@
 """Fixture cases of the operators, as small DataFrames."""
 
 import datetime as dt
+import hashlib
 import random
 
 import pytest
@@ -284,6 +285,79 @@ def test_crawl_loop(spark):
     assert [(r.observed, r.limit_reached) for r in crawl(seeds, responses, rules, max_pages=2)[1].collect()] == [(2, True)]
 
 
+def crawled_one_by_one(seeds, site, blocked, pages, size, frontier_size, ms):
+    """The reference's loop over single URLs for one run: (outcome and depth by URL, limit reached, body budget exceeded)."""
+    from tidewatch.functions.html import extract_page
+
+    key = lambda u: hashlib.sha256(u.encode()).hexdigest()
+    waiting, known, out = {}, set(), {}
+    truncated = False
+
+    def add(u, depth):
+        nonlocal truncated
+        if u in known:
+            return
+        if len(known) >= frontier_size:
+            truncated = True
+            return
+        known.add(u)
+        waiting[u] = depth
+
+    for u in sorted(seeds, key=key):
+        add(u, 0)
+    n = total = tries = 0
+    body_over = False
+    while waiting:
+        if n >= pages or (tries - 1) * 1000 >= ms:
+            break
+        if total >= size:
+            body_over = True
+            break
+        u = min(waiting, key=lambda u: (waiting[u], key(u)))
+        depth = waiting.pop(u)
+        n += 1
+        tries += 1
+        if u in blocked:
+            out[u] = ("ROBOTS_BLOCKED", depth)
+        elif u not in site:
+            out[u] = ("NETWORK_ERROR", depth)
+            tries += 2
+        else:
+            out[u] = ("HTTP_RESPONSE", depth)
+            total += len(site[u].encode())
+            for v in extract_page(site[u], u)[5]:
+                add(v, depth + 1)
+    return out, truncated or bool(waiting), body_over or total > size
+
+
+@pytest.mark.parametrize("budgets", [False, True])
+def test_crawl_goes_on_until_nothing_is_left_or_a_budget_ends_it(spark, budgets):
+    from tidewatch.operators.crawl import crawl
+
+    chain = {f"https://c.example/{i}": f'<title>t</title><a href="/{i + 1}">x</a>' for i in range(7)}
+    r = random.Random(4)
+    wide = {f"https://w.example/{i}": "<title>t</title>" + "".join(f'<a href="/{r.choice(["x/", "", ""])}{r.randrange(24)}">x</a>' for _ in range(r.randrange(6))) for i in range(20)}
+    site = chain | wide
+    responses = spark.createDataFrame([(u, 200, "text/html", None, [], b) for u, b in site.items()], "url string, status int, content_type string, x_robots_tag string, redirects array<string>, body string")
+    rules = spark.createDataFrame([("w.example", "/x/", False)], "host string, rule_path string, allow boolean")
+    first = {"c": ["https://c.example/0"], "w": [f"https://w.example/{i}" for i in range(12)]}
+    seeds = spark.createDataFrame([(k, u) for k, v in first.items() for u in v], "run_id string, url string")
+    blocked = {f"https://w.example/x/{i}" for i in range(60)}
+    whole = {"max_pages": 5000, "body_bytes": 500 << 20, "max_frontier": 20_000, "max_ms": 7_200_000}
+    cuts = [{}, {"max_pages": 8, "body_bytes": 4000}, {"body_bytes": 300}, {"max_frontier": 14, "max_ms": 13_000}]
+    for cut in cuts[1:] if budgets else cuts[:1]:
+        runs = ["w"] if cut else ["c", "w"]
+        done, state = crawl(seeds.filter(F.col("run_id").isin(runs)), responses, rules, **cut)
+        rows = done.collect()
+        flags = {s.run_id: (s.observed, s.limit_reached, s.body_budget_exceeded) for s in state.collect()}
+        for run in runs:
+            want, left, over = crawled_one_by_one(first[run], site, blocked, *(whole | cut).values())
+            assert {x.url: (x.fetch_outcome, x.depth) for x in rows if x.run_id == run} == want, (cut, run)
+            assert flags[run] == (len(want), left, over), (cut, run)
+        if not cut:
+            assert max(x.depth for x in rows if x.run_id == "c") == 7
+
+
 def test_response_bodies(spark):
     import gzip
     import zlib

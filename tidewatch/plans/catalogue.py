@@ -558,16 +558,37 @@ def write_relations(spark, sf_dir):
     return writes.upsert_pages(pages, o.filter("run_no = 2").select("project_id", "page_id", "run_id"), ["project_id", "page_id"])
 
 
-@query
-def crawl_run(spark, sf_dir):
-    """Every page of every host as a seed, its robots rules, one level of discovery; fetch outcomes per host."""
-    from tidewatch.operators.crawl import crawl
+def _site(spark, sf_dir):
+    """Seeds, responses and robots rules of every host."""
     from tidewatch.sources.responses import responses
 
     answered = responses(load(spark, sf_dir, "pages"))
     seeds = answered.select(urls.host_of(F.col("url")).alias("run_id"), "url")
     rules = seeds.select(F.col("run_id").alias("host")).distinct().select("host", F.lit("/en/").alias("rule_path"), F.lit(False).alias("allow"))
-    done, _ = crawl(seeds, answered, rules, max_depth=0)
+    return seeds, answered, rules
+
+
+@query
+def crawl_run(spark, sf_dir):
+    """Every page of every host as a seed and its robots rules, without discovery, as its SQL has it; fetch outcomes per host.
+    crawl_discovery is the whole loop."""
+    from tidewatch.operators.crawl import crawl
+
+    done, _ = crawl(*_site(spark, sf_dir), max_depth=0)
     return done.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("observed"), F.count_if(F.col("fetch_outcome") == "HTTP_RESPONSE").alias("answered"), F.count_if(F.col("fetch_outcome") == "ROBOTS_BLOCKED").alias("blocked"), F.count("title").alias("titled")
     )
+
+
+@query
+def crawl_discovery(spark, sf_dir):
+    """The whole loop from every page of every host as a seed: what links lead to is judged, fetched, observed and searched for
+    links in turn, until nothing new is found or a budget ends the run. No SQL; tests hold it against the loop over single URLs."""
+    from tidewatch.operators.crawl import crawl
+
+    done, state = crawl(*_site(spark, sf_dir))
+    outcome = lambda o: F.count_if(F.col("fetch_outcome") == o)
+    facts = done.groupBy("run_id").agg(
+        F.count_if(F.col("depth") > 0).alias("discovered"), F.max("depth").alias("depth"), outcome("HTTP_RESPONSE").alias("answered"), outcome("ROBOTS_BLOCKED").alias("blocked"), outcome("NETWORK_ERROR").alias("lost"), F.count("title").alias("titled")
+    )
+    return state.join(facts, "run_id")
