@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions import urls
+
 # Order of seed sources; sitemap budgets; redirects.
 SOURCES = ("ENTRY", "MONITORED", "SITEMAP", "LINK")
 SITEMAP_DEPTH, SITEMAP_DOCUMENTS, SITEMAP_URLS = 3, 20, 20_000
@@ -75,15 +77,19 @@ def breadth_first(start: DataFrame, links: DataFrame, depth: int, limit: int | N
 
 
 def sitemap_walk(roots: DataFrame, documents: DataFrame, depth: int = SITEMAP_DEPTH, max_documents: int = SITEMAP_DOCUMENTS, max_urls: int = SITEMAP_URLS) -> tuple[DataFrame, DataFrame]:
-    """(urls: scope, url; state: scope, documents, truncated). documents: url, kind, urls.
+    """(urls: scope, url; state: scope, documents, truncated). roots: scope, root and, where it is not the root's, host;
+    documents: url, kind, urls.
 
     A scope fetches documents in (level, position) order until max_documents (the root counts) and takes URLs in the order
-    of those documents until max_urls; indexes below the last level are not opened. Anything left out sets truncated.
+    of those documents until max_urls. The root is level 0 and level `depth` is the last one opened. Documents and URLs of
+    other hosts are passed over and use up no budget. Anything else left out sets truncated.
     """
-    level = roots.select("scope", F.col("root").alias("url"), F.array(F.lit(0)).alias("place"))
+    at_home = lambda url: (urls.host_of(url) == F.col("host")) & ((F.col("host") == "") | url.rlike("(?i)^https?://"))
+    host = F.lower("host") if "host" in roots.columns else urls.host_of(F.col("root"))
+    level = roots.select("scope", F.col("root").alias("url"), F.array(F.lit(0)).alias("place"), host.alias("host")).filter(at_home(F.col("url")))
     fetched = None
     cut = roots.select("scope", F.lit(False).alias("cut")).limit(0)
-    for d in range(depth):
+    for d in range(depth + 1):
         seen = None if fetched is None else fetched.select("scope", "url")
         fresh = level.dropDuplicates(["scope", "url"]) if seen is None else level.dropDuplicates(["scope", "url"]).join(seen, ["scope", "url"], "left_anti")
         used = None if fetched is None else fetched.groupBy("scope").agg(F.count(F.lit(1)).alias("__used"))
@@ -91,11 +97,13 @@ def sitemap_walk(roots: DataFrame, documents: DataFrame, depth: int = SITEMAP_DE
         ranked = ranked.withColumn("__used", F.lit(0)) if used is None else ranked.join(used, "scope", "left").fillna(0, ["__used"])
         open_ = F.col("__n") + F.col("__used") <= max_documents
         cut = cut.union(ranked.filter(~open_).select("scope", F.lit(True)))
-        got = kept(ranked.filter(open_).select("scope", "url", "place").join(documents, "url", "left").withColumn("level", F.lit(d)))
+        got = kept(ranked.filter(open_).select("scope", "url", "place", "host").join(documents, "url", "left").withColumn("level", F.lit(d)))
         fetched = got if fetched is None else fetched.unionByName(got)
-        level = got.filter("kind = 'INDEX'").select("scope", "place", F.posexplode("urls").alias("i", "url")).select("scope", "url", F.concat("place", F.array("i")).alias("place"))
+        under = got.filter("kind = 'INDEX'").select("scope", "place", "host", F.posexplode("urls").alias("i", "url")).filter(at_home(F.col("url")))
+        level = under.select("scope", "url", F.concat("place", F.array("i")).alias("place"), "host")
     cut = cut.union(level.join(fetched.select("scope", "url"), ["scope", "url"], "left_anti").select("scope", F.lit(True)))
-    locs = fetched.filter("kind = 'URLSET'").select("scope", "level", "place", F.posexplode("urls").alias("i", "loc"))
+    locs = fetched.filter("kind = 'URLSET'").select("scope", "level", "place", "host", F.posexplode("urls").alias("i", "loc")).filter(at_home(F.col("loc")))
+    locs = locs.withColumn("loc", F.coalesce(urls.same_host_identity(F.col("loc"), F.col("host")), "loc"))
     first = locs.withColumn("__d", F.row_number().over(Window.partitionBy("scope", "loc").orderBy("level", "place", "i"))).filter("__d = 1")
     placed = first.withColumn("__n", F.row_number().over(Window.partitionBy("scope").orderBy("level", "place", "i")))
     cut = cut.union(placed.filter(F.col("__n") > max_urls).select("scope", F.lit(True)))
