@@ -3,11 +3,13 @@
 A document's words (lower case, without outer punctuation) are compared with each template. Regions that hold enough of a
 template's words are aligned: anchors are words unique to both region and template, the longest increasing subsequence of
 their places (patience piles) is kept, and the gaps between anchors are aligned in the same way; a gap without anchors is
-matched by its equal beginning and end. Coverage is the share of the template's words that are matched.
+matched by its equal beginning and end. Coverage is the share of the template's words that are matched. The words that tell
+a license from its kin (name and version, KEYS) must be matched besides, each phrase without a word in between.
 
 Defined results: a null or empty text has no licenses; repeated rows each get a row; extra columns are ignored; of
 overlapping matches the one with more matched words stays (ties: higher coverage, then the template's name); an empty table
-gives no rows; texts are scanned whole.
+gives no rows; texts are scanned whole. Versions 3 and 3.0 are the same. A statement that names no single license ("the BSD
+License") is none.
 """
 
 from __future__ import annotations
@@ -41,6 +43,26 @@ TEMPLATES = {
         "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
         "and/or other materials provided with the distribution."
     ),
+    "BSD-2-Clause/line": "Licensed under the BSD 2-Clause License.",
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution. "
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission."
+    ),
+    "BSD-3-Clause/line": "Licensed under the BSD 3-Clause License.",
+    "AGPL-3.0/line": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "CC-BY-4.0/short": "Licensed under CC BY 4.0.",
+    "CC-BY-NC-ND-4.0/line": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-NC-SA-4.0/line": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-ND-4.0/line": "Licensed under CC BY-ND 4.0.",
+    "CC0-1.0/line": "Released under CC0 1.0.",
+    "CC0-1.0/notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "GPL-2.0/line": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1/line": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0/line": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "CC-BY-4.0/line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0/line": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0/line": "Licensed under CC BY-SA 4.0.",
@@ -69,6 +91,33 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
+_GPL = TEMPLATES["GPL-3.0/notice"]
+TEMPLATES |= {
+    "AGPL-3.0/notice": _GPL.replace("GNU General", "GNU Affero General"),
+    "GPL-2.0/notice": _GPL.replace("version 3", "version 2"),
+    "LGPL-2.1/notice": _GPL.replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1"),
+    "LGPL-3.0/notice": _GPL.replace("GNU General", "GNU Lesser General"),
+}
+#: Phrases that must be matched whole, by template; texts without a name of their own are told apart by their conditions.
+KEYS = {
+    "AGPL-3.0/line": ("gnu affero general public license version 3",), "AGPL-3.0/notice": ("gnu affero general public license", "version 3"),
+    "Apache-2.0/line": ("apache license version 2.0",), "Apache-2.0/notice": ("apache license version 2.0",),
+    "BSD-2-Clause/line": ("bsd 2-clause",), "BSD-3-Clause": ("endorse or promote products derived from",), "BSD-3-Clause/line": ("bsd 3-clause",),
+    "CC-BY-4.0/line": ("creative commons attribution 4.0",), "CC-BY-4.0/short": ("cc by 4.0",), "CC-BY-NC-4.0/line": ("cc by-nc 4.0",), "CC-BY-NC-ND-4.0/line": ("cc by-nc-nd 4.0",),
+    "CC-BY-NC-SA-4.0/line": ("cc by-nc-sa 4.0",), "CC-BY-ND-4.0/line": ("cc by-nd 4.0",), "CC-BY-SA-4.0/line": ("cc by-sa 4.0",),
+    "CC0-1.0/line": ("cc0 1.0",), "CC0-1.0/notice": ("waived all copyright",),
+    "GPL-2.0/line": ("gnu general public license version 2",), "GPL-2.0/notice": ("gnu general public license", "version 2"),
+    "GPL-3.0/line": ("gnu general public license version 3",), "GPL-3.0/notice": ("gnu general public license", "version 3"),
+    "ISC": ("provided that the above copyright notice",),
+    "LGPL-2.1/line": ("gnu lesser general public license version 2.1",), "LGPL-2.1/notice": ("gnu lesser general public license", "version 2.1"),
+    "LGPL-3.0/line": ("gnu lesser general public license version 3",), "LGPL-3.0/notice": ("gnu lesser general public license", "version 3"),
+    "MIT/line": ("mit license",), "MPL-2.0": ("mozilla public license v 2.0",), "Unlicense": ("unencumbered software", "public domain"),
+}
+
+
+def words_of(text: str) -> list[str]:
+    return [w.lower().removesuffix(".0") for w in WORD.findall(text)]
+
 
 def increasing(values: list[int]) -> list[int]:
     """Places of a longest strictly increasing subsequence, by patience piles."""
@@ -120,24 +169,34 @@ def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], coverage: float):
+    def __init__(self, templates: dict[str, str], coverage: float, keys: dict[str, tuple[str, ...]] = KEYS):
         self.coverage = coverage
         self.templates = []
         for name, text in sorted(templates.items()):
-            words = [w.lower() for w in WORD.findall(text)]
+            words = words_of(text)
             if words:
-                self.templates.append((name, words, frozenset(words), -(-len(words) * int(coverage * 1000) // 1000)))
+                phrases = [words_of(k) for k in keys.get(name, ())]
+                places = [[range(j, j + len(p)) for j in range(len(words)) if words[j : j + len(p)] == p] for p in phrases]
+                named = frozenset(w for p in phrases for w in p)
+                self.templates.append((name, words, frozenset(words), -(-len(words) * int(coverage * 1000) // 1000), named, places))
+
+    @staticmethod
+    def names(pairs: list[tuple[int, int]], places: list[list[range]]) -> bool:
+        """Whether each phrase is matched at one of its places in the template, by words in a row."""
+        at = {j: i for i, j in pairs}
+        whole = lambda p: p[0] in at and all(at.get(j) == at[p[0]] + j - p[0] for j in p)
+        return all(any(map(whole, ps)) for ps in places)
 
     def scan(self, text: str) -> list[tuple[int, int, str, float]]:
         """(start, end, template, coverage) in code points of the text, by start."""
         spans = [m.span() for m in WORD.finditer(text)]
-        words = [w.lower() for w in WORD.findall(text)]
+        words = words_of(text)
         there = set(words)
         found = []
-        for name, own, distinct, least in self.templates:
+        for name, own, distinct, least, named, places in self.templates:
             # every matched word is one of these, so fewer distinct ones cannot cover enough
             both = distinct & there
-            if sum(w in both for w in own) < least:
+            if not named <= there or sum(w in both for w in own) < least:
                 continue
             hit = np.fromiter((w in both for w in words), np.int64, len(words))
             sums = np.append(0, np.cumsum(hit))
@@ -153,7 +212,7 @@ class Scanner:
                     if not hit[begin] or end - begin < least:
                         break
                     pairs = aligned(words[begin : min(begin + width, end)], own)
-                    if len(pairs) >= least:
+                    if len(pairs) >= least and self.names(pairs, places):
                         a, z = begin + pairs[0][0], begin + pairs[-1][0]
                         found.append((len(pairs), len(pairs) / len(own), name, a, z + 1))
                         at = z + 1
