@@ -103,12 +103,15 @@ def more_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
         return []
     out = []
     for kind, pattern in (("iban", IBAN), ("ssn", SSN), ("tel", TEL)):
-        for m in pattern.finditer(text):
+        after = 0
+        while m := pattern.search(text, after):
             a, b = m.span()
+            after = b
             if kind == "iban":
                 while b - a >= 15 and not mod97(text[a:b]):  # a following capital word may have been taken along
                     cut = text.rfind(" ", a, b)
                     b = cut if cut > a else a
+                after = b if b - a >= 15 else a + 1  # what was cut off may begin another
                 if b - a < 15:
                     continue
             elif kind == "ssn" and (m[0][:3] in ("000", "666") or m[0][0] == "9" or m[0][4:6] == "00" or m[0][7:] == "0000"):
