@@ -65,6 +65,43 @@ def test_words_against_brute_force(spark):
         assert got == brute_words(rows, 6)
 
 
+def test_passages_shorter_than_the_window_are_counted(spark):
+    for seed, words in ((7, ["ab", "a", "b"]), (8, [f"w{i}" for i in range(300)]), (9, ["é", "\x00", "z"])):
+        rows = corpus(seed, words)
+        df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+        got = {r.doc_id: r for r in dedup_suffixes(df, window=30, gram=6, report=14).collect()}
+        assert {k: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for k, r in got.items()} == brute_bytes(rows, 30)
+        short = brute_bytes(rows, 14)
+        assert {k: r.n_shared for k, r in got.items()} == {k: v[1] for k, v in short.items()}
+        assert all(r.longest_shared <= r.n_shared <= r.longest_shared * max(1, short[k][2]) and r.n_removed <= r.n_shared for k, r in got.items())
+
+
+def test_passages_of_over_fifty_words_are_seen(spark):
+    """Planted passages of 51 to 60 words with production parameters: removed from 400 bytes on, counted at every length."""
+    r = random.Random(10)
+    fresh = lambda n, longest=9: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(1, longest))) for _ in range(n))
+    planted = [fresh(r.randint(51, 60), (5, 9, 14)[i % 3]) for i in range(30)]
+    rows = [(i, f"{fresh(40)} {p} {fresh(30)}") for i, p in enumerate(planted + planted)] + [(100 + i, fresh(100)) for i in range(30)]
+    got = {x.doc_id: x for x in dedup_suffixes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert {k: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for k, x in got.items()} == brute_bytes(rows, 400)
+    sizes = [len(p) for p in planted]
+    assert min(sizes) < 230 and max(sizes) > 400 and sum(n < 390 for n in sizes) >= 15  # most hold no repeated string of 400 bytes
+    for i, p in enumerate(planted):
+        for d in (i, 30 + i):
+            assert got[d].longest_shared >= len(p) and (got[d].n_removed > 0 or len(p) < 400)
+    assert all(got[100 + i].n_shared == 0 for i in range(30))
+
+
+def test_words_that_collide_in_power_sums_stay_apart(spark):
+    """Words whose polynomial fingerprints modulo 2**64 are equal for every odd base."""
+    t = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    other = t.translate(str.maketrans("ab", "ba"))
+    own = " ".join(f"v{i}" for i in range(19))
+    rows = [(1, f"p {own} {t} q"), (2, f"r {own} {other} s")]
+    got = {x.doc_id: x.n_removed for x in dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0}
+
+
 def test_bytes_against_brute_force(spark):
     for seed, words in ((4, ["ab", "a", "b"]), (5, [f"w{i}" for i in range(300)]), (6, ["é", "\x00", "z"])):
         rows = corpus(seed, words)

@@ -36,7 +36,9 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema, after: Callable[[], None] | None = None) -> DataFrame:
+def map_batches(
+    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema, after: Callable[[], None] | None = None
+) -> DataFrame:
     """Arrow batches through a function, one at a time; after is called when a task's batches are through."""
     limits(df.sparkSession)
 
@@ -55,26 +57,70 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | I
 def arrow_schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return to_arrow_schema(T._parse_datatype_string(ddl)) if not ddl.startswith("struct") else to_arrow_schema(T._parse_datatype_string(ddl))
+    return to_arrow_schema(T._parse_datatype_string(ddl))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The folder all executors share, from spark.checkpoint.dir. Only a local master, where driver and executors are one
+    process, may go without: then a temporary folder is made and set."""
     there = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not there and (now := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         there = now.get()
     if not there:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         there = f"file://{tempfile.mkdtemp(prefix='tidewatch-')}"
         spark.sparkContext.setCheckpointDir(there)
     return there.rstrip("/")
 
 
+def _files(spark: SparkSession, path: str):
+    """The path and its file system, as the JVM has them."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there, there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialised(df: DataFrame) -> DataFrame:
-    """The rows, computed once, as a Parquet table in the shared folder: survives lost executors, cuts the lineage."""
+    """The rows, computed once, as a Parquet table in the shared folder: survives lost executors, cuts the lineage.
+
+    The table goes when the application ends, or with dropped() as soon as nothing reads it any more.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewatch-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    there, files = _files(spark, path)
+    files.deleteOnExit(there)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidewatch_path = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Removes tables of materialised(); anything else is left alone. No plan that reads them may be run afterwards."""
+    for table in tables:
+        if path := getattr(table, "_tidewatch_path", None):
+            there, files = _files(table.sparkSession, path)
+            files.delete(there, True)
+
+
+def private(df: DataFrame, *wanted: str) -> list[str]:
+    """A column name for each of wanted that no column of df has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def kept_columns(keep: tuple[str, ...], made: tuple[str, ...]) -> tuple[str, ...]:
+    """keep without repeats; raises where a kept column bears the name of one that the operator makes."""
+    clash = sorted({c for c in keep if c.lower() in {m.lower() for m in made}})
+    if clash:
+        raise ValueError(f"columns {clash} are made by the operator: rename them before, or do not keep them")
+    return tuple(dict.fromkeys(keep))
 
 
 def text_of(col: str | Column = "text") -> Column:

@@ -1,7 +1,7 @@
 """Connected components by alternating large and small stars, on DataFrames.
 
 Each round is two aggregations (with map-side minima) and two joins on the edges left; its edges are written to the shared
-folder, so lineage stays short and lost executors cost one round. The driver sees two numbers per round.
+folder and replace those of the round before, so lineage stays short and lost executors cost one round. The driver sees two numbers per round.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.base import materialised
+from tidewatch.llm.base import dropped, materialised
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -33,5 +33,6 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).collect()[0]
         if mark == seen or mark.n == 0:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = mark
-        now = materialised(_small(_large(now)))
+        seen, before = mark, now
+        now = materialised(_small(_large(before)))
+        dropped(before)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.anchors import _repeated, keyed, runs
 from tidewatch.llm.base import limits, materialised, release
 from tidewatch.llm.components import components
-from tidewatch.llm.rolling import BASES, Fingerprints, flat_texts, mix, word_bounds
+from tidewatch.llm.rolling import BASES, Fingerprints, flat_texts, mix, word_bounds, word_symbols
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 16, 8, 0.9995
@@ -52,8 +52,8 @@ def prefix_depth(trees: int = TREES, depth: int = DEPTH, threshold: float = THRE
 def gram_sets(texts: list[str], gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct gram fingerprints of all texts, sorted within each, and the offset of each text's."""
     raw, offsets = flat_texts(texts)
-    begin, end = word_bounds(raw)
-    symbols = Fingerprints(raw.astype(np.uint64) + np.uint64(1)).of(begin, end - begin)
+    begin, _ = word_bounds(raw)
+    symbols = word_symbols(raw)[0]
     first = np.searchsorted(begin, offsets)
     words = np.diff(first)
     prints = Fingerprints(symbols, BASES[1])

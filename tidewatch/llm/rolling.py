@@ -6,6 +6,8 @@ Everything here is plain numpy on the worker: a batch of texts is concatenated i
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 U64 = np.uint64
@@ -113,6 +115,18 @@ def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[word], ends[word]
 
 
+def word_symbols(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit symbols of every word: the halves of a 128-bit digest of its bytes, computed once per distinct word.
+
+    A digest and no power sum: words made to collide modulo 2**64 stay apart.
+    """
+    words = raw.tobytes().split()  # splits at the same six bytes as word_bounds()
+    code = {w: i for i, w in enumerate(set(words))}
+    digests = np.frombuffer(b"".join([blake2b(w, digest_size=16).digest() for w in code]), U64).reshape(-1, 2)
+    at = np.fromiter(map(code.__getitem__, words), np.int64, len(words))
+    return digests[at, 0], digests[at, 1]
+
+
 def flat_texts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """All texts as one byte array with one newline between, and the offset of each (one more at the end)."""
     parts = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]

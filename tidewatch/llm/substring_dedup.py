@@ -6,7 +6,7 @@ block that can hold one of its windows: in text order, the document's windows of
 ones of that block, and a factor is the longest run of consecutive windows that all stand earlier. Each window belongs to
 exactly one block, so windows across a factor's border are looked up too, by the neighbouring block; factors of at least
 WINDOW words are the duplicate spans, and a document's spans from all blocks are joined before its words are removed.
-Windows are compared within their anchor's block by 64 more bits, 128 bits in all.
+Windows are compared within their anchor's block by 128 bits made of their words' digests (see rolling.word_symbols).
 
 Earlier means: smaller doc_id, or the same document and an earlier start. Of texts equal as a whole only the first takes
 part; in the others every word goes if there are WINDOW of them.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.anchors import anchor_rows, keyed, longs, packed, repeated_anchors, runs, unpacked, whole_copies
 from tidewatch.llm.base import limits
-from tidewatch.llm.rolling import BASES, Fingerprints, flat_texts, sliding_argmin, word_bounds
+from tidewatch.llm.rolling import BASES, Fingerprints, flat_texts, sliding_argmin, word_bounds, word_symbols
 
 WINDOW, GRAM = 20, 8
 
@@ -43,15 +43,24 @@ class Words:
         raw, offsets = flat_texts(texts)
         self.begin, self.end = word_bounds(raw)
         self.raw = raw
-        self.symbols = Fingerprints(raw.astype(np.uint64) + np.uint64(1)).of(self.begin, self.end - self.begin)
+        self.symbols = word_symbols(raw)
         self.first = np.searchsorted(self.begin, offsets)  # of each document, one more at the end
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
-        self.grams = Fingerprints(self.symbols, BASES[1]).all(gram)
+        self.grams = Fingerprints(self.symbols[1], BASES[1]).all(gram)
         chosen = sliding_argmin(self.grams, window - gram + 1)
         whole = self.doc[: len(chosen)] == self.doc[window - 1 : window - 1 + len(chosen)]
         self.starts = np.flatnonzero(whole)
         self.anchor = chosen[self.starts]
 
+    def windows(self, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """Two fingerprints of each window, one from either half of its words' digests."""
+        return Fingerprints(self.symbols[0], BASES[0]).of(starts, window), Fingerprints(self.symbols[1], BASES[1]).of(starts, window)
+
+
+def joined(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Both halves as one sortable value of 16 bytes."""
+    return np.stack([one, two], 1).view("S16").ravel()
+
 
 def _found(window: int, gram: int):
     def found(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -90,12 +99,12 @@ def _factored(window: int, gram: int):
             s, a, h = w.starts[sel], w.anchor[sel], own[sel]
             if not len(s):
                 continue
-            fp = Fingerprints(w.symbols, BASES[0]).of(s, window)
+            one, two = w.windows(s, window)
             doc = w.doc[s]
             rel = (s - w.first[doc]).astype(np.int32)
             dk = k[doc]
-            order = np.lexsort((rel, dk, fp, h))
-            head = runs(h[order], fp[order])
+            order = np.lexsort((rel, dk, two, one, h))
+            head = runs(h[order], one[order], two[order])
             lead = order[np.flatnonzero(head)][np.cumsum(head) - 1]
             later = np.zeros(len(s), bool)
             later[order] = (dk[order] != dk[lead]) | (rel[order] != rel[lead])
@@ -110,7 +119,7 @@ def _factored(window: int, gram: int):
                     names=["route", "kind", "k", "rid", "lo", "at", "fp"],
                 )
             go = ~later
-            a, h, doc, rel, fp = a[go], h[go], doc[go], rel[go], fp[go]
+            a, h, doc, rel, fp = a[go], h[go], doc[go], rel[go], joined(one[go], two[go])
             at = np.flatnonzero(runs(a, doc))
             counts = np.diff(np.append(at, len(a)))
             d = doc[at]
@@ -129,7 +138,7 @@ def _looked_up(window: int):
     """From blocks sorted by (route, k, lo): the factors, as word ranges of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, seen, seen_k, seen_at = None, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        block, seen, seen_k, seen_at = None, np.zeros(0, "S16"), np.zeros(0, np.int64), np.zeros(0, np.int32)
         for batch in batches:
             kind = batch.column("kind").to_numpy()
             by = kind == 1
@@ -140,11 +149,12 @@ def _looked_up(window: int):
             batch = batch.filter(pa.array(~by))
             route, k, rid = (batch.column(n).to_numpy() for n in ("route", "k", "rid"))
             rel, counts = unpacked(batch.column("at"), np.int32)
-            fp, _ = unpacked(batch.column("fp"), np.uint64)
+            fp, _ = unpacked(batch.column("fp"), np.dtype("S16"))
+            one, two = fp.view(np.uint64).reshape(-1, 2).T
             row = np.repeat(np.arange(len(k)), counts)
             h, dk = route[row], k[row]
-            order = np.lexsort((np.arange(len(h)), fp, h))
-            head = runs(h[order], fp[order])
+            order = np.lexsort((np.arange(len(h)), two, one, h))
+            head = runs(h[order], one[order], two[order])
             lead = order[np.flatnonzero(head)][np.cumsum(head) - 1]
             later = np.zeros(len(h), bool)
             later[order] = (dk[order] != dk[lead]) | (rel[order] != rel[lead])
