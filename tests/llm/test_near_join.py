@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from tidewatch.llm import near_join as nj
 
 
@@ -61,3 +63,27 @@ def test_against_brute_force(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert nj.near_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_prefixes_are_shortened_until_the_recall(spark):
+    assert nj.prefix_depth(16, 6, 0.8, 0.9995) == 4 and nj.prefix_depth(16, 6, 0.95, 0.99) == 6 and nj.prefix_depth(16, 6, 0.3, 0.9995) == 1
+    leaders = nj.Leaders()
+    m = np.arange(96, dtype=np.uint32)
+    far = m + 1000
+    near = m.copy()
+    near[:30] += 500  # 66 of 96 minima
+    assert leaders.meet(1, m, np.array([1, 1], np.uint32)) == []
+    assert leaders.meet(2, far, np.array([1, 2], np.uint32)) == []
+    assert leaders.meet(3, near, np.array([9, 9], np.uint32)) == [(3, 1)] and len(leaders.node) == 3
+    assert leaders.meet(4, m, np.array([1, 1], np.uint32)) == [(4, 1)]  # all but equal at the longest prefix: no further
+    assert leaders.meet(5, m, np.array([9, 9], np.uint32)) == [(5, 3)]  # one join of each group
+    assert len(leaders.node) == 3
+
+
+def test_different_sets_are_different_nodes(spark):
+    """Classes of documents that share doc_id, null doc_ids and clashing columns."""
+    a, b = "a b c d e f g", "h i j k l m n"
+    df = spark.createDataFrame([(3, a, 1), (5, a, 2), (5, b, 3), (None, "q r", 4), (None, "q r", 5), (7, None, 6), (7, "", 7), (8, " ", 8)], "doc_id long, text string, k int")
+    kept = sorted((r.doc_id or 0, r.text or "") for r in nj.keep_one(df).collect())
+    assert kept == sorted([(3, a), (5, b), (0, "q r"), (7, ""), (8, " ")])
+    assert nj.keep_one(df).columns == df.columns

@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.base import limits, text_of
@@ -23,12 +23,15 @@ from tidewatch.llm.base import limits, text_of
 KEYED = "doc_id bigint, k bigint, rid bigint, text string"
 
 
+def row_key(text: str = "text", key: str = "doc_id") -> tuple[Column, Column]:
+    """k, rid: a row's doc_id (null: the least long) and its text's fingerprint."""
+    return F.coalesce(F.col(key).cast("bigint"), F.lit(-(2**63)).cast("bigint")), F.xxhash64(text_of(text))
+
+
 def keyed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, k, rid, text: the same columns wherever texts are joined, so Spark shuffles the texts once and reuses that."""
-    t = text_of(text)
-    return docs.select(
-        F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(key).cast("bigint"), F.lit(-(2**63)).cast("bigint")).alias("k"), F.xxhash64(t).alias("rid"), t.alias("text")
-    )
+    k, rid = row_key(text, key)
+    return docs.select(F.col(key).cast("bigint").alias("doc_id"), k.alias("k"), rid.alias("rid"), text_of(text).alias("text"))
 
 
 def whole_copies(rows: DataFrame) -> DataFrame:

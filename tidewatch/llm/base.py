@@ -115,12 +115,27 @@ def private(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-def kept_columns(keep: tuple[str, ...], made: tuple[str, ...]) -> tuple[str, ...]:
-    """keep without repeats; raises where a kept column bears the name of one that the operator makes."""
-    clash = sorted({c for c in keep if c.lower() in {m.lower() for m in made}})
-    if clash:
-        raise ValueError(f"columns {clash} are made by the operator: rename them before, or do not keep them")
-    return tuple(dict.fromkeys(keep))
+def carried(docs: DataFrame, text: str, keep: tuple[str, ...], made: tuple[str, ...]) -> tuple[DataFrame, str, list[str], str]:
+    """The columns named in keep and the whole text: rows, DDL of the kept columns, their names, the text column's name.
+
+    A kept column that bears the name of one that the operator makes (whatever the case) is carried with _ appended.
+    """
+    taken = {m.lower() for m in made}
+    columns: list[Column] = []
+    names: list[str] = []
+    for c in dict.fromkeys(keep):
+        name = c
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        names.append(name)
+        columns.append(F.col(f"`{c}`").alias(name))
+    own = "text"
+    while own.lower() in taken:
+        own += "_"
+    rows = docs.select(*columns, text_of(F.col(f"`{text}`")).alias(own))
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != own)
+    return rows, ddl, names, own
 
 
 def text_of(col: str | Column = "text") -> Column:

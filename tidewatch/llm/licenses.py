@@ -21,9 +21,8 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tidewatch.llm.base import map_batches, text_of
+from tidewatch.llm.base import carried, map_batches
 
 #: Least share of a template's words that must be matched.
 COVERAGE = 0.8
@@ -233,13 +232,11 @@ def scan_licenses(
     docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
 ) -> DataFrame:
     """The columns named in keep and licenses (start, end, license, coverage) of every row."""
-    rows = docs.select(*[F.col(c) for c in keep], text_of(text).alias("__text"))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
-    rest = [f.name for f in rows.schema if f.name != "__text"]
+    rows, ddl, rest, _ = carried(docs, text, keep, ("licenses",))
 
     def scanned(batch: pa.RecordBatch) -> pa.RecordBatch:
         scanner = Scanner(templates, coverage)
-        cells = [[dict(zip(("start", "end", "license", "coverage"), f, strict=True)) for f in scanner.scan(t)] for t in batch.column("__text").to_pylist()]
-        return pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(cells, _FOUND)], names=[*rest, "licenses"])
+        cells = [[dict(zip(("start", "end", "license", "coverage"), f, strict=True)) for f in scanner.scan(t)] for t in batch.columns[-1].to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(cells, _FOUND)], names=[*rest, "licenses"])
 
     return map_batches(rows, scanned, f"{ddl}, licenses {FOUND}")

@@ -1,21 +1,25 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
 Documents are sets of word 5-grams (fewer than five words: one gram, all the words). Equal sets are one class from the
-start. The forest has TREES sorted prefix tries over DEPTH minima each; the matched prefix is shortened from DEPTH until the
-chance that a pair at the threshold shares it in some tree reaches RECALL (prefix_depth). Documents that share such a
-prefix meet in that trie node:
-
-1. A node's documents come as a sorted stream. Each is compared with the node's leaders only, by the 64 minima; it joins
-   the leaders it resembles (CUT or more) and becomes a leader itself unless it is close to one (CORE or more). As two
-   documents at the threshold differ by 1 - threshold at most, a pair that meets in the node always ends in one candidate
-   group: either one of them is a leader, or both are close enough to a common one. No pairs within a node are made.
+start. The forest has TREES sorted prefix tries over signatures of DEPTH minima each:
+
+1. A set's signature in a tree is matched by its longest prefix first, then by shorter ones, down to the prefix at which a
+   pair at the threshold shares one in some tree with chance RECALL (prefix_depth); sets that share that prefix lie in one
+   subtree, which is read as a sorted stream of signatures. A set is compared with the subtree's leaders only, those of the
+   longest common prefix first, by all minima. It joins the leaders it resembles (CUT or more). The prefix is shortened
+   until a leader is found that is all but equal (STOP or more): what resembles the set resembles that leader too. Without
+   one it is shortened to the end, and the set becomes a leader itself unless it is close to one (CORE or more). As two
+   documents at the threshold differ by 1 - threshold at most, a pair that meets in the subtree ends in one candidate
+   group: either one of them is a leader, or both are close enough to leaders that resemble each other. No pairs within a
+   subtree are made.
 2. Candidate groups are the connected components of those joins.
 3. Groups are verified exactly: sets meet in blocks of bounded size and the common grams of all pairs are counted through
    an inverted index within the block; what leaves is one row per set (its number of links) and spanning links. A group
    larger than a block is dealt out as pairs of blocks, so no task holds more than two blocks.
 4. Classes are the connected components of the verified links.
 
-Recall is that of the forest (RECALL at the threshold itself, higher above it); reported links are exact.
+Recall is that of the forest (RECALL at the threshold itself, higher above it); reported links are exact (grams are told
+apart by 64 bits made of their words' digests).
 
 Defined results: a null or empty text has no grams, is its own class and has no links; a null doc_id comes before all
 others; copies count as links of each other (repeated rows too); extra columns are ignored; an empty table gives no rows.
@@ -30,20 +34,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.anchors import _repeated, keyed, runs
-from tidewatch.llm.base import limits, materialised, release
+from tidewatch.llm.anchors import _repeated, keyed, row_key, runs
+from tidewatch.llm.base import dropped, limits, materialised, private, release
 from tidewatch.llm.components import components
 from tidewatch.llm.rolling import BASES, Fingerprints, flat_texts, mix, word_bounds, word_symbols
 
 SHINGLE, THRESHOLD = 5, 0.8
-TREES, DEPTH, RECALL = 16, 8, 0.9995
-CUT, CORE = 0.45, 0.8
+TREES, DEPTH, RECALL = 16, 6, 0.9995
+CUT, CORE, STOP = 0.45, 0.8, 0.95
 #: Sets and grams of one block of a candidate group.
 BLOCK_SETS, BLOCK_GRAMS = 2048, 4 << 20
 
 
 def prefix_depth(trees: int = TREES, depth: int = DEPTH, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """The longest prefix at which a pair of that similarity shares it in some tree with the chance wanted."""
+    """The shortest prefix that has to be matched: the longest one that a pair of that similarity shares in some tree with the
+    chance wanted."""
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
     return depth
@@ -94,7 +99,7 @@ def _sketched(gram: int, minima: int):
                     out[some, j] = np.minimum.reduceat(((h ^ _FLIP[j]) * _ODD[j]) >> np.uint64(32), at)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("k"), batch.column("rid"), pa.array(n, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
-                 pa.array([r.tobytes() for r in out], pa.binary())],
+                 pa.array([r.tobytes() for r in out.astype(">u4")], pa.binary())],
                 names=["doc_id", "k", "rid", "n", "d1", "d2", "minima"],
             )
         release()
@@ -102,20 +107,21 @@ def _sketched(gram: int, minima: int):
     return run
 
 
-def _prefixes(trees: int, depth: int):
-    """Rows (route, k, rid) of every tree's node, in the form of anchors._repeated()."""
+def _subtrees(trees: int, depth: int, shortest: int):
+    """Rows (route, k, rid) of each tree's subtree below the shortest prefix, in the form of anchors._repeated(). The tree's
+    number is the route's last bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            m = np.frombuffer(b"".join(batch.column("minima").to_pylist()), np.uint32).reshape(batch.num_rows, -1)
+            m = np.frombuffer(b"".join(batch.column("minima").to_pylist()), ">u4").reshape(batch.num_rows, -1).astype(np.uint64)
             route = []
             for t in range(trees):
                 h = np.full(len(m), t + 1, np.uint64)
-                for j in range(depth):
+                for j in range(shortest):
                     h = mix(h * np.uint64(BASES[1]) + m[:, t * depth + j])
-                route.append(h)
+                route.append(h // np.uint64(trees) * np.uint64(trees) + np.uint64(t))
             h = np.concatenate(route).view(np.int64)
             k, rid = (np.tile(batch.column(c).to_numpy(), trees) for c in ("k", "rid"))
             yield pa.RecordBatch.from_arrays(
@@ -127,10 +133,11 @@ def _prefixes(trees: int, depth: int):
 
 
 class Leaders:
-    """One trie node's leaders."""
+    """One subtree's leaders: their minima, and the rest of their signatures in this tree."""
 
     def __init__(self):
-        self.minima = np.zeros((16, 0), np.uint32)
+        self.minima = np.zeros((0, 0), np.uint32)
+        self.rest = np.zeros((0, 0), np.uint32)
         self.node: list[int] = []
         self.group: list[int] = []
 
@@ -140,42 +147,54 @@ class Leaders:
             i = self.group[i]
         return i
 
-    def meet(self, node: int, minima: np.ndarray) -> list[tuple[int, int]]:
+    def add(self, node: int, minima: np.ndarray, rest: np.ndarray, group: int | None) -> None:
+        n = len(self.node)
+        if n == len(self.minima):
+            grown = max(16, 2 * n)
+            for name, row in (("minima", minima), ("rest", rest)):
+                new = np.zeros((grown, len(row)), np.uint32)
+                new[:n] = getattr(self, name)[:n] if n else 0
+                setattr(self, name, new)
+        self.minima[n], self.rest[n] = minima, rest
+        self.node.append(node)
+        self.group.append(n if group is None else group)
+
+    def meet(self, node: int, minima: np.ndarray, rest: np.ndarray) -> list[tuple[int, int]]:
+        """Joins of the set with leaders, by longest common prefix first."""
         n = len(self.node)
         out: list[tuple[int, int]] = []
-        close = False
+        joined: list[int] = []
+        best = 0.0
         if n:
-            like = (self.minima[:n] == minima).mean(1)
-            joined: list[int] = []
-            for i in np.flatnonzero(like >= CUT).tolist():
-                if (root := self.find(i)) not in joined:
-                    joined.append(root)
-                    out.append((node, self.node[i]))
+            common = np.minimum.accumulate(self.rest[:n] == rest, axis=1).sum(1)  # of the rest of the signature
+            for length in range(len(rest), -1, -1):
+                there = np.flatnonzero(common == length)
+                if not len(there):
+                    continue
+                like = (self.minima[there] == minima).mean(1)
+                for i in there[like >= CUT].tolist():
+                    if (root := self.find(i)) not in joined:
+                        joined.append(root)
+                        out.append((node, self.node[i]))
+                best = max(best, float(like.max()))
+                if best >= STOP:
+                    break
             for r in joined[1:]:
                 self.group[r] = joined[0]
-            close = bool(like.max() >= CORE)
-        else:
-            joined = []
-        if not close:
-            if n == 0:
-                self.minima = np.zeros((16, len(minima)), np.uint32)
-            elif n == len(self.minima):
-                self.minima = np.vstack([self.minima, np.zeros_like(self.minima)])
-            self.minima[n] = minima
-            self.node.append(node)
-            self.group.append(joined[0] if joined else n)
+        if best < CORE:
+            self.add(node, minima, rest, joined[0] if joined else None)
         return out
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by route: joins (a, b) of candidates."""
+    """From rows sorted by route and the rest of the signature: joins (a, b) of candidates."""
     now, leaders = None, Leaders()
     for batch in batches:
         pairs: list[tuple[int, int]] = []
-        for route, node, minima in zip(batch.column("route").to_pylist(), batch.column("node").to_pylist(), batch.column("minima").to_pylist(), strict=True):
+        for route, node, minima, rest in zip(*(batch.column(c).to_pylist() for c in ("route", "node", "minima", "rest")), strict=True):
             if route != now:
                 now, leaders = route, Leaders()
-            pairs += leaders.meet(node, np.frombuffer(minima, np.uint32))
+            pairs += leaders.meet(node, np.frombuffer(minima, np.uint32), np.frombuffer(rest, np.uint32))
         a, b = np.array(pairs, np.int64).reshape(-1, 2).T
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -274,22 +293,27 @@ def _verified(threshold: float):
     return run
 
 
-def near_join(docs: DataFrame, threshold: float = THRESHOLD, gram: int = SHINGLE, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, class_id (least doc_id of its class), n_links (other documents at the threshold or above) of every row."""
+def _joined(docs: DataFrame, threshold: float, gram: int, text: str, key: str) -> tuple[DataFrame, list[DataFrame]]:
+    """doc_id, k, rid of every row, with class_k, class_rid of its class's first document (null without grams) and n_links;
+    and the tables that are read for it."""
     limits(docs.sparkSession)
-    depth = prefix_depth(threshold=threshold)
+    shortest = prefix_depth(threshold=threshold)
+    depth = max(DEPTH, shortest)
     rows = keyed(docs, text, key)
     sketches = materialised(rows.mapInArrow(_sketched(gram, TREES * depth), SKETCHES))
     same = ["d1", "d2", "n"]
-    node = F.xxhash64(*same).alias("node")  # 64 bits of a set's 192 (two sums of its grams and its size)
     kept = sketches.filter("n > 0").groupBy(*same).agg(F.min(F.struct("k", "rid")).alias("s"), F.count(F.lit(1)).alias("copies"), F.min("minima").alias("minima"))
-    sets = materialised(kept.select(node, "s.k", "s.rid", "copies", "minima", *same).dropDuplicates(["node"]))
-    hits = sets.select("k", "rid", "minima").mapInArrow(_prefixes(TREES, depth), "route bigint, kind tinyint, h bigint, k bigint, rid bigint, hit boolean")
+    # The number of a set is fixed when the table is written; what reads the table sees the same one ever after.
+    sets = materialised(kept.select(F.monotonically_increasing_id().alias("node"), "s.k", "s.rid", "copies", "minima", *same))
+    hits = sets.select("k", "rid", "minima").mapInArrow(_subtrees(TREES, depth, shortest), "route bigint, kind tinyint, h bigint, k bigint, rid bigint, hit boolean")
     hits = hits.repartition("route").sortWithinPartitions("route").mapInArrow(_repeated, "k bigint, rid bigint, h bigint").groupBy("k", "rid").agg(F.collect_list("h").alias("hs"))
     meeting = sets.select("k", "rid", "node", "minima").join(hits, ["k", "rid"]).select(F.explode("hs").alias("route"), "node", "minima")
-    candidates = components(meeting.repartition("route").sortWithinPartitions("route", "node").mapInArrow(_met, "a bigint, b bigint"))
-    groups = candidates.union(candidates.select(F.col("root").alias("node"), "root").distinct())
-    groups = materialised(sets.select("node", "k", "rid", "copies", "n").join(groups, "node"))
+    begin = F.pmod("route", F.lit(TREES)) * (4 * depth) + 4 * shortest + 1
+    meeting = meeting.withColumn("rest", F.substring("minima", begin.cast("int"), F.lit(4 * (depth - shortest))))
+    candidates = components(meeting.repartition("route").sortWithinPartitions("route", "rest", "node").mapInArrow(_met, "a bigint, b bigint"))
+    members = candidates.union(candidates.select(F.col("root").alias("node"), "root").distinct())
+    groups = materialised(sets.select("node", "k", "rid", "copies", "n").join(members, "node"))
+    dropped(candidates)
     blocks = groups.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
     members = groups.join(blocks, "root").select("k", "rid", "root", "node", "copies", "blocks")
     # A merge join at every size: the texts are shuffled once, whether or not the groups would fit a broadcast just now.
@@ -302,25 +326,37 @@ def near_join(docs: DataFrame, threshold: float = THRESHOLD, gram: int = SHINGLE
     dealt = dealt.select("root", "node", "copies", "side", "grams", (lower * F.col("blocks") + higher).alias("part"), (lower != higher).alias("cross"))
     dealt = dealt.repartition("root", "part").sortWithinPartitions("root", "part", "node")
     links = materialised(dealt.mapInArrow(_verified(threshold), LINKS))
+    dropped(groups)
     classes = components(links.filter("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")))
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
-    with_root = sets.select("node", "k", "copies", *same).join(classes, "node", "left").withColumn("root", F.coalesce("root", "node")).join(counts, "node", "left")
-    least = with_root.groupBy("root").agg(F.min("k").alias("class_k"))
-    result = with_root.join(least, "root").select(*same, "class_k", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = sketches.select("doc_id", "k", *same).join(result, same, "left")
-    least_long = F.lit(-(2**63)).cast("bigint")
+    with_root = sets.select("node", "k", "rid", "copies", *same).join(classes, "node", "left").withColumn("root", F.coalesce("root", "node")).join(counts, "node", "left")
+    least = with_root.groupBy("root").agg(F.min(F.struct("k", "rid")).alias("first"))
+    result = with_root.join(least, "root").select(
+        *same, F.col("first.k").alias("class_k"), F.col("first.rid").alias("class_rid"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("bigint").alias("n_links")
+    )
+    return sketches.select("doc_id", "k", "rid", *same).join(result, same, "left"), [sketches, sets, links, classes]
+
+
+def near_join(docs: DataFrame, threshold: float = THRESHOLD, gram: int = SHINGLE, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, class_id (least doc_id of its class), n_links (other documents at the threshold or above) of every row."""
+    out, _ = _joined(docs, threshold, gram, text, key)
     class_id = F.coalesce("class_k", "k")
-    return out.select("doc_id", F.when(class_id != least_long, class_id).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    least_long = F.lit(-(2**63)).cast("bigint")  # stands for a null doc_id
+    return out.select("doc_id", F.when(class_id != least_long, class_id).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, gram: int = SHINGLE, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of docs, with their own columns, of which one document of each class stays: that of its least doc_id.
+    """The rows of docs, with their own columns, of which one row of each class stays: that of its least doc_id.
 
-    Of rows that share doc_id and text one stays. A class whose least doc_id is null keeps its rows without doc_id, one of
-    each text.
+    Of several rows with that doc_id (or of a class whose least doc_id is null) the one whose text's fingerprint is least
+    stays, and of rows equal in doc_id and text one. A text without words is a class of its own with its doc_id.
     """
-    found = near_join(docs, threshold, gram, text, key)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept.hint("merge"), F.col(key).cast("bigint").eqNullSafe(F.col("__kept")), "left_semi")
-    once = Window.partitionBy(F.col(key), F.xxhash64(F.col(text))).orderBy(F.lit(1))
-    return rows.withColumn("__nth", F.row_number().over(once)).filter("__nth = 1").select(*docs.columns)
+    found, tables = _joined(docs, threshold, gram, text, key)
+    first = (F.col("k") == F.coalesce("class_k", "k")) & (F.col("rid") == F.coalesce("class_rid", "rid"))
+    k, rid, nth = private(docs, "k", "rid", "nth")
+    kept = materialised(found.filter(first).select(F.col("k").alias(k), F.col("rid").alias(rid)).distinct())
+    dropped(*tables)
+    own_k, own_rid = row_key(text, key)
+    rows = docs.withColumns({k: own_k, rid: own_rid}).join(kept.hint("merge"), [k, rid], "left_semi")
+    once = Window.partitionBy(k, rid).orderBy(F.lit(1))
+    return rows.withColumn(nth, F.row_number().over(once)).filter(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

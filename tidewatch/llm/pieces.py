@@ -17,9 +17,8 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tidewatch.llm.base import map_batches, text_of
+from tidewatch.llm.base import carried, map_batches
 
 SPACE = "▁"
 WORD = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
@@ -193,29 +192,24 @@ def model(path: str) -> Pieces:
     return _MODELS.get(path) or _MODELS.setdefault(path, Pieces(path))
 
 
-def _ddl(rows: DataFrame, without: tuple[str, ...]) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in without)
-
-
 def encode_pieces(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: str | None = None) -> DataFrame:
     """The columns named in keep and ids (array of int) of every whole text, without begin or end ids.
 
     With decoded, a column of that name has the text decoded from those ids: the same as decode_pieces() afterwards, with
     one worker per task instead of two.
     """
-    rows = docs.select(*[F.col(c) for c in keep], text_of(text).alias("__text"))
+    rows, ddl, rest, _ = carried(docs, text, keep, ("ids", decoded) if decoded else ("ids",))
 
     def encoded(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = model(path).encode(batch.column("__text").to_pylist())
+        found = model(path).encode(batch.columns[-1].to_pylist())
         offsets = np.zeros(len(found) + 1, np.int32)
         np.cumsum([len(b) // 4 for b in found], out=offsets[1:])
         flat = np.frombuffer(b"".join(found), np.int32)
         ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-        rest = [c for c in batch.schema.names if c != "__text"]
         more = [pa.array(model(path).decode(flat, offsets.astype(np.int64)), pa.string())] if decoded else []
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), ids, *more], names=[*rest, "ids", *([decoded] if decoded else [])])
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], ids, *more], names=[*rest, "ids", *([decoded] if decoded else [])])
 
-    return map_batches(rows, encoded, f"{_ddl(rows, ('__text',))}, ids array<int>{f', `{decoded}` string' if decoded else ''}", after=lambda: model(path).cache.clear())
+    return map_batches(rows, encoded, f"{ddl}, ids array<int>{f', `{decoded}` string' if decoded else ''}", after=lambda: model(path).cache.clear())
 
 
 def decode_pieces(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -230,4 +224,5 @@ def decode_pieces(encoded: DataFrame, path: str, ids: str = "ids", out: str = "d
         texts = model(path).decode(flat, offsets - offsets[0])
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
 
-    return map_batches(encoded, decoded, f"{_ddl(encoded, ())}, `{out}` string")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
+    return map_batches(encoded, decoded, f"{ddl}, `{out}` string")

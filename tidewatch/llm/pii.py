@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.base import map_batches, text_of
+from tidewatch.llm.base import carried, map_batches
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "tel")
 BASE = KINDS[:4]
@@ -128,21 +128,21 @@ _SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), (
 
 
 def _found(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The last column is the text."""
     base, every = [], []
     as_rows = lambda spans: [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(spans)]
-    for t in batch.column("__text").to_pylist():
+    for t in batch.columns[-1].to_pylist():
         own = base_spans(t)
         added = more_spans(t, own)
         base.append(as_rows(own))
         every.append(as_rows(own + added) if added else base[-1])
-    rest = [n for n in batch.schema.names if n != "__text"]
-    return pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(base, _SPAN_TYPE), pa.array(every, _SPAN_TYPE)], names=[*rest, "base", "spans"])
+    names = [*batch.schema.names[:-1], "base", "spans"]
+    return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(base, _SPAN_TYPE), pa.array(every, _SPAN_TYPE)], names=names)
 
 
 def find_pii(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns named in keep, base and spans (kind, start, end in code points; sorted by start, then kind) of every row."""
-    rows = docs.select(*[F.col(c) for c in keep], text_of(text).alias("__text"))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
+    rows, ddl, _, _ = carried(docs, text, keep, ("base", "spans"))
     return map_batches(rows, _found, f"{ddl}, base {SPANS}, spans {SPANS}")
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.base import let, materialised, text_of
+from tidewatch.llm.base import let, materialised, private, text_of
 
 SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -124,7 +124,7 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", key
 
 def quality_filter(docs: DataFrame, text: str = "text", host: str = "source", host_rate: float = HOST_RATE) -> DataFrame:
     """The documents that pass, with their own columns: rows that fail a rule or whose host's shrunk failure rate is too high go."""
-    h, c = "__host", "__failed"
+    h, c, bad = private(docs, "host", "failed", "bad")
     judged = materialised(docs.withColumns({h: host_of(docs, host), c: failed(rule_columns(text))}))
-    verdicts = host_verdicts(judged.select(F.col(h).alias("host"), F.col(c).alias("base_failed")), host_rate).filter("host_failed").select(F.col("host").alias("__bad"))
-    return judged.filter(~F.col(c)).join(verdicts, F.col(h).eqNullSafe(F.col("__bad")), "left_anti").select(*docs.columns)
+    verdicts = host_verdicts(judged.select(F.col(h).alias("host"), F.col(c).alias("base_failed")), host_rate).filter("host_failed").select(F.col("host").alias(bad))
+    return judged.filter(~F.col(c)).join(verdicts, F.col(h).eqNullSafe(F.col(bad)), "left_anti").select(*[F.col(f"`{x}`") for x in docs.columns])

@@ -19,9 +19,8 @@ import unicodedata
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tidewatch.llm.base import map_batches, text_of
+from tidewatch.llm.base import carried, map_batches
 
 #: Words kept in a worker's cache before it is emptied; bounds memory, not results.
 CACHE = 400_000
@@ -122,13 +121,11 @@ _COUNTERS: dict[str, Counter] = {}
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "n_tokens") -> DataFrame:
     """The columns named in keep and the number of tokens of every whole text, without added special tokens."""
-    rows = docs.select(*[F.col(c) for c in keep], text_of(text).alias("__text"))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
+    rows, ddl, rest, _ = carried(docs, text, keep, (out,))
 
     def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
         counter = _COUNTERS.get(path) or _COUNTERS.setdefault(path, Counter(path))
-        n = [counter.count(t) for t in batch.column("__text").to_pylist()]
-        rest = [c for c in batch.schema.names if c != "__text"]
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(n, pa.int64())], names=[*rest, out])
+        n = [counter.count(t) for t in batch.columns[-1].to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], names=[*rest, out])
 
     return map_batches(rows, counted, f"{ddl}, `{out}` bigint")
