@@ -5,7 +5,7 @@ returns ids and the text decoded from them. run() writes each stage's rows to th
 lost executor costs one stage's tasks at most.
 
 Defined results: null texts have no words and are rejected by the first stage; an empty table gives no rows; extra columns
-are carried to the last stage.
+are carried to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import decontaminate, near_join, pieces, pii, quality
-from tidewatch.llm.base import materialised, table
+from tidewatch.llm.base import dropped, materialised, private, table
 from tidewatch.llm.queries import PIECE_MODEL, tokenizer_path
 
 
@@ -29,8 +29,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns), out="__hits")
-    return found.filter(F.size("__hits") == 0).select(*docs.columns)
+    (hits,) = private(docs, "hits")
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns), out=hits)
+    return found.filter(F.size(hits) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +40,13 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' other columns, n_tokens, ids and decoded."""
-    rest = tuple(c for c in docs.columns if c not in ("text", "n_tokens", "ids", "decoded"))
-    out = pieces.encode_pieces(docs, tokenizer_path(PIECE_MODEL), keep=rest, decoded="decoded")
-    return out.select(*rest, F.size("ids").cast("bigint").alias("n_tokens"), "ids", "decoded")
+    """The documents' other columns, n_tokens, ids and decoded. A column of theirs with one of these names gets _ appended."""
+    made = ("n_tokens", "ids", "decoded")
+    rest = [c for c in docs.columns if c != "text"]
+    names = private(docs.select(*[F.lit(0).alias(m) for m in made]), *[c for c in rest])
+    renamed = docs.select("text", *[F.col(f"`{c}`").alias(n) for c, n in zip(rest, names, strict=True)])
+    out = pieces.encode_pieces(renamed, tokenizer_path(PIECE_MODEL), keep=tuple(names), decoded="decoded")
+    return out.select(*[F.col(f"`{n}`") for n in names], F.size("ids").cast("bigint").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -57,9 +61,10 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for n, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if n + 1 < len(STAGES):
             docs = materialised(docs)
+            dropped(before)
     return docs
 
 
