@@ -130,13 +130,30 @@ def test_decontamination_against_brute_force(spark):
             least = edits(index.codes[k].tolist(), decontaminate.folded(x).tolist())
             own = [h for h in hits if h[0] == k]
             assert bool(own) == (least <= index.edits[k]) and (not own or min(h[3] for h in own) == least)
-    df = spark.createDataFrame([(1, f"so {items[0][1].upper()} end", 5), (2, "clean", 5), (None, None, 5), (3, "xabcx", 5)], "doc_id long, text string, hits long").drop("hits")
+    df = spark.createDataFrame([(1, f"so {items[0][1].upper()} end", 5), (2, "clean", 5), (None, None, 5), (3, "xabcx", 5)], "doc_id long, text string, hits long")
+    assert decontaminate.find_contamination(df, spark.createDataFrame(items, "item_id long, text string"), keep=("doc_id", "hits")).columns == ["doc_id", "hits_", "hits"]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {x.doc_id: [(h.item_id, h.edits) for h in x.hits] for x in decontaminate.find_contamination(df, bench).collect()}
     assert (0, 0) in got[1] and got[2] == [] == got[None] and got[3] == [(7, 0)]
     assert all(x.hits == [] for x in decontaminate.find_contamination(df, bench.limit(0)).collect())
 
 
+def test_repetitive_texts_stay_small():
+    """A 1 MB text of one letter, one of two in turn and a separator line against items of the same."""
+    import resource
+
+    items = [(1, "a" * 500), (2, "-=" * 200), (3, "=" * 120)]
+    index = decontaminate.Items(items, decontaminate.Q, decontaminate.RATE)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    one, two, three = index.search(["a" * 1_000_000, "b" + "-=" * 20_000, "x " + "=" * 300 + " y"])
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000  # KB
+    assert 1_000_000 // (500 + 41) <= len(one) <= 2000  # a region per band of 41 diagonals, none that overlap
+    assert {h[0] for h in one} == {0} and all(h[3] == 0 for h in one)
+    assert {h[0] for h in two} == {1} and 40_000 // (400 + 33) <= len(two) <= 100 and [h[0] for h in three] == [2, 2]
+    for found in (one, two, three):
+        assert all(a[2] <= b[1] for a, b in zip(found, found[1:]))
+
+
 def test_item_blocks_give_one_answer(spark, monkeypatch):
     items = spark.createDataFrame([(i, f"item number {i} with its own words {i * 7919}") for i in range(20)], "item_id long, text string")
     df = spark.createDataFrame([(1, "x item number 3 with its own words 23757 y"), (2, "none")], "doc_id long, text string")

@@ -6,16 +6,18 @@ diagonal bands; bands that reach the bound are verified by banded alignment, the
 e is RATE of the item's length, lowered where the bound would fall below one shared q-gram. Characters are compared in
 lower case, and every white-space character as a space; places are code points of the text itself.
 
-The items are sent to the workers in blocks of about BLOCK characters at most (their size is checked), one pass over the
-documents per block, written out in between; a benchmark is small, so that is one block. Documents are never shuffled.
+The items are broadcast in blocks of about BLOCK characters at most (their size is checked), one pass over the documents
+per block, written out in between; a benchmark is small, so that is one block. Documents are never shuffled. Memory is that
+of one Arrow batch and its bands, also where texts and items repeat one q-gram over and over (see Items.bands).
 
 Defined results: a null text is empty; items that are null or empty match nothing; items shorter than q characters are
 looked for exactly; repeated items each count; repeated rows each get a row; a null doc_id is kept; extra columns are
-ignored; an empty benchmark or table finds nothing.
+ignored, kept ones that bear the name of the hits are carried with _ appended; an empty benchmark or table finds nothing.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
 
 import numpy as np
@@ -23,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.base import map_batches, materialised, text_of
+from tidewatch.llm.base import carried, dropped, map_batches, materialised, text_of
 from tidewatch.llm.rolling import mix
 
 Q, RATE = 10, 0.08
 #: Characters of one block of items.
 BLOCK = 8 << 20
+#: Shared q-grams expanded at once.
+SLICE = 1 << 20
 TABLE_BITS = 22
 _WHITE = [*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _FOLD = np.arange(0x10000, dtype=np.uint32)
@@ -135,17 +139,9 @@ class Items:
         place, at = maybe[hit], at[hit]
         if not len(place):
             return out
-        count = self.count[at]
-        row = np.repeat(self.first[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        item, diagonal = self.item[row], np.repeat(place, count) - self.place[row]
-        doc = np.searchsorted(offset, np.repeat(place, count), "right") - 1
-        rel = diagonal - offset[doc] + self.size[item]  # never negative
-        band = rel // self.step[item]
-        found: list[np.ndarray] = []
-        for b in (band, band - 1):  # each hit lies in its own band and, by the overlap, in the one before
-            found.append(np.stack([doc, item, b], 1))
-        bands, n = np.unique(np.concatenate(found), axis=0, return_counts=True) if len(doc) < 64 else _counted(np.concatenate(found))
-        for d, k, b in bands[n >= self.bound[bands[:, 1]]].tolist():
+        pair, band, n = self.bands(place, at, offset)
+        for p, b in zip(pair[n >= self.bound[pair % len(self.ids)]].tolist(), band[n >= self.bound[pair % len(self.ids)]].tolist(), strict=True):
+            d, k = divmod(p, len(self.ids))
             step, m, e = int(self.step[k]), int(self.size[k]), int(self.edits[k])
             low = b * step - m  # the band's diagonals: low to low + 2 * step - 1
             a, z = max(0, low - e), min(int(size[d]), low + 2 * step - 1 + m + e)
@@ -154,21 +150,51 @@ class Items:
                 out[d].append((k, a + s, a + t, edits))
         return [_distinct(x) for x in out]
 
+    def bands(self, place: np.ndarray, at: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document * items + item, band, shared q-grams) of the overlapping bands that share any; place: of the documents'
+        q-grams that items have, at: their number there.
 
-def _counted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))
-    rows = rows[order]
-    head = np.append(True, (rows[1:] != rows[:-1]).any(1))
-    at = np.flatnonzero(head)
-    return rows[at], np.diff(np.append(at, len(rows)))
+        A q-gram that stands x times in a text and y times in the items makes x * y hits. They are counted SLICE at a time,
+        so memory is bound by the bands, not by the hits.
+        """
+        count = self.count[at]
+        ends = np.cumsum(count)
+        doc_of = np.searchsorted(offset, place, "right") - 1
+        found: list[np.ndarray] = []
+        for lo in range(0, int(ends[-1]), SLICE):
+            hit = np.arange(lo, min(lo + SLICE, int(ends[-1])))
+            own = np.searchsorted(ends, hit, "right")
+            row = self.first[at[own]] + hit - (ends[own] - count[own])
+            item, doc = self.item[row], doc_of[own]
+            band = (place[own] - self.place[row] - offset[doc] + self.size[item]) // self.step[item]  # never negative
+            found.append(_summed(doc * len(self.ids) + item, band, np.ones(len(hit), np.int64)))
+            if len(found) > 16:
+                found = [_summed(*np.concatenate(found, axis=1))]
+        pair, band, n = np.concatenate(found, axis=1)
+        # Each hit lies in its own band and, by the overlap, in the one before.
+        return tuple(_summed(np.append(pair, pair), np.append(band, band - 1), np.append(n, n)))
+
+
+def _summed(pair: np.ndarray, band: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Rows pair, band, n with the sum of n of each distinct pair and band, in order."""
+    order = np.lexsort((band, pair))
+    pair, band = pair[order], band[order]
+    at = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (band[1:] != band[:-1])))
+    return np.stack([pair[at], band[at], np.add.reduceat(n[order], at)])
 
 
 def _distinct(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     """Of overlapping regions of one item the one of fewest edits, then the first."""
     out: list[tuple[int, int, int, int]] = []
-    for x in sorted(found, key=lambda f: (f[0], f[3], f[1], f[2])):
-        if not any(o[0] == x[0] and o[1] < x[2] and x[1] < o[2] for o in out):
+    item, starts, ends = None, [], []  # of the item's regions so far, in order
+    for x in sorted(set(found), key=lambda f: (f[0], f[3], f[1], f[2])):
+        if x[0] != item:
+            item, starts, ends = x[0], [], []
+        i = bisect_left(starts, x[2])  # regions that begin before x ends: the last of them ends last
+        if not i or ends[i - 1] <= x[1]:
             out.append(x)
+            starts.insert(i, x[1])
+            ends.insert(i, x[2])
     return sorted(out, key=lambda f: (f[1], f[0], f[2]))
 
 
@@ -189,32 +215,36 @@ def item_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text")
     return n, fetch
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "hits") -> DataFrame:
-    """The columns named in keep and out, the hits (item_id, start, end, edits) of every row; out must not be one of keep."""
-    rows = docs.select(*[F.col(c) for c in keep], text_of(text).alias("__text"))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
-    rest = [f.name for f in rows.schema if f.name != "__text"]
+def find_contamination(
+    docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "hits"
+) -> DataFrame:
+    """The columns named in keep and out, the hits (item_id, start, end, edits) of every row."""
+    rows, ddl, rest, own = carried(docs, text, keep, (out,))
+    context = docs.sparkSession.sparkContext
 
-    def one(block: list[tuple[int, str]], rows: DataFrame, rest: list[str], more: bool) -> DataFrame:
+    def one(block: list[tuple[int, str]], rows: DataFrame, earlier: bool, more: bool) -> DataFrame:
+        """Adds one block's hits to those of earlier blocks; the text stays while more blocks follow."""
+        sent = context.broadcast(block)  # about BLOCK characters at most
         items: list[Items] = []
 
         def searched(batch: pa.RecordBatch) -> pa.RecordBatch:
             if not items:
-                items.append(Items(block, q, rate))
-            found = items[0].search(batch.column("__text").to_pylist())
+                items.append(Items(sent.value, q, rate))
+            found = items[0].search(batch.column(batch.schema.names.index(own)).to_pylist())
             cells = [[{"item_id": items[0].ids[k], "start": s, "end": t, "edits": e} for k, s, t, e in x] for x in found]
-            if out in rest:  # an earlier block's
-                cells = [a + b for a, b in zip(batch.column(out).to_pylist(), cells, strict=True)]
-            cols = {n: batch.column(n) for n in batch.schema.names} | {out: pa.array(cells, _HITS)}
-            names = [*[n for n in rest if n != out], *(["__text"] if more else []), out]
+            if earlier:
+                cells = [a + b for a, b in zip(batch.column(batch.schema.names.index(out)).to_pylist(), cells, strict=True)]
+            cols = dict(zip(batch.schema.names, batch.columns, strict=True)) | {out: pa.array(cells, _HITS)}
+            names = [*rest, *([own] if more else []), out]
             return pa.RecordBatch.from_arrays([cols[n] for n in names], names=names)
 
-        return map_batches(rows, searched, f"{ddl}{', __text string' if more else ''}, `{out}` {HITS}")
+        return map_batches(rows, searched, f"{ddl}{f', `{own}` string' if more else ''}, `{out}` {HITS}")
 
     n, fetch = item_blocks(benchmark)
     for b in range(n):
-        more = b + 1 < n
-        rows = one(fetch(b), rows, rest if b == 0 else [*rest, out], more)
-        if more:  # one block at a time on the driver and in the plan
+        before = rows
+        rows = one(fetch(b), rows, b > 0, b + 1 < n)
+        if b + 1 < n:  # one block at a time on the driver and in the plan
             rows = materialised(rows)
+            dropped(before)
     return rows
