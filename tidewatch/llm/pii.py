@@ -2,10 +2,11 @@
 
 Kinds of the base (always reported as proposed and validated, whatever the score): email, ip, card, phone.
 Kinds the method adds, reported from a score of MIN_SCORE: iban (mod-97), ssn (range rules and context), tel (national
-telephone numbers with context). Texts are scanned whole; memory is that of one Arrow batch.
+telephone numbers with context), secret (keys and tokens: long runs of mixed letters and digits, with context). Texts are
+scanned whole; memory is that of one Arrow batch.
 
-Defined results: a null text counts as empty; repeated rows each get a row; extra columns are ignored; an empty table
-gives no rows.
+Defined results: a null text counts as empty; repeated rows each get a row; extra columns are ignored, kept ones named base
+or spans are carried with _ appended; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.base import carried, map_batches
 
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "tel")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "tel", "secret")
 BASE = KINDS[:4]
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -29,15 +30,19 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 TEL = re.compile(r"(?<![0-9+(])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])")
-DIGIT = re.compile(r"[0-9]")
+SECRET = re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}={0,2}")
+DIGIT, LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 #: Score of a validated proposal, what a word for or against in the CONTEXT characters around it adds, and the least score reported.
-PRIOR = {"iban": 0.9, "ssn": 0.4, "tel": 0.4}
+PRIOR = {"iban": 0.9, "ssn": 0.4, "tel": 0.4, "secret": 0.4}
 FOR = {
     "iban": ("iban", "account", "bank", "konto", "cuenta", "compte"),
     "ssn": ("ssn", "social security", "social-security", "tax id"),
+    "secret": ("token", "secret", "api key", "apikey", "api_key", "access key", "access_key", "private key", "password", "passwd", "bearer", "credential", "credentials"),
     "tel": ("phone", "tel", "call", "mobile", "fax", "cell", "telefon", "téléphone", "teléfono"),
 }
-AGAINST = ("order", "invoice", "isbn", "version", "part no", "serial", "tracking")
+#: Distinct letters and digits that a key has at least.
+VARIETY = 8
+AGAINST = ("order", "invoice", "isbn", "version", "part no", "serial", "tracking", "commit", "checksum", "sha1", "sha256", "md5", "digest")
 STEP, CONTEXT, MIN_SCORE = 0.35, 48, 0.7
 
 
@@ -102,7 +107,7 @@ def more_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     if not DIGIT.search(text):
         return []
     out = []
-    for kind, pattern in (("iban", IBAN), ("ssn", SSN), ("tel", TEL)):
+    for kind, pattern in (("iban", IBAN), ("ssn", SSN), ("tel", TEL), ("secret", SECRET)):
         after = 0
         while m := pattern.search(text, after):
             a, b = m.span()
@@ -116,6 +121,8 @@ def more_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
                     continue
             elif kind == "ssn" and (m[0][:3] in ("000", "666") or m[0][0] == "9" or m[0][4:6] == "00" or m[0][7:] == "0000"):
                 continue
+            elif kind == "secret" and not (len(set(m[0])) >= VARIETY and DIGIT.search(m[0]) and LETTER.search(m[0])):
+                continue
             if any(a < e and s < b for s, _, e in taken) or any(a < e and s < b for s, _, e in out):
                 continue
             if score(text, kind, a, b) >= MIN_SCORE:
