@@ -1,7 +1,8 @@
 import html
+import random
 import re
 
-from tidewatch.llm.html_extract import LABELLED, extract, extract_pages
+from tidewatch.llm.html_extract import LABELLED, best_run, extract, extract_pages, sequence
 
 
 def test_weights_recover_the_labelled_pages():
@@ -26,3 +27,48 @@ def test_odd_pages(spark):
     got = {r.page_id: r.text for r in extract_pages(df).collect()}
     assert got == dict(enumerate(cases.values()))
     assert extract_pages(df.limit(0)).count() == 0
+
+
+def unscanned(page):
+    """What the words' weights alone would give: every word that no element keeps out."""
+    return " ".join("".join(sequence(page)[1]).split())
+
+
+def test_the_scan_decides():
+    menu, foot = "<nav>" + "<a>go there</a> " * 20 + "</nav>", "<footer>all rights reserved by us here</footer>"
+    text = "<article><h1>Title words</h1>" + "<p>some words of the text</p>" * 9 + "</article>"
+    want = "Title words" + " some words of the text" * 9
+    for page in (
+        f"<body><div>a slogan</div>{menu}{text}{foot}</body>",  # nothing but the scan keeps the slogan out
+        f"<body>{menu}{text}{foot}<p>made with love</p></body>",
+        f"<body><p>skip to content</p>{menu}<div>{text}</div><span>top</span></body>",
+    ):
+        assert extract(page) == want != unscanned(page)
+    boxes = "<body><div>name of site</div>" + menu + "<div><div>first words of a text in boxes</div>" * 2 + "<div>and the last ones</div></div></div>" + foot + "<div>x y</div>"
+    assert extract(boxes) == "first words of a text in boxes " * 2 + "and the last ones" != unscanned(boxes)
+    inner = text.replace("</h1>", '</h1><div class="ad">' + "buy this " * 90 + "</div>")
+    assert extract(f"{menu}{inner}{foot}") == want  # an advert does not part the text around it
+    themed = '<article><header class="entry-header"><h1 class="entry-title">Head line</h1></header><p>and text</p></article>'
+    assert extract(f"{menu}{themed}{foot}") == "Head line and text"
+
+
+def test_best_run_against_brute_force():
+    r = random.Random(4)
+    for _ in range(400):
+        x = [r.choice((-3.0, -1.0, -0.5, 0.0, 1.0, 2.0)) for _ in range(r.randint(0, 14))]
+        sums = {(a, b): sum(x[a:b]) for a in range(len(x)) for b in range(a + 1, len(x) + 1)}
+        best = max(sums.values(), default=0.0)
+        a, b = best_run(x)
+        assert sum(x[a:b]) == max(best, 0.0)
+        if best > 0:
+            first = min(k for k, v in sums.items() if v == best)[0]
+            assert a == first and b == max(k[1] for k, v in sums.items() if v == best and k[0] == first)
+
+
+def test_clashing_columns_ties_and_long_pages(spark):
+    long = "<body><nav>m n</nav><article>" + "<p>word and word</p>" * 40_000 + "</article><footer>f</footer></body>"
+    same = "<p>a b</p>" + "<nav>" + "x " * 30 + "</nav><p>c d</p>"
+    df = spark.createDataFrame([(1, long, "t"), (2, same, "t"), (2, same, "t")], "page_id long, html string, text string")
+    got = extract_pages(df, keep=("page_id", "text"))
+    assert got.columns == ["page_id", "text_", "text"]
+    assert sorted((r.page_id, r.text_, r.text) for r in got.collect()) == [(1, "t", " ".join(["word and word"] * 40_000)), (2, "t", "a b"), (2, "t", "a b")]

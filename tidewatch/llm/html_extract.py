@@ -1,21 +1,24 @@
 """HTML extraction by the maximum-scoring subsequence.
 
-A page is read as a sequence of words and tags. Words score positive, but for words below an element that labelled pages
-show outside the content (menus, headers, footers, sidebars, notices, adverts, forms, comments): those score slightly
-negative and are never part of the text. Tags score negative: slightly, or heavily where labelled pages show content to
-begin or end at that tag. One linear scan (Kadane) finds the best contiguous region; its words are the main text.
+A page is read as a sequence of words and tags. A word scores WORD, but below an element that labelled pages show outside
+the content (menus, headers, footers, sidebars, notices, adverts, forms, comments) it scores that element's log odds, which
+are clearly negative; where such an element stands inside an article it scores nothing, so that an advert does not part the
+text around it. Tags score negative: slightly, or heavily where labelled pages show content to begin or end at that tag. One
+linear scan (Kadane) finds the best contiguous region, and its words but for those of such elements are the main text. So
+text that no element gives away (a slogan above the menu, a line behind the footer) stays out as reaching it costs more
+than it brings.
 
-All weights come from LABELLED, pages with their content marked, by counting:
-  word weight of an element's feature (tag name, or a token of its class, id or role) = log odds, with one added to both
-  counts, of words below it lying in the content; an element's weight is its least one below BAD, else none;
-  tag weight = -(BASE_COST + BORDER_COST * share of the tag's occurrences at which the content begins or ends).
+All weights are counted from LABELLED, pages with their content marked:
+  weight of an element's feature (tag name, or a token of its class, id or role) = log odds, with one added to both counts,
+  of words below it lying in the content; an element's weight is its least one below BAD, else none;
+  tag weight = -(BASE_COST + BORDER_COST * share of the tag's occurrences that the content begins right after or ends before).
 
 White space (as str.split() sees it) inside a block becomes one space, blocks are trimmed and joined by one space, character
 references are decoded.
 
 Defined results: a null, empty or word-less page gives an empty text; unclosed and stray tags are borne; markup that ends
 inside a tag or comment is dropped; ties take the first and longest region; repeated rows each get a row; extra columns are
-ignored; an empty table gives no rows.
+ignored, a kept one named text is carried with _ appended; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,41 +31,57 @@ from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tidewatch.llm.base import map_batches, text_of
+from tidewatch.llm.base import carried, map_batches
 
 START, STOP = "[[", "]]"
 BAD = -1.0
-WORD, OUTSIDE_WORD, BASE_COST, BORDER_COST = 1.0, -0.01, 0.005, 40.0
+#: Scores: of a word, of any tag, and of a tag at which content always begins or ends (in words).
+WORD, BASE_COST, BORDER_COST = 1.0, 0.005, 40.0
 #: Labelled pages: content stands between [[ and ]].
 LABELLED = (
-    '<html><head><title>t a b</title></head><body><nav><ul><li><a href=x>home page</a></li><li><a>news</a></li></ul></nav><div class="ad">buy this now please</div>'
-    "[[<article><h1>one two</h1><p>three four <b>five</b> six<br>seven</p><p>eight nine ten</p></article>]]<footer>&copy; all rights reserved here</footer></body></html>",
-    '<body><header class="site-header"><a>logo site</a><nav class="menu navigation navbar">a b c</nav></header><main>[[<article><header><h1>one two three</h1></header><p>four five</p>'
-    "<ul><li>six seven</li><li>eight nine</li></ul><p>ten eleven</p></article>]]</main><aside class=\"sidebar widget\"><h3>more to read</h3><ul><li><a>x y</a></li></ul></aside>"
+    '<html><head><title>t a b</title></head><body><nav><ul><li><a href=x>home page</a></li><li><a>news</a></li></ul></nav>'
+    '<div class="ad">buy this now please</div><article>[[<h1>one two</h1><p>three four <b>five</b> six<br>seven</p>'
+    "<p>eight nine ten</p>]]</article><footer>&copy; all rights reserved here</footer></body></html>",
+    '<body><header class="site-header"><a>logo site</a><nav class="menu navigation navbar">a b c</nav></header><main>'
+    '<article>[[<header class="entry-header post-header article-header"><h1>one two three</h1></header><p>four five</p>'
+    "<ul><li>six seven</li><li>eight nine</li></ul><p>ten eleven</p>]]</article></main>"
+    '<aside class="sidebar widget"><h3>more to read</h3><ul><li><a>x y</a></li></ul></aside>'
     "<footer id=footer><p>imprint privacy</p></footer></body>",
-    '<body><div id="header" role="banner">name of site</div><div role="navigation" class="nav breadcrumb breadcrumbs">a b c</div><div id="content" class="content post entry">[[<h2>one two</h2>'
-    "<p>three four five</p><blockquote>six seven</blockquote><p>eight nine</p><table><tr><td>ten</td><td>eleven</td></tr></table>]]</div>"
-    '<div class="comments comment" id="comments"><p>nice post thanks</p><p>me too</p></div><div class="sidebar" role="complementary">s t u v</div><div id="footer" role="contentinfo">w x y</div></body>',
-    '<body><div class="cookie cookies notice consent banner gdpr">we use cookies accept</div><article>[[<h1>one</h1><section><p>two three</p><figure><figcaption>four five</figcaption></figure></section>'
+    '<body><div id="header" role="banner">name of site</div><div role="navigation" class="nav breadcrumb breadcrumbs">a b c'
+    '</div><div id="content" class="content post entry">[[<h2>one two</h2><p>three four five</p><blockquote>six seven'
+    "</blockquote><p>eight nine</p><table><tr><td>ten</td><td>eleven</td></tr></table>]]</div>"
+    '<div class="comments comment" id="comments"><p>nice post thanks</p><p>me too</p></div>'
+    '<div class="sidebar" role="complementary">s t u v</div><div id="footer" role="contentinfo">w x y</div></body>',
+    '<body><div class="cookie cookies notice consent banner gdpr">we use cookies accept</div><article>[[<h1>one</h1>'
+    "<section><p>two three</p><figure><figcaption>four five</figcaption></figure></section>"
     "<section><h2>six</h2><p>seven eight nine</p><pre>ten eleven</pre></section>]]</article>"
-    '<section class="related recommended promo newsletter subscribe"><h3>read next</h3><p>p q r</p></section><form class="signup"><label>your mail</label><button>send it</button></form></body>',
-    '<body><div class="alert notification popup modal overlay">sale today only</div><div class="ads advert advertisement sponsor sponsored banner-ad adsbygoogle">cheap things here</div><main>[[<h1>one two</h1>'
-    "<p>three <em>four</em> <a>five</a></p><div><p>six seven eight</p></div><dl><dt>nine</dt><dd>ten</dd></dl>]]</main>"
-    '<div class="share social sharing toolbar">tweet pin mail</div><div class="pagination pager">1 2 3 next</div><div class="search login skip-link">find log in</div><div class="disclaimer paywall cta warning">terms apply here</div><div id="disqus_thread" class="disqus discussion replies reply respond">u v w</div></body>',
-    '<body><div class="topbar masthead">a b c</div><div class="wrapper container"><div class="menu">d e f</div>[[<article class="post hentry"><h1>one</h1><p>two three four</p>]]'
-    '<form><select><option>g h i</option></select><input><textarea>j k l</textarea></form><aside>m n o p</aside><div class="ad">q r s</div><div class="comments">t u v</div></article></div>'
-    "<noscript>turn on scripts</noscript><dialog>ok go away</dialog><menu><li>x y</li></menu></body>",
-    '<body><div class="wrapper container page layout row col main"><div class="post hentry article story text body"><div>[[<h1>a title of six words here</h1><h3>a smaller one of six words</h3>'
-    "<p>a long text with <a>a link of five words</a> and then <i>some more</i> <strong>words</strong> and <code>code</code> with <span>spans</span> too</p><div>words in a plain box of the text <a>more links</a></div>"
-    "<h4>one more title here</h4><ul><li>a list of words in the text with <a>a long link of words</a></li></ul><ol><li>and a numbered list</li></ol><p>and the last words of the text <a>with a link</a></p>]]</div></div></div></body>",
+    '<section class="related recommended promo newsletter subscribe"><h3>read next</h3><p>p q r</p></section>'
+    '<form class="signup"><label>your mail</label><button>send it</button></form></body>',
+    '<body><div class="alert notification popup modal overlay">sale today only</div>'
+    '<div class="ads advert advertisement sponsor sponsored banner-ad adsbygoogle">cheap things here</div><main>[[<h1>one two'
+    "</h1><p>three <em>four</em> <a>five</a></p><div><p>six seven eight</p></div><dl><dt>nine</dt><dd>ten</dd></dl>]]</main>"
+    '<div class="share social sharing toolbar">tweet pin mail</div><div class="pagination pager">1 2 3 next</div>'
+    '<div class="search login skip-link">find log in</div><div class="disclaimer paywall cta warning">terms apply here</div>'
+    '<div id="disqus_thread" class="disqus discussion replies reply respond">u v w</div></body>',
+    '<body><div class="topbar masthead">a b c</div><div class="wrapper container"><div class="menu">d e f</div>'
+    '<article class="post hentry">[[<h1>one</h1><p>two three four</p>]]<form><select><option>g h i</option></select><input>'
+    '<textarea>j k l</textarea></form><aside>m n o p</aside><div class="ad">q r s</div><div class="comments">t u v</div>'
+    "</article></div><noscript>turn on scripts</noscript><dialog>ok go away</dialog><menu><li>x y</li></menu></body>",
+    '<body><div class="wrapper container page layout row col main"><div class="post hentry article story text body"><div>'
+    "[[<h1>a title of six words here</h1><h3>a smaller one of six words</h3>"
+    "<p>a long text with <a>a link of five words</a> and then <i>some more</i> <strong>words</strong> and <code>code</code> "
+    "with <span>spans</span> too</p><div>words in a plain box of the text <a>more links</a></div>"
+    "<h4>one more title here</h4><ul><li>a list of words in the text with <a>a long link of words</a></li></ul>"
+    "<ol><li>and a numbered list</li></ol><p>and the last words of the text <a>with a link</a></p>]]</div></div></div></body>",
+    "<body><div class=page><main>[[" + "<div>a text in plain boxes</div><section><div><p>one in another</p></div></section>" * 40 + "]]</main></div></body>",
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noframes svg math object canvas audio video".split())
 BLOCK = frozenset(
-    "address article aside blockquote body br button canvas caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frame h1 h2 h3 h4 h5 h6 head "
-    "header hgroup hr html iframe legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split()
+    "address article aside blockquote body br button canvas caption center col colgroup dd details dialog dir div dl dt fieldset "
+    "figcaption figure footer form frame h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript ol "
+    "optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
 TAG = re.compile(r"<(?:!--(?P<c>.*?)(?:--!?>|\Z)|(?P<s>/?)(?P<n>[A-Za-z][^\s/>]*)(?P<a>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|(?:!|\?|/)[^>]*(?:>|\Z))", re.S)
 ATTR = re.compile(r"(?:^|[\s/\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -76,11 +95,12 @@ def raw_end(name: str) -> re.Pattern:
 
 @cache
 def features(name: str, attrs: str, inside: bool) -> tuple[str, ...]:
-    """Of an element: its tag (headers inside an article apart), and tokens of class, id and role."""
-    out = ["header-in" if name == "header" and inside else name]
+    """Of an element: its tag and tokens of class, id and role (headers inside an article apart)."""
+    own = lambda x: "header-in" if x == "header" and inside else x
+    out = [own(name)]
     if attrs:
         for m in ATTR.finditer(attrs):
-            out += [f".{t}" for t in re.split(r"[\s]+", (m[2] or m[3] or m[4] or "").lower()) if t]
+            out += [f".{own(t)}" for t in (m[2] or m[3] or m[4] or "").lower().split()]
     return tuple(out)
 
 
@@ -117,29 +137,24 @@ class Weights:
     def __init__(self, pages: tuple[str, ...] = LABELLED):
         inside, outside, border, seen = Counter(), Counter(), Counter(), Counter()
         for page in pages:
-            now, stack, edge = False, [], False
-            before = None
+            now, stack, ended, before = False, [], False, None
             for kind, value, attrs in events(page):
                 if kind == "t":
                     for part in re.split(r"(\[\[|\]\])", value):
-                        if part in (START, STOP):
-                            now = part == START
-                            edge = True
-                            if before and not now:
-                                border[before] += 1
+                        if part == START:
+                            now = True
+                            border[before] += 1
+                        elif part == STOP:
+                            now, ended = False, True
                         elif part.strip():
-                            k = len(part.split())
                             for f in {f for _, fs in stack for f in fs}:
-                                (inside if now else outside)[f] += k
-                            edge = False
-                        before = None
+                                (inside if now else outside)[f] += len(part.split())
                     continue
-                tag = ("/" if kind == "e" else "") + value
-                seen[tag] += 1
-                if edge and kind == "s":
-                    border[tag] += 1
-                edge = False
-                before = tag
+                before = ("/" if kind == "e" else "") + value
+                seen[before] += 1
+                if ended:
+                    border[before] += 1
+                    ended = False
                 if kind == "s" and value not in VOID:
                     stack.append((value, features(value, attrs, any(s[0] in ("article", "main") for s in stack))))
                 elif kind == "e":
@@ -148,25 +163,24 @@ class Weights:
                             del stack[i:]
                             break
         self.word = {f: math.log((inside[f] + 1) / (outside[f] + 1)) for f in {*inside, *outside}}
-        for f in ("script", "style", "noscript", "template", "head", "title"):
-            self.word[f] = -9.0
-        self.tag = {t: -(BASE_COST + BORDER_COST * min(1.0, border[t] / n)) for t, n in seen.items()}
-        for t in ("p", "h1", "h2", "div", "section", "/p", "/h1", "/h2", "/div", "/section", "blockquote", "/blockquote", "table", "/table", "tr", "td", "/dl", "/pre"):
-            self.tag[t] = max(self.tag.get(t, -BASE_COST), -BASE_COST)  # borders only by chance of a page's first block
+        self.tag = {t: -(BASE_COST + BORDER_COST * border[t] / n) for t, n in seen.items()}
 
     @cache  # noqa: B019
-    def bad(self, name: str, attrs: str, inside: bool) -> bool:
+    def element(self, name: str, attrs: str, inside: bool) -> float:
+        """Weight of an element that stands outside the content, below BAD; 0: it does not."""
         if attrs and HIDDEN.search(attrs):
-            return True
+            return min(self.word.values())
         found = []
         for f in features(name, attrs, inside):
             w = self.word.get(f)
             if w is None and f[0] == "." and len(parts := re.split(r"[-_]+", f[1:])) > 1:  # site-footer, ad-box
-                w = min((self.word.get(f".{p}", 0.0) for p in parts), default=0.0)
+                w = min(self.word.get(f".{'header-in' if p == 'header' and inside else p}", 0.0) for p in parts)
             found.append(w or 0.0)
-        best = max(found[1:], default=0.0)
-        # A content class outweighs a neutral tag, never a bad tag.
-        return found[0] < BAD or (min(found[1:], default=0.0) < BAD and best <= -BAD)
+        marked = min(found[1:], default=0.0)
+        # A content class outweighs a neutral tag or another class, never a tag of the outside.
+        if found[0] >= BAD and (marked >= BAD or max(found[1:]) > -BAD):
+            return 0.0
+        return min(found[0], marked)
 
 
 @cache
@@ -174,69 +188,71 @@ def default_weights() -> Weights:
     return Weights()
 
 
-def extract(html: str, weights: Weights | None = None) -> str:
-    """The main text of one page."""
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """Where the contiguous run of the greatest sum begins and ends (exclusive); the first of equal ones, then the longest.
+    (0, 0) where no sum is positive."""
+    best, total, begin, out = 0.0, 0.0, 0, (0, 0)
+    for i, x in enumerate(scores):
+        if total < 0:
+            total, begin = 0.0, i
+        total += x
+        if total > best or (total == best > 0 and begin == out[0]):
+            best, out = total, (begin, i + 1)
+    return out
+
+
+def sequence(html: str, weights: Weights | None = None) -> tuple[list[float], list[str]]:
+    """The page as scores and what each adds to the text: a stretch of words, a block's break, or nothing."""
     w = weights or default_weights()
-    cost = w.tag
-    stack: list[tuple[str, bool]] = []
-    bad = 0
+    scores: list[float] = []
+    pieces: list[str] = []
+    stack: list[tuple[str, float]] = []
+    outer: list[float] = []  # weights of open elements that stand outside the content
     homes = 0
-    # Kadane over the sequence, in steps of whole text stretches and tags
-    score, best = 0.0, 0.0
-    begin = 0
-    chosen = (0, 0)
-    pieces: list[str] = []  # text stretches and block breaks, in order
     for kind, value, attrs in events(html):
         if kind == "t":
-            if bad:
-                score += OUTSIDE_WORD * (value.count(" ") + 1)
-            else:
-                text = unescape(value) if "&" in value else value
-                pieces.append(text)
-                n = len(text.split())
-                if n:
-                    if score < 0:
-                        score, begin = 0.0, len(pieces) - 1
-                    score += WORD * n
-                    if score > best:
-                        best, chosen = score, (begin, len(pieces))
-                    continue
+            text = unescape(value) if "&" in value else value
+            n = len(text.split())
+            scores.append(WORD * n if not outer else 0.0 if homes else min(outer) * n)
+            pieces.append("" if outer else text)
+            continue
+        brk = value in BLOCK and not outer
+        if kind == "s":
+            weight = 0.0 if value in VOID else w.element(value, attrs, homes > 0)
+            if value not in VOID:
+                stack.append((value, weight))
+                if weight:
+                    outer.append(weight)
+                homes += value in ("article", "main") and not outer
         else:
-            tag = value if kind == "s" else f"/{value}"
-            flag = kind == "s" and value not in VOID and w.bad(value, attrs, homes > 0)
-            if not bad and value in BLOCK:
-                pieces.append("\n\n")
-            score += -BASE_COST if bad or flag else cost.get(tag, -BASE_COST)
-            if kind == "s":
-                if value not in VOID:
-                    stack.append((value, flag))
-                    bad += flag
-                    homes += value in ("article", "main")
-            else:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == value:
-                        for name, flag in stack[i:]:
-                            bad -= flag
-                            homes -= name in ("article", "main")
-                        del stack[i:]
-                        if not bad and value in BLOCK:
-                            pieces.append("\n\n")
-                        break
-                    if stack[i][0] in ("article", "body", "html", "td", "th") and value not in ("article", "body", "html", "main", "table", "tr"):
-                        break
-        if score < 0:
-            score, begin = 0.0, len(pieces)
-    return " ".join("".join(pieces[chosen[0] : chosen[1]]).split())
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] == value:
+                    for name, weight in reversed(stack[i:]):
+                        homes -= name in ("article", "main") and not outer
+                        if weight:
+                            outer.pop()
+                    del stack[i:]
+                    break
+                if stack[i][0] in ("article", "body", "html", "td", "th") and value not in ("article", "body", "html", "main", "table", "tr"):
+                    break
+        scores.append(-BASE_COST if outer else w.tag.get(value if kind == "s" else f"/{value}", -BASE_COST))
+        pieces.append("\n\n" if brk or (value in BLOCK and not outer) else "")
+    return scores, pieces
+
+
+def extract(html: str, weights: Weights | None = None) -> str:
+    """The main text of one page."""
+    scores, pieces = sequence(html, weights)
+    begin, end = best_run(scores)
+    return " ".join("".join(pieces[begin:end]).split())
 
 
 def extract_pages(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns named in keep and the main text of every row."""
-    rows = pages.select(*[F.col(c) for c in keep], text_of(html).alias("__html"))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__html")
-    rest = [f.name for f in rows.schema if f.name != "__html"]
+    rows, ddl, names, _ = carried(pages, html, keep, ("text",))
 
     def extracted(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [extract(h) for h in batch.column("__html").to_pylist()]
-        return pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(texts, pa.string())], names=[*rest, "text"])
+        texts = [extract(h) for h in batch.columns[-1].to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*names, "text"])
 
     return map_batches(rows, extracted, f"{ddl}, text string")
