@@ -38,3 +38,18 @@ def test_publish_stream_is_idempotent(spark, tmp_path):
     for n in range(2):
         state.publish_stream(stream(), lambda b: {"pages": b}, str(tmp_path / "out"), str(tmp_path / f"cp{n}")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out/pages")).count() == 3
+
+
+def test_a_run_over_two_batches_is_published_whole(spark, tmp_path):
+    schema = "run_id string, page_id int, title string"
+    there = str(tmp_path / "in")
+    go = lambda: state.publish_stream(
+        spark.readStream.schema(schema).parquet(there), lambda b: {"pages": b, "sizes": b.groupBy("run_id").count()}, str(tmp_path / "out"), str(tmp_path / "cp")
+    ).awaitTermination(120)
+    spark.createDataFrame([("r1", 1, "a"), ("r1", 2, "b"), ("r2", 1, "c")], schema).coalesce(1).write.parquet(there)
+    go()
+    spark.createDataFrame([("r1", 3, "d"), ("r1", 2, "late")], schema).coalesce(1).write.mode("append").parquet(there)
+    go()
+    got = sorted((r.run_id, r.page_id, r.title) for r in spark.read.parquet(str(tmp_path / "out/pages")).collect())
+    assert got == [("r1", 1, "a"), ("r1", 2, "b"), ("r1", 3, "d"), ("r2", 1, "c")]
+    assert {r.run_id: r["count"] for r in spark.read.parquet(str(tmp_path / "out/sizes")).collect()} == {"r1": 3, "r2": 1}

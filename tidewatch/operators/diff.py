@@ -60,6 +60,10 @@ def canonical_value(resolved: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(resolved)), " ")
 
 
+#: What an observation is compared by.
+COMPARED = ("fetch_outcome", "initial_status", "robots", "title", "meta_description", "canonical", "internal_links_count", "field_validity")
+
+
 def comparable(side: str) -> dict[str, Column]:
     """Fields of one side of the joined observations."""
     c = lambda f: F.col(f"{side}.{f}")
@@ -75,8 +79,8 @@ def observation_diff(current: DataFrame, base: DataFrame, base_run: str = "base_
     current carries the id of the run to compare with (null: none). One left join on (run, page); the field comparisons are
     one projection whose events are exploded, so the observations are read once per side. Never reports removed pages.
     """
-    c = current.select(*keys, "page_id", "identity_url", base_run, F.struct(*current.columns).alias("now"))
-    b = base.select(F.col("run_id").alias("__run"), F.col("page_id").alias("__page"), F.struct(*base.columns).alias("was"))
+    c = current.select(*keys, "page_id", "identity_url", base_run, F.struct(*COMPARED).alias("now"))
+    b = base.select(F.col("run_id").alias("__run"), F.col("page_id").alias("__page"), F.struct(*COMPARED).alias("was"))
     both = c.join(b, (F.col(base_run) == F.col("__run")) & (F.col("page_id") == F.col("__page")), "left")
     x, y = comparable("was"), comparable("now")
     known = lambda f: F.coalesce(x["validity"][f] == "KNOWN", F.lit(False)) & F.coalesce(y["validity"][f] == "KNOWN", F.lit(False))

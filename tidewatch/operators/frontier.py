@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import urls
+from tidewatch.sources.tables import stored
 
 # Order of seed sources; sitemap budgets; redirects.
 SOURCES = ("ENTRY", "MONITORED", "SITEMAP", "LINK")
@@ -18,9 +19,8 @@ REDIRECTS, MAX_HOPS = (301, 302, 303, 307, 308), 5
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: a checkpoint in the shared folder where one is set, else the rows as they are planned."""
-    set_ = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    return df.checkpoint() if set_ else df.persist()
+    """Cuts the lineage: the rows as a table in the shared folder."""
+    return stored(df)
 
 
 def seeds(entry: DataFrame, monitored: DataFrame, sitemap: DataFrame, keys: tuple[str, ...] = ("run_id", "url_key")) -> DataFrame:

@@ -5,8 +5,13 @@ Time is always a parameter.
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable, Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Limits of the service.
 DAILY_MANUAL_RUNS, MANUAL_SPACING_S, DAY_S = 10, 300, 86_400
@@ -33,24 +38,67 @@ def crawl_quota(attempts: DataFrame, key: str = "project_id", at: str = "created
     return one.withColumn("refused", F.when(n >= DAILY_MANUAL_RUNS, "DAILY_LIMIT").when(last + MANUAL_SPACING_S > F.col("__t"), "SPACING")).drop("__t")
 
 
-def allowed_attempts(times: Column, most: int, window_s: int) -> Column:
-    """For ascending times (seconds) of one key whether each is allowed; refused ones do not count. One fold over the array,
-    whose state is the times that still count: at most `most` of them."""
-    start = F.struct(F.array().cast("array<bigint>").alias("kept"), F.array().cast("array<boolean>").alias("out"))
+def folded(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], ddl: str, fold: Callable[[], Callable[..., object]]) -> DataFrame:
+    """Each key's rows in order through a fold that answers every row: linear, and no more than a batch is held.
+
+    df: keys, then order, then further arguments of the fold. Rows of one key are one sorted stream in one task. fold() gives
+    a fresh function of (order and further columns) for each key; ddl: the keys, the last order column, the answer.
+    """
+    answer = T._parse_datatype_string(ddl).names
+    rest = [c for c in df.columns if c not in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, step = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            out = []
+            for key, *row in zip(own, *(batch.column(c).to_pylist() for c in rest), strict=True):
+                if step is None or key != now:
+                    now, step = key, fold()
+                out.append(step(*row))
+            columns = [*(batch.column(k) for k in keys), batch.column(order[-1])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(out)], names=answer)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, ddl)
+
+
+def _ddl(df: DataFrame, columns: Sequence[str], answer: str) -> str:
+    return ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns), answer])
+
+
+def limiter(most: int, window_s: int) -> Callable[[], Callable[[int, object], bool]]:
+    """A fold over ascending times (seconds): whether each is allowed. Refused ones do not count; at most `most` are held."""
+
+    def fold() -> Callable[[int, object], bool]:
+        kept: deque[int] = deque()
 
-    def take(state: Column, t: Column) -> Column:
-        live = F.filter(state["kept"], lambda x: x > t - window_s)
-        ok = F.size(live) < most
-        return F.struct(F.when(ok, F.concat(live, F.array(t))).otherwise(live).alias("kept"), F.concat(state["out"], F.array(ok)).alias("out"))
+        def step(t: int, _: object) -> bool:
+            while kept and kept[0] <= t - window_s:
+                kept.popleft()
+            if len(kept) >= most:
+                return False
+            kept.append(t)
+            return True
 
-    return F.aggregate(times, start, take, lambda s: s["out"])
+        return step
+
+    return fold
 
 
 def rate_limit(attempts: DataFrame, most: int, window_s: int, key: str = "subject", at: str = "ts", id_: str = "id") -> DataFrame:
     """key, id, allowed for every attempt of one route."""
-    grouped = attempts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(seconds(F.col(at)).alias("t"), F.col(id_).alias("id")))).alias("a"))
-    judged = grouped.withColumn("ok", allowed_attempts(F.col("a.t"), most, window_s))
-    return judged.select(key, F.inline(F.arrays_zip(F.col("a.id").alias("id"), F.col("ok").alias("allowed"))))
+    rows = attempts.select(F.col(key), seconds(F.col(at)).alias("__t"), F.col(id_).alias("id"))
+    return folded(rows, (key,), ("__t", "id"), _ddl(rows, (key, "id"), "allowed boolean"), limiter(most, window_s))
+
+
+SCHEDULES_PER_TICK = 20  # fixed value
+
+
+def due_schedules(schedules: DataFrame, now: Column, take: int = SCHEDULES_PER_TICK) -> DataFrame:
+    """What one tick of the scanner claims: enabled schedules that are due, the first `take` by project (a top-k)."""
+    return schedules.filter(F.col("enabled") & (F.col("next_run_at") <= now)).orderBy("project_id").limit(take)
 
 
 def schedule_scan(due: DataFrame, now: Column) -> DataFrame:
@@ -96,18 +144,29 @@ def retention_plan(runs: DataFrame, protected: DataFrame, now: Column, days: int
     return live.withColumn("rank", rank).filter(old | (F.col("rank") >= keep)).join(protected, "run_id", "left_anti")
 
 
-def idempotency(requests: DataFrame, ttl_s: int = DAY_S, key: tuple[str, ...] = ("actor_id", "workspace_id", "route", "key"), at: str = "ts", hash_: str = "request_hash", id_: str = "id") -> DataFrame:
-    """Adds outcome (RUN, REPLAY, CONFLICT) to requests: the first of a key runs and holds it for ttl_s; later ones meet it."""
-    grouped = requests.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(seconds(F.col(at)).alias("t"), F.col(id_).alias("id"), F.col(hash_).alias("h")))).alias("a"))
-    start = F.struct(F.lit(None).cast("bigint").alias("t"), F.lit(None).cast("string").alias("h"), F.array().cast("array<string>").alias("out"))
+def holder(ttl_s: int) -> Callable[[], Callable[[int, object, object], str]]:
+    """A fold over ascending requests of one key: the first holds it for ttl_s."""
+
+    def fold() -> Callable[[int, object, object], str]:
+        held: list = []
+
+        def step(t: int, _: object, hash_: object) -> str:
+            if held and t < held[0] + ttl_s:
+                return "REPLAY" if held[1] == hash_ else "CONFLICT"
+            held[:] = [t, hash_]
+            return "RUN"
+
+        return step
+
+    return fold
 
-    def take(s: Column, r: Column) -> Column:
-        live = F.coalesce(r["t"] < s["t"] + ttl_s, F.lit(False))
-        what = F.when(~live, "RUN").when(s["h"] == r["h"], "REPLAY").otherwise("CONFLICT")
-        return F.struct(F.when(live, s["t"]).otherwise(r["t"]).alias("t"), F.when(live, s["h"]).otherwise(r["h"]).alias("h"), F.concat(s["out"], F.array(what)).alias("out"))
 
-    out = grouped.withColumn("o", F.aggregate("a", start, take, lambda s: s["out"]))
-    return out.select(*key, F.inline(F.arrays_zip(F.col("a.id").alias("id"), F.col("o").alias("outcome"))))
+def idempotency(
+    requests: DataFrame, ttl_s: int = DAY_S, key: tuple[str, ...] = ("actor_id", "workspace_id", "route", "key"), at: str = "ts", hash_: str = "request_hash", id_: str = "id"
+) -> DataFrame:
+    """key, id, outcome (RUN, REPLAY, CONFLICT) of requests: the first of a key runs and holds it for ttl_s; later ones meet it."""
+    rows = requests.select(*key, seconds(F.col(at)).alias("__t"), F.col(id_).alias("id"), F.col(hash_).alias("__h"))
+    return folded(rows, key, ("__t", "id"), _ddl(rows, (*key, "id"), "outcome string"), holder(ttl_s))
 
 
 def claimable(events: DataFrame, now: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.codec import clamp_page_size, encode_cursor
+from tidewatch.operators.operations import TERMINAL
+from tidewatch.operators.rules import SCOPE
 
 DEFAULT_STATE = "OPEN"
 
@@ -72,12 +74,12 @@ def changes(events: DataFrame, pages: DataFrame, summary: DataFrame, severity: s
 
 
 def current_issues(states: DataFrame, runs: DataFrame) -> DataFrame:
-    """The present row of every issue in its project's current scope (the policy of the last run)."""
-    scope = runs.groupBy("project_id").agg(F.max_by("policy_id", "run_no").alias("policy_id"))
-    last = states.groupBy("project_id", "policy_id", "page_id", "rule_key").agg(
+    """The present row of every issue in its project's current scope (that of the last run's policy)."""
+    scope = runs.groupBy("project_id").agg(F.max_by(F.struct("scope_generation", "rule_version"), "run_no").alias("s")).select("project_id", "s.*")
+    last = states.groupBy(*SCOPE, "page_id", "rule_key").agg(
         F.max_by(F.struct("state", "occurrence", "evidence"), "run_no").alias("s"), F.max("run_no").alias("last_run_no"), F.min("run_no").alias("first_run_no")
     )
-    return last.join(scope, ["project_id", "policy_id"], "left_semi").select("project_id", "policy_id", "page_id", "rule_key", "s.*", "first_run_no", "last_run_no")
+    return last.join(scope, list(SCOPE), "left_semi").select(*SCOPE, "page_id", "rule_key", "s.*", "first_run_no", "last_run_no")
 
 
 def pages_report(pages: DataFrame, observations: DataFrame) -> DataFrame:
@@ -86,16 +88,30 @@ def pages_report(pages: DataFrame, observations: DataFrame) -> DataFrame:
     return pages.join(seen, ["page_id", "last_seen_run_id"], "left")
 
 
+def unsuppressed(issues: DataFrame, suppressed: DataFrame, now: Column, inclusive: bool = False) -> DataFrame:
+    """issues without those that are suppressed now. suppressed: project_id, page_id, rule_key, suppressed_until."""
+    muted = suppressed.filter(~not_suppressed(F.col("suppressed_until"), now, inclusive))
+    return issues.join(muted, ["project_id", "page_id", "rule_key"], "left_anti")
+
+
 def overview(summary: DataFrame, runs: DataFrame, pages: DataFrame, issues: DataFrame) -> DataFrame:
-    """One row per project: last published summary, last run that failed to publish, known pages, open issues."""
+    """One row per project: last published summary, the run under way, the last one that failed or was cancelled, known pages,
+    open issues. runs: project_id, run_no, run_id, status, failure_code, pages_done, pages_known; issues: those to count."""
     last = summary.groupBy("project_id").agg(F.max_by(F.struct("run_id", "health_score", "total", "critical", "urls_crawled", "issues_open"), "run_no").alias("s"))
-    failed = runs.filter("completeness <> 'FULL'").groupBy("project_id").agg(F.max_by(F.struct("run_id", "failure_code"), "run_no").alias("f"))
+    active = ~F.col("status").isin(*TERMINAL)
+    ended = F.col("status").isin("FAILED", "CANCELLED")
+    latest = runs.groupBy("project_id").agg(
+        F.max_by(F.when(active, F.struct("run_id", "status", "pages_done", "pages_known")), F.when(active, F.col("run_no"))).alias("a"),
+        F.max_by(F.when(ended, F.struct("run_id", "status", "failure_code")), F.when(ended, F.col("run_no"))).alias("f"),
+    )
     known = pages.groupBy("project_id").agg(F.count(F.lit(1)).alias("pages_known"))
     opened = issues.filter("state = 'OPEN'").groupBy("project_id").agg(F.count(F.lit(1)).alias("open_now"))
-    out = known.join(last, "project_id", "left").join(failed, "project_id", "left").join(opened, "project_id", "left")
+    out = known.join(last, "project_id", "left").join(latest, "project_id", "left").join(opened, "project_id", "left")
     return out.select(
         "project_id", "pages_known", F.col("s.run_id").alias("run_id"), F.col("s.health_score").alias("health_score"), F.col("s.total").alias("changes"), F.col("s.critical").alias("critical"),
-        F.col("s.urls_crawled").alias("urls_crawled"), F.coalesce("open_now", F.lit(0)).alias("open_issues"), F.col("f.run_id").alias("failed_run_id"), F.col("f.failure_code").alias("failed_code"),
+        F.col("s.urls_crawled").alias("urls_crawled"), F.coalesce("open_now", F.lit(0)).alias("open_issues"),
+        F.col("a.run_id").alias("active_run_id"), F.col("a.status").alias("active_status"), F.col("a.pages_done").alias("active_done"),
+        F.col("f.run_id").alias("failed_run_id"), F.col("f.status").alias("failed_status"), F.col("f.failure_code").alias("failed_code"),
     )
 
 

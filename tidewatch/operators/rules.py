@@ -95,12 +95,16 @@ def step(verdicts: DataFrame, issues: DataFrame, keys: tuple[str, ...] = ("page_
     return out.withColumn("changed", ~F.col("old_state").eqNullSafe(F.col("new_state")))
 
 
-def stale(issues: DataFrame, evaluated_pages: DataFrame) -> DataFrame:
+def stale(issues: DataFrame, evaluated_pages: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """Issues of pages that this run did not observe: only their last evaluation is touched."""
-    return issues.join(evaluated_pages.select("page_id").distinct(), "page_id", "left_anti")
+    return issues.join(evaluated_pages.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def history(verdicts: DataFrame, scope: tuple[str, ...] = ("project_id", "policy_id")) -> DataFrame:
+#: What an issue belongs to: a new policy that keeps scope and rules goes on with its issues.
+SCOPE = ("project_id", "scope_generation", "rule_version")
+
+
+def history(verdicts: DataFrame, scope: tuple[str, ...] = SCOPE) -> DataFrame:
     """State of every issue after every published run that observed its page, from the verdicts alone.
 
     verdicts: scope, run_no, page_id, rule_key, verdict, of published runs. UNKNOWN keeps the state, so it is the last

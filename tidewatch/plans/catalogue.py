@@ -12,7 +12,9 @@ from tidewatch.functions import html as pagehtml
 from tidewatch.functions import robots as robotstxt
 from tidewatch.functions import sitemap as sitemaps
 from tidewatch.operators import control, diff, frontier, health, operations, publish, reports, rules, writes
-from tidewatch.sources.crawl import observations
+from tidewatch.plans.stored import observations, publication, suppressions
+from tidewatch.plans.stored import pages as known_pages
+from tidewatch.sources.crawl import later_runs
 from tidewatch.sources.tables import find_first, find_many, find_unique, load, ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,8 +79,16 @@ def ipv4_class(spark, sf_dir):
 
 @query
 def ipv6_class(spark, sf_dir):
-    cases = ["::1", "::", "::ffff:127.0.0.1", "::10.2.3.4", "fe80::1", "FC00::1", "ff02::1", "64:ff9b::7f00:1", "2002:7f00:1::", "2001::1", "2001:db8::1", "2606:4700::6810:85e5", "fd12:3456:789a::1", "host"]
-    return spark.createDataFrame([(c,) for c in cases], "literal string").withColumn("address_class", netclass.address_class("literal"))
+    """Literals of seven kinds made from event ids, one of them IPv4 written as IPv6."""
+    n = F.pmod(F.col("event_id") * 2654435761, F.lit(2**32))
+    byte = lambda k: F.shiftright(n, k) % 256
+    low = F.concat(F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n % 65536)))
+    kind = F.col("event_id") % 7
+    heads = ("fe80::", "FD12:3456::", "ff02::", "2606:4700::", "2001:db8::", "64:ff9b::")
+    literal = F.when(kind == 6, F.concat(F.lit("::ffff:"), F.concat_ws(".", *(byte(k).cast("string") for k in (24, 16, 8, 0)))))
+    for i, head in enumerate(heads):
+        literal = literal.when(kind == i, F.concat(F.lit(head), low))
+    return load(spark, sf_dir, "events").select("event_id", netclass.address_class(literal).alias("address_class"))
 
 
 @query
@@ -94,13 +104,18 @@ def dns_policy(spark, sf_dir):
 
 @query
 def extract_title(spark, sf_dir):
-    return load(spark, sf_dir, "pages").select("page_id", pagehtml.title_of(F.col("html")).alias("title"))
+    """By built-in functions; titles with character references go through the whole extraction."""
+    p = load(spark, sf_dir, "pages").select("page_id", "html", pagehtml.title_of(F.col("html")).alias("title"))
+    odd = F.coalesce(F.col("title").contains("&"), F.lit(False))
+    read = p.filter(odd).select("page_id", pagehtml.page_facts("html", F.lit("https://page.invalid/")).alias("f")).select("page_id", "f.title")
+    return p.filter(~odd).select("page_id", "title").unionByName(read)
 
 
 @query
 def extract_link_count(spark, sf_dir):
-    hrefs = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
-    return load(spark, sf_dir, "pages").select("page_id", F.size(F.array_distinct(hrefs)).cast("bigint").alias("n_links"))
+    """Internal links by the extraction itself."""
+    facts = load(spark, sf_dir, "pages").select("page_id", pagehtml.page_facts("html", urls.identity_any("url", F.lit(""))).alias("f"))
+    return facts.select("page_id", F.col("f.internal_links_count").alias("n_links"))
 
 
 @query
@@ -214,35 +229,46 @@ def redirect_walk(spark, sf_dir):
 
 @query
 def observation_diff(spark, sf_dir):
-    o = observations(spark, sf_dir)
-    return publish.publish(o).events.drop("run_no")
+    return publication(spark, sf_dir).events.drop("run_no")
+
+
+def _pairs(o: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every run next to the one before it: (earlier, later) observations, both with the later one's number as pair."""
+    numbers = o.select(F.max("run_no").alias("last"))
+    earlier = o.withColumn("pair", F.col("run_no") + 1).join(F.broadcast(numbers), F.col("pair") <= F.col("last")).drop("last")
+    return earlier, o.filter("run_no > 1").withColumn("pair", F.col("run_no"))
 
 
 @query
 def snapshot_diff(spark, sf_dir):
-    o = observations(spark, sf_dir).filter("fetch_outcome = 'HTTP_RESPONSE'")
-    snap = o.select(
-        "run_no", F.concat_ws("|", "project_id", "page_id").alias("url"), F.col("initial_status").alias("status_code"), F.when(F.col("robots.index") == "DISALLOWED", "noindex").when(F.col("robots").isNotNull(), "index").alias("robots"),
-        F.when(F.col("canonical").isNotNull(), diff.canonical_value(F.col("canonical.resolved"))).alias("canonical"), "title", "meta_description", "internal_links_count",
-    )
-    return diff.snapshot_diff(snap.filter("run_no = 1").drop("run_no"), snap.filter("run_no = 2").drop("run_no"))
+    """Of every run and the one before it."""
+
+    def snapshots(o):
+        robots = F.when(F.col("robots.index") == "DISALLOWED", "noindex").when(F.col("robots").isNotNull(), "index")
+        return o.filter("fetch_outcome = 'HTTP_RESPONSE'").select(
+            F.concat_ws("|", "pair", "project_id", "page_id").alias("url"), F.col("initial_status").alias("status_code"), robots.alias("robots"),
+            F.when(F.col("canonical").isNotNull(), diff.canonical_value(F.col("canonical.resolved"))).alias("canonical"), "title", "meta_description", "internal_links_count",
+        )
+
+    earlier, later = _pairs(observations(spark, sf_dir))
+    return diff.snapshot_diff(snapshots(earlier), snapshots(later))
 
 
 @query
 def change_summary(spark, sf_dir):
-    return diff.summarize(publish.publish(observations(spark, sf_dir)).events, "project_id", "run_id")
+    return diff.summarize(publication(spark, sf_dir).events, "project_id", "run_id")
 
 
 @query
 def change_by_type(spark, sf_dir):
-    b = diff.by_type(publish.publish(observations(spark, sf_dir)).events, "project_id")
+    b = diff.by_type(publication(spark, sf_dir).events, "project_id")
     return b.select("project_id", F.array_join(F.transform(F.map_entries("by_type"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";").alias("by_type"))
 
 
 @query
 def change_sets(spark, sf_dir):
-    o = observations(spark, sf_dir)
-    one, two = (o.filter(F.col("run_no") == n).select("project_id", "page_id") for n in (1, 2))
+    """Pages that came or went between every run and the one before it."""
+    one, two = (o.select("pair", "project_id", "page_id") for o in _pairs(observations(spark, sf_dir)))
     return two.exceptAll(one).withColumn("kind", F.lit("ADDED")).unionByName(one.exceptAll(two).withColumn("kind", F.lit("REMOVED")))
 
 
@@ -251,7 +277,7 @@ def change_sets(spark, sf_dir):
 
 @query
 def issue_verdicts(spark, sf_dir):
-    return publish.publish(observations(spark, sf_dir)).verdicts.select("run_id", "page_id", "rule_key", "verdict")
+    return publication(spark, sf_dir).verdicts.select("run_id", "page_id", "rule_key", "verdict")
 
 
 @query
@@ -262,29 +288,31 @@ def issue_evidence(spark, sf_dir):
 
 @query
 def issue_step(spark, sf_dir):
-    o = rules.rule_input(observations(spark, sf_dir))
-    v = rules.evaluate(o.filter("run_no = 2"), keys=("page_id",))
-    was = rules.evaluate(o.filter("run_no = 1"), keys=("page_id",)).filter("verdict <> 'UNKNOWN' and (page_id % 2 = 0 or verdict = 'PRESENT')")
-    issues = was.select("page_id", "rule_key", F.when(F.col("verdict") == "PRESENT", "OPEN").otherwise("RESOLVED").alias("state"), F.lit(1).alias("occurrence"))
-    return rules.step(v.drop("evidence"), issues).select("page_id", "rule_key", "old_state", "new_state", F.col("occurrence").cast("bigint").alias("occurrence"), "changed")
+    """Every run's verdicts against the issues that the run before alone would have left: open where present, else resolved."""
+    earlier, later = (rules.evaluate(rules.rule_input(o), keys=("pair", "page_id")).drop("evidence") for o in _pairs(observations(spark, sf_dir)))
+    was = earlier.filter("verdict <> 'UNKNOWN'")
+    issues = was.select("pair", "page_id", "rule_key", F.when(F.col("verdict") == "PRESENT", "OPEN").otherwise("RESOLVED").alias("state"), F.lit(1).alias("occurrence"))
+    stepped = rules.step(later, issues, keys=("pair", "page_id", "rule_key"))
+    return stepped.select("pair", "page_id", "rule_key", "old_state", "new_state", F.col("occurrence").cast("bigint").alias("occurrence"), "changed")
 
 
 @query
 def issue_history(spark, sf_dir):
-    s = publish.publish(observations(spark, sf_dir)).states
+    s = publication(spark, sf_dir).states
     return s.select("run_id", "page_id", "rule_key", "old_state", "state", F.col("occurrence").cast("bigint").alias("occurrence"))
 
 
 @query
 def issue_transitions(spark, sf_dir):
-    return rules.transitions(publish.publish(observations(spark, sf_dir)).states)
+    return rules.transitions(publication(spark, sf_dir).states)
 
 
 @query
 def issue_stale_touch(spark, sf_dir):
-    o = observations(spark, sf_dir)
-    issues = rules.evaluate(rules.rule_input(o.filter("run_no = 1")), keys=("page_id",)).filter("verdict = 'PRESENT'").select("page_id", "rule_key")
-    return rules.stale(issues, o.filter("run_no = 2"))
+    """Issues that a run found and the next one did not look at."""
+    earlier, later = _pairs(observations(spark, sf_dir))
+    issues = rules.evaluate(rules.rule_input(earlier), keys=("pair", "page_id")).filter("verdict = 'PRESENT'").select("pair", "page_id", "rule_key")
+    return rules.stale(issues, later, keys=("pair", "page_id"))
 
 
 # --- runs, publication, score
@@ -292,12 +320,12 @@ def issue_stale_touch(spark, sf_dir):
 
 @query
 def run_completeness(spark, sf_dir):
-    return publish.run_table(observations(spark, sf_dir)).select("run_id", "observed", "http_count", "status", "completeness", "failure_code")
+    return publication(spark, sf_dir).runs.select("run_id", "observed", "http_count", "status", "completeness", "failure_code")
 
 
 @query
 def baseline_asof(spark, sf_dir):
-    return publish.run_table(observations(spark, sf_dir)).select("run_id", "completeness", "base_run_id")
+    return publication(spark, sf_dir).runs.select("run_id", "completeness", "base_run_id")
 
 
 SUMMARY = ("run_id", "comparison_mode", "base_run_id", "urls_crawled", "total", "critical", "warning", "info", "affected_pages", "issues_open", "issues_resolved", "health_score", "health_score_version", "reason")
@@ -305,58 +333,62 @@ SUMMARY = ("run_id", "comparison_mode", "base_run_id", "urls_crawled", "total",
 
 @query
 def publish_summary(spark, sf_dir):
-    return publish.publish(observations(spark, sf_dir)).summary.select(*SUMMARY)
+    return publication(spark, sf_dir).summary.select(*SUMMARY)
 
 
 @query
 def health_score(spark, sf_dir):
-    return publish.publish(observations(spark, sf_dir)).summary.select("run_id", "health_score", F.round("health_coverage", 9).alias("coverage"), reports.coverage_percent(F.col("health_coverage")).alias("percent"))
+    return publication(spark, sf_dir).summary.select("run_id", "health_score", F.round("health_coverage", 9).alias("coverage"), reports.coverage_percent(F.col("health_coverage")).alias("percent"))
 
 
 @query
 def health_components(spark, sf_dir):
-    s = publish.publish(observations(spark, sf_dir)).summary.select("run_id", F.inline("components"))
+    s = publication(spark, sf_dir).summary.select("run_id", F.inline("components"))
     return reports.display_deductions(s.select("run_id", "rule_key", "open", "deduction"))
 
 
 @query
 def health_grade(spark, sf_dir):
-    s = publish.publish(observations(spark, sf_dir)).summary
+    s = publication(spark, sf_dir).summary
     return s.groupBy(F.coalesce(health.grade(F.col("health_score")), F.lit("none")).alias("grade")).agg(F.count(F.lit(1)).alias("runs"))
 
 
 # --- reports
 
 
-def _pages_table(o: DataFrame) -> DataFrame:
-    return o.groupBy("project_id", "page_id", "identity_url").agg(F.min_by("run_id", "run_no").alias("first_seen_run_id"), F.max_by("run_id", "run_no").alias("last_seen_run_id"))
+#: When the overview is looked at.
+NOW = "2026-01-26"
 
 
 @query
 def report_overview(spark, sf_dir):
+    p = publication(spark, sf_dir)
     o = observations(spark, sf_dir)
-    p = publish.publish(o)
-    return reports.overview(p.summary, p.runs, _pages_table(o), reports.current_issues(p.states, p.runs))
+    cols = ["project_id", "run_no", "run_id", "status", "failure_code", "pages_done", "pages_known"]
+    seen = p.runs.withColumns({"pages_done": F.col("observed"), "pages_known": F.col("observed")}).select(*cols)
+    issues = reports.unsuppressed(reports.current_issues(p.states, p.runs), suppressions(spark, sf_dir), ts(NOW), inclusive=True)
+    return reports.overview(p.summary, seen.unionByName(later_runs(o).select(*cols)), known_pages(spark, sf_dir), issues)
 
 
 @query
 def report_changes(spark, sf_dir):
-    o = observations(spark, sf_dir)
-    p = publish.publish(o)
-    return reports.changes(p.events, _pages_table(o), p.summary, severity="CRITICAL").select("project_id", "run_id", "page_id", "identity_url", "change_type", "before", "after")
+    p = publication(spark, sf_dir)
+    found = reports.changes(p.events, known_pages(spark, sf_dir), p.summary, severity="CRITICAL")
+    return found.select("project_id", "run_id", "page_id", "identity_url", "change_type", "before", "after")
 
 
 @query
 def report_issues(spark, sf_dir):
-    p = publish.publish(observations(spark, sf_dir))
+    p = publication(spark, sf_dir)
     i = reports.current_issues(p.states, p.runs).filter(reports.issue_filter())
-    return i.select("project_id", "page_id", "rule_key", "state", F.col("occurrence").cast("bigint").alias("occurrence"), "first_run_no", "last_run_no", entries(F.col("evidence")).alias("evidence"))
+    shown_ = ["project_id", "page_id", "rule_key", "state", F.col("occurrence").cast("bigint").alias("occurrence"), "first_run_no", "last_run_no"]
+    return i.select(*shown_, entries(F.col("evidence")).alias("evidence"))
 
 
 @query
 def report_pages(spark, sf_dir):
     o = observations(spark, sf_dir)
-    return reports.pages_report(_pages_table(o), o).select("page_id", "first_seen_run_id", "last_seen_run_id", "fetch_outcome", "initial_status", "title")
+    return reports.pages_report(known_pages(spark, sf_dir), o).select("page_id", "first_seen_run_id", "last_seen_run_id", "fetch_outcome", "initial_status", "title")
 
 
 def _runs_as_orders(spark, sf_dir):
@@ -459,6 +491,14 @@ def schedule_scan(spark, sf_dir):
     return operations.schedule_scan(_schedules(spark, sf_dir), ts("2026-02-01")).select("project_id", shown(F.col("scheduled_for")).alias("scheduled_for"), "status")
 
 
+@query
+def schedule_tick(spark, sf_dir):
+    """One tick of the scanner: its first twenty due schedules."""
+    now = ts("2026-02-01")
+    scanned = operations.schedule_scan(operations.due_schedules(_schedules(spark, sf_dir), now), now)
+    return scanned.select("project_id", shown(F.col("scheduled_for")).alias("scheduled_for"), "status")
+
+
 @query
 def schedule_next(spark, sf_dir):
     s = _schedules(spark, sf_dir)
@@ -553,9 +593,10 @@ def tenancy_semi_join(spark, sf_dir):
 
 @query
 def write_relations(spark, sf_dir):
-    o = observations(spark, sf_dir)
-    pages = o.filter("run_no = 1").select("project_id", "page_id", F.col("run_id").alias("first_seen_run_id"), F.col("run_id").alias("last_seen_run_id"))
-    return writes.upsert_pages(pages, o.filter("run_no = 2").select("project_id", "page_id", "run_id"), ["project_id", "page_id"])
+    """The page dimension after every run, from that of the run before alone."""
+    earlier, later = _pairs(observations(spark, sf_dir))
+    pages = earlier.select("pair", "project_id", "page_id", F.col("run_id").alias("first_seen_run_id"), F.col("run_id").alias("last_seen_run_id"))
+    return writes.upsert_pages(pages, later.select("pair", "project_id", "page_id", "run_id"), ["pair", "project_id", "page_id"])
 
 
 def _site(spark, sf_dir):

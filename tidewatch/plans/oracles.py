@@ -5,11 +5,12 @@ from __future__ import annotations
 from tidewatch.sources.crawl import OBSERVED_SQL
 
 _IDENTITY = "CASE WHEN regexp_matches(regexp_replace(url, '#.*$', ''), '^[a-z]+://[^/?]+$') THEN regexp_replace(url, '#.*$', '') || '/' ELSE regexp_replace(url, '#.*$', '') END"
+_TITLE = "nullif(trim(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), '')"
 _HOST = "regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)"
 
 _RUNS = """
 facts AS (
-  SELECT project_id, run_id, run_no, policy_id, count(*) AS observed, count(*) FILTER (fetch_outcome = 'HTTP_RESPONSE') AS http_count,
+  SELECT project_id, run_id, run_no, policy_id, scope_generation, rule_version, count(*) AS observed, count(*) FILTER (fetch_outcome = 'HTTP_RESPONSE') AS http_count,
     bool_or(fetch_outcome = 'SECURITY_BLOCKED') AS sec, bool_or(fetch_outcome = 'NETWORK_ERROR') AS lost FROM obs GROUP BY ALL
 ),
 runs AS (
@@ -47,14 +48,14 @@ ev AS (
 )"""
 #: The four rules over rows of {src}; kept apart from publication so that single runs can be judged too.
 _RULES = """
-SELECT project_id, policy_id, run_id, run_no, page_id, 'http_4xx_5xx' AS rule_key,
+SELECT project_id, scope_generation, rule_version, run_id, run_no, page_id, 'http_4xx_5xx' AS rule_key,
     CASE WHEN fetch_outcome <> 'HTTP_RESPONSE' OR initial_status IS NULL THEN 'UNKNOWN' WHEN initial_status IN (404, 410) OR initial_status >= 500 THEN 'PRESENT' ELSE 'ABSENT' END AS verdict,
     CASE WHEN fetch_outcome <> 'HTTP_RESPONSE' OR initial_status IS NULL THEN 'fetchOutcome=' || fetch_outcome ELSE 'status=' || initial_status END AS evidence FROM {src}
-  UNION ALL SELECT project_id, policy_id, run_id, run_no, page_id, 'noindex_on_indexable', CASE WHEN validity <> 'KNOWN' THEN 'UNKNOWN' WHEN robots_index = 'DISALLOWED' THEN 'PRESENT' ELSE 'ABSENT' END,
+  UNION ALL SELECT project_id, scope_generation, rule_version, run_id, run_no, page_id, 'noindex_on_indexable', CASE WHEN validity <> 'KNOWN' THEN 'UNKNOWN' WHEN robots_index = 'DISALLOWED' THEN 'PRESENT' ELSE 'ABSENT' END,
     CASE WHEN validity <> 'KNOWN' THEN 'fieldValidity=' || validity WHEN robots_index = 'DISALLOWED' THEN 'robots=noindex' ELSE 'robots=' END FROM {src}
-  UNION ALL SELECT project_id, policy_id, run_id, run_no, page_id, 'missing_title', CASE WHEN validity <> 'KNOWN' THEN 'UNKNOWN' WHEN title IS NULL OR title = '' THEN 'PRESENT' ELSE 'ABSENT' END,
+  UNION ALL SELECT project_id, scope_generation, rule_version, run_id, run_no, page_id, 'missing_title', CASE WHEN validity <> 'KNOWN' THEN 'UNKNOWN' WHEN title IS NULL OR title = '' THEN 'PRESENT' ELSE 'ABSENT' END,
     CASE WHEN validity <> 'KNOWN' THEN 'fieldValidity=' || validity ELSE 'title=' || coalesce(title, '') END FROM {src}
-  UNION ALL SELECT project_id, policy_id, run_id, run_no, page_id, 'canonical_conflict', CASE WHEN validity <> 'KNOWN' THEN 'UNKNOWN' WHEN canonical_kind IN (1, 2) THEN 'PRESENT' ELSE 'ABSENT' END,
+  UNION ALL SELECT project_id, scope_generation, rule_version, run_id, run_no, page_id, 'canonical_conflict', CASE WHEN validity <> 'KNOWN' THEN 'UNKNOWN' WHEN canonical_kind IN (1, 2) THEN 'PRESENT' ELSE 'ABSENT' END,
     CASE WHEN validity <> 'KNOWN' THEN 'fieldValidity=' || validity WHEN canonical_kind = 0 THEN 'canonicalCount=0' WHEN canonical_kind = 2 THEN 'problem=invalid;raw=::bad::'
       WHEN canonical_kind = 1 THEN 'problem=conflict;raw=' || identity_url || ', https://other.example/x' ELSE 'canonical=' || identity_url END FROM {src}
 """
@@ -63,19 +64,25 @@ seen AS (SELECT obs.* FROM obs JOIN pub USING (run_id)),
 verdicts AS ({_RULES.format(src="seen")}),
 st0 AS (
   SELECT *, max((verdict = 'PRESENT')::INT) OVER w AS began, last_value(CASE WHEN verdict <> 'UNKNOWN' THEN verdict END IGNORE NULLS) OVER w AS decisive FROM verdicts
-  WINDOW w AS (PARTITION BY project_id, policy_id, page_id, rule_key ORDER BY run_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+  WINDOW w AS (PARTITION BY project_id, scope_generation, rule_version, page_id, rule_key ORDER BY run_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 ),
 st1 AS (SELECT *, CASE WHEN began = 1 THEN CASE WHEN decisive = 'PRESENT' THEN 'OPEN' ELSE 'RESOLVED' END END AS state FROM st0),
-st2 AS (SELECT *, lag(state) OVER (PARTITION BY project_id, policy_id, page_id, rule_key ORDER BY run_no) AS old_state FROM st1),
+st2 AS (SELECT *, lag(state) OVER (PARTITION BY project_id, scope_generation, rule_version, page_id, rule_key ORDER BY run_no) AS old_state FROM st1),
 states AS (
-  SELECT * FROM (SELECT *, sum((state = 'OPEN' AND old_state IS DISTINCT FROM 'OPEN')::INT) OVER (PARTITION BY project_id, policy_id, page_id, rule_key ORDER BY run_no) AS occurrence FROM st2) WHERE state IS NOT NULL
+  SELECT * FROM (SELECT *, sum((state = 'OPEN' AND old_state IS DISTINCT FROM 'OPEN')::INT) OVER (PARTITION BY project_id, scope_generation, rule_version, page_id, rule_key ORDER BY run_no) AS occurrence FROM st2) WHERE state IS NOT NULL
 )"""
 _SUMMARY = """
-delta AS (SELECT run_id, rule_key, sum(CASE WHEN state = 'OPEN' THEN 1 WHEN old_state = 'OPEN' THEN -1 ELSE 0 END) AS d FROM states WHERE state IS DISTINCT FROM old_state GROUP BY ALL),
-opened AS (
-  SELECT pub.run_id, k.rule_key, sum(coalesce(d, 0)) OVER (PARTITION BY project_id, policy_id, k.rule_key ORDER BY run_no) AS open
-  FROM pub, (VALUES ('http_4xx_5xx', 40), ('noindex_on_indexable', 25), ('missing_title', 20), ('canonical_conflict', 15)) k(rule_key, weight) LEFT JOIN delta ON delta.run_id = pub.run_id AND delta.rule_key = k.rule_key
+sup AS (SELECT DISTINCT project_id, page_id, rule_key, TIMESTAMP '2026-01-12' + to_days((7 * (page_id % 4))::INT) AS until FROM obs, (VALUES ('missing_title'), ('noindex_on_indexable')) k(rule_key) WHERE page_id % 3 = 1),
+weights(rule_key, weight) AS (VALUES ('http_4xx_5xx', 40), ('noindex_on_indexable', 25), ('missing_title', 20), ('canonical_conflict', 15)),
+stood AS (
+  SELECT pub.run_id, s.page_id, s.rule_key, arg_max(s.state, s.run_no) AS state FROM pub JOIN states s
+    ON s.project_id = pub.project_id AND s.scope_generation = pub.scope_generation AND s.rule_version = pub.rule_version AND s.run_no <= pub.run_no GROUP BY ALL
 ),
+live AS (
+  SELECT stood.run_id, stood.rule_key, count(*) AS n FROM stood JOIN pub USING (run_id) LEFT JOIN sup ON sup.project_id = pub.project_id AND sup.page_id = stood.page_id AND sup.rule_key = stood.rule_key
+  WHERE stood.state = 'OPEN' AND (sup.until IS NULL OR sup.until < TIMESTAMP '2026-01-05' + to_days((7 * (pub.run_no - 1))::INT)) GROUP BY ALL
+),
+opened AS (SELECT pub.run_id, weights.rule_key, coalesce(live.n, 0) AS open FROM pub CROSS JOIN weights LEFT JOIN live ON live.run_id = pub.run_id AND live.rule_key = weights.rule_key),
 comp AS (
   SELECT pub.run_id, opened.rule_key, open, pub.http_count >= 1 AND pub.http_count / pub.observed >= 0.5 AS sufficient,
     CASE WHEN pub.http_count >= 1 AND pub.http_count / pub.observed >= 0.5 THEN
@@ -103,11 +110,13 @@ def _with(*parts: str) -> str:
 
 _OBS, _TO_RUNS, _TO_EVENTS, _TO_STATES = _with(), _with(_RUNS), _with(_RUNS, _EVENTS), _with(_RUNS, _STATES)
 _ALL = _with(_RUNS, _EVENTS, _STATES, _SUMMARY)
-_CURRENT = """, scope AS (SELECT project_id, arg_max(policy_id, run_no) AS policy_id FROM runs GROUP BY project_id),
+_CURRENT = """, scope AS (SELECT project_id, arg_max(scope_generation, run_no) AS scope_generation, arg_max(rule_version, run_no) AS rule_version FROM runs GROUP BY project_id),
 issues AS (
-  SELECT project_id, policy_id, page_id, rule_key, arg_max(state, run_no) AS state, arg_max(occurrence, run_no)::BIGINT AS occurrence, arg_max(evidence, run_no) AS evidence,
-    min(run_no) AS first_run_no, max(run_no) AS last_run_no FROM states SEMI JOIN scope USING (project_id, policy_id) GROUP BY ALL
+  SELECT project_id, page_id, rule_key, arg_max(state, run_no) AS state, arg_max(occurrence, run_no)::BIGINT AS occurrence, arg_max(evidence, run_no) AS evidence,
+    min(run_no) AS first_run_no, max(run_no) AS last_run_no FROM states SEMI JOIN scope USING (project_id, scope_generation, rule_version) GROUP BY project_id, page_id, rule_key
 ) """
+#: Each run next to the one before it.
+_PAIRS = """, a AS (SELECT *, run_no + 1 AS pair FROM obs WHERE run_no < 4), b AS (SELECT *, run_no AS pair FROM obs WHERE run_no > 1) """
 _PAGES = "pt AS (SELECT project_id, page_id, identity_url, arg_min(run_id, run_no) AS first_seen_run_id, arg_max(run_id, run_no) AS last_seen_run_id FROM obs GROUP BY ALL)"
 
 
@@ -145,8 +154,11 @@ ORACLES: dict[str, str] = {
     "url_safety": """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'NON_DEFAULT_PORT' WHEN page_id % 3 = 1 AND page_id % 2 = 1 THEN 'NON_DEFAULT_PORT' WHEN page_id % 7 = 0 THEN 'BLOCKED_HOST' ELSE 'OK' END AS verdict FROM pages""",
     "ipv4_class": f"SELECT event_id, {_ipv4(_ADDRESS)} AS address_class FROM events",
     "dns_policy": f"""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'NETWORK_ERROR' WHEN {_ipv4(_ADDRESS)} <> 'PUBLIC' OR {_ipv4("(event_id * 40503) % 4294967296")} <> 'PUBLIC' THEN 'SECURITY_BLOCKED' ELSE 'PASS' END AS outcome FROM events""",
-    "extract_title": "SELECT page_id, nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '') AS title FROM pages",
+    "extract_title": f"SELECT page_id, {_TITLE} AS title FROM pages",
     "extract_link_count": """SELECT page_id, len(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1)))::BIGINT AS n_links FROM pages""",
+    "extract_full": f"""SELECT page_id, {_TITLE} AS title, NULL::VARCHAR AS meta_description, '' AS canonical, 'ALLOWED' AS index_state,
+        len(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1)))::BIGINT AS internal_links_count FROM pages""",
+    "ipv6_class": f"""SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'LINK_LOCAL' WHEN 1 THEN 'PRIVATE' WHEN 2 THEN 'MULTICAST' WHEN 3 THEN 'PUBLIC' WHEN 4 THEN 'RESERVED' ELSE {_ipv4(_ADDRESS)} END AS address_class FROM events""",
     "robots_index_state": "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'UNKNOWN' WHEN 1 THEN 'ALLOWED' WHEN 2 THEN 'DISALLOWED' WHEN 3 THEN 'DISALLOWED' WHEN 4 THEN 'UNKNOWN' ELSE 'ALLOWED' END AS state FROM pages",
     "html_content_type": "SELECT page_id, page_id % 5 IN (0, 1, 3) AS html FROM pages",
     "robots_match": "SELECT * FROM (VALUES ('/admin', '/admin/login', 6), ('/admin$', '/admin', 7), ('/admin$', '/admin/login', -1), ('/*.php$', '/a/b.php', 7), ('/*.php$', '/a/b.php?x=1', -1), ('/a*/c', '/a/b/c/d', 5), ('/*.php', '/page.php?secret=1', 6), ('', '/x', -1), ('/x', '/y', -1)) t(pattern, path, specificity)",
@@ -164,9 +176,11 @@ ORACLES: dict[str, str] = {
     "redirect_walk": """SELECT * FROM (VALUES ('https://a.example/0', 301, 200, 'https://a.example/1', 1, 'HTTP_RESPONSE'), ('https://b.example/0', 302, 302, NULL, 1, 'REDIRECT_BLOCKED'),
         ('https://p.example/', NULL, NULL, NULL, 0, 'SECURITY_BLOCKED'), ('https://n.example/', NULL, NULL, NULL, 0, 'NETWORK_ERROR'), ('https://l.example/0', 302, 302, NULL, 6, 'REDIRECT_LIMIT')) t(start, initial_status, final_status, final_url, chain, outcome)""",
     "observation_diff": _TO_EVENTS + "SELECT * FROM ev",
-    "snapshot_diff": _TO_RUNS + """, s AS (SELECT run_no, project_id || '|' || page_id AS url, initial_status AS st, CASE robots_index WHEN 'DISALLOWED' THEN 'noindex' WHEN 'ALLOWED' THEN 'index' END AS rb, canonical AS cn, title AS tt, meta_description AS md, internal_links_count AS ln FROM c WHERE fetch_outcome = 'HTTP_RESPONSE'),
-        j AS (SELECT coalesce(a.url, b.url) AS url, a.url IS NOT NULL AS was, b.url IS NOT NULL AS now, a.st AS st0, b.st AS st1, a.rb AS rb0, b.rb AS rb1, a.cn AS cn0, b.cn AS cn1, a.tt AS tt0, b.tt AS tt1, a.md AS md0, b.md AS md1, a.ln AS ln0, b.ln AS ln1
-          FROM (SELECT * FROM s WHERE run_no = 1) a FULL JOIN (SELECT * FROM s WHERE run_no = 2) b ON a.url = b.url)
+    "snapshot_diff": _TO_RUNS + """, s AS (SELECT run_no, project_id, page_id, initial_status AS st, CASE robots_index WHEN 'DISALLOWED' THEN 'noindex' WHEN 'ALLOWED' THEN 'index' END AS rb, canonical AS cn, title AS tt, meta_description AS md, internal_links_count AS ln
+          FROM c WHERE fetch_outcome = 'HTTP_RESPONSE'),
+        x AS (SELECT *, (run_no + 1) || '|' || project_id || '|' || page_id AS url FROM s WHERE run_no < 4), y AS (SELECT *, run_no || '|' || project_id || '|' || page_id AS url FROM s WHERE run_no > 1),
+        j AS (SELECT coalesce(x.url, y.url) AS url, x.url IS NOT NULL AS was, y.url IS NOT NULL AS now, x.st AS st0, y.st AS st1, x.rb AS rb0, y.rb AS rb1, x.cn AS cn0, y.cn AS cn1, x.tt AS tt0, y.tt AS tt1, x.md AS md0, y.md AS md1, x.ln AS ln0, y.ln AS ln1
+          FROM x FULL JOIN y ON x.url = y.url)
         SELECT url, 'URL_ADDED' AS change_type, 'INFO' AS severity, NULL::VARCHAR AS before, url AS after FROM j WHERE NOT was
         UNION ALL SELECT url, 'URL_REMOVED', 'INFO', url, NULL FROM j WHERE NOT now
         UNION ALL SELECT url, 'HTTP_STATUS_CHANGED', CASE WHEN st0 BETWEEN 200 AND 299 AND (st1 = 404 OR st1 >= 500) THEN 'CRITICAL' ELSE 'INFO' END, st0::VARCHAR, st1::VARCHAR FROM j WHERE was AND now AND st0 IS DISTINCT FROM st1
@@ -178,27 +192,37 @@ ORACLES: dict[str, str] = {
     "change_summary": _TO_EVENTS + """SELECT project_id, run_id, count(*) AS total, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'WARNING') AS warning, count(*) FILTER (severity = 'INFO') AS info,
         count(DISTINCT page_id) AS affected_pages FROM ev GROUP BY ALL""",
     "change_by_type": _TO_EVENTS + "SELECT project_id, string_agg(change_type || '=' || n, ';' ORDER BY change_type) AS by_type FROM (SELECT project_id, change_type, count(*) AS n FROM ev GROUP BY ALL) GROUP BY project_id",
-    "change_sets": _OBS + """SELECT project_id, page_id, 'ADDED' AS kind FROM (SELECT project_id, page_id FROM obs WHERE run_no = 2 EXCEPT SELECT project_id, page_id FROM obs WHERE run_no = 1)
-        UNION ALL SELECT project_id, page_id, 'REMOVED' FROM (SELECT project_id, page_id FROM obs WHERE run_no = 1 EXCEPT SELECT project_id, page_id FROM obs WHERE run_no = 2)""",
+    "change_sets": _OBS.rstrip() + _PAIRS + """SELECT pair, project_id, page_id, 'ADDED' AS kind FROM (SELECT pair, project_id, page_id FROM b EXCEPT SELECT pair, project_id, page_id FROM a)
+        UNION ALL SELECT pair, project_id, page_id, 'REMOVED' FROM (SELECT pair, project_id, page_id FROM a EXCEPT SELECT pair, project_id, page_id FROM b)""",
     "issue_verdicts": _TO_STATES + "SELECT run_id, page_id, rule_key, verdict FROM verdicts",
     "issue_evidence": _OBS + f"SELECT run_id, page_id, rule_key, evidence FROM ({_RULES.format(src='obs')})",
-    "issue_step": _OBS + f""", v AS ({_RULES.format(src='obs')}), i AS (SELECT page_id, rule_key, CASE verdict WHEN 'PRESENT' THEN 'OPEN' ELSE 'RESOLVED' END AS state FROM v WHERE run_no = 1 AND verdict <> 'UNKNOWN' AND (page_id % 2 = 0 OR verdict = 'PRESENT')),
-        n AS (SELECT v.page_id, v.rule_key, state AS old_state, CASE WHEN verdict = 'PRESENT' THEN 'OPEN' WHEN verdict = 'ABSENT' AND state IS NOT NULL THEN 'RESOLVED' ELSE state END AS new_state, verdict FROM v LEFT JOIN i USING (page_id, rule_key) WHERE run_no = 2)
-        SELECT page_id, rule_key, old_state, new_state, CASE WHEN new_state IS NULL THEN NULL WHEN old_state IS NULL THEN 1 WHEN old_state = 'RESOLVED' AND verdict = 'PRESENT' THEN 2 ELSE 1 END::BIGINT AS occurrence, old_state IS DISTINCT FROM new_state AS changed FROM n""",
+    "issue_step": _OBS.rstrip() + f""", v AS ({_RULES.format(src='obs')}), i AS (SELECT run_no + 1 AS run_no, page_id, rule_key, CASE verdict WHEN 'PRESENT' THEN 'OPEN' ELSE 'RESOLVED' END AS state FROM v WHERE verdict <> 'UNKNOWN'),
+        n AS (SELECT run_no, v.page_id, v.rule_key, state AS old_state, CASE WHEN verdict = 'PRESENT' THEN 'OPEN' WHEN verdict = 'ABSENT' AND state IS NOT NULL THEN 'RESOLVED' ELSE state END AS new_state, verdict
+          FROM v LEFT JOIN i USING (run_no, page_id, rule_key) WHERE run_no > 1)
+        SELECT run_no AS pair, page_id, rule_key, old_state, new_state,
+          CASE WHEN new_state IS NULL THEN NULL WHEN old_state IS NULL THEN 1 WHEN old_state = 'RESOLVED' AND verdict = 'PRESENT' THEN 2 ELSE 1 END::BIGINT AS occurrence, old_state IS DISTINCT FROM new_state AS changed FROM n""",
     "issue_history": _TO_STATES + "SELECT run_id, page_id, rule_key, old_state, state, occurrence::BIGINT AS occurrence FROM states",
     "issue_transitions": _TO_STATES + """SELECT project_id, run_id, page_id, rule_key, old_state AS from_state, state AS to_state, CASE WHEN old_state IS NULL THEN run_id || ':' || page_id || ':' || rule_key || ':open'
         ELSE run_id || ':' || page_id || ':' || rule_key || ':' || state END AS idempotency_key FROM states WHERE state IS DISTINCT FROM old_state""",
-    "issue_stale_touch": _OBS + f", v AS ({_RULES.format(src='obs')}) SELECT page_id, rule_key FROM v WHERE run_no = 1 AND verdict = 'PRESENT' AND page_id NOT IN (SELECT page_id FROM obs WHERE run_no = 2)",
+    "issue_stale_touch": _OBS.rstrip() + f""", v AS ({_RULES.format(src='obs')}), p AS (SELECT run_no + 1 AS pair, page_id, rule_key FROM v WHERE verdict = 'PRESENT' AND run_no < 4)
+        SELECT pair, page_id, rule_key FROM p WHERE NOT EXISTS (SELECT 1 FROM obs WHERE obs.run_no = p.pair AND obs.page_id = p.page_id)""",
     "run_completeness": _TO_RUNS + "SELECT run_id, observed, http_count, status, completeness, failure_code FROM runs",
     "baseline_asof": _TO_RUNS + "SELECT run_id, completeness, base_run_id FROM based",
     "publish_summary": _ALL + "SELECT run_id, comparison_mode, base_run_id, urls_crawled, total, critical, warning, info, affected_pages, issues_open, issues_resolved, health_score, health_score_version, reason FROM summary",
     "health_score": _ALL + "SELECT run_id, health_score, round(urls_crawled / observed, 9) AS coverage, floor(urls_crawled / observed * 100 + 0.5)::BIGINT AS percent FROM summary",
     "health_components": _ALL + "SELECT run_id, rule_key, open::BIGINT AS open, deduction FROM comp WHERE deduction > 0",
     "health_grade": _ALL + "SELECT CASE WHEN health_score >= 90 THEN 'good' WHEN health_score >= 75 THEN 'fair' WHEN health_score >= 50 THEN 'poor' WHEN health_score IS NOT NULL THEN 'critical' ELSE 'none' END AS grade, count(*) AS runs FROM summary GROUP BY ALL",
-    "report_overview": _ALL + _CURRENT + f""", {_PAGES}, s AS (SELECT project_id, arg_max(summary, run_no) AS s FROM summary GROUP BY project_id),
-        f AS (SELECT project_id, arg_max(run_id, run_no) AS run_id, arg_max(failure_code, run_no) AS code FROM runs WHERE completeness <> 'FULL' GROUP BY project_id)
-        SELECT k.project_id, pages_known, s.s.run_id AS run_id, s.s.health_score AS health_score, s.s.total AS changes, s.s.critical AS critical, s.s.urls_crawled AS urls_crawled, coalesce(o.n, 0) AS open_issues, f.run_id AS failed_run_id, f.code AS failed_code
-        FROM (SELECT project_id, count(*) AS pages_known FROM pt GROUP BY ALL) k LEFT JOIN s USING (project_id) LEFT JOIN f USING (project_id) LEFT JOIN (SELECT project_id, count(*) AS n FROM issues WHERE state = 'OPEN' GROUP BY ALL) o USING (project_id)""",
+    "report_overview": _ALL.rstrip() + _CURRENT + f""", {_PAGES}, s AS (SELECT project_id, arg_max(summary, run_no) AS s FROM summary GROUP BY project_id),
+        hosts AS (SELECT project_id, count(DISTINCT page_id) AS known FROM obs GROUP BY project_id),
+        more(rest, run_no, status, code) AS (VALUES (0, 5, 'CRAWLING', NULL), (1, 5, 'FAILED', 'LEASE_LOST'), (1, 6, 'QUEUED', NULL), (2, 5, 'FAILED', 'NO_OBSERVATIONS'), (2, 6, 'CANCELLED', NULL)),
+        every AS (SELECT project_id, run_no, run_id, status, failure_code AS code, observed AS done FROM runs
+          UNION ALL SELECT project_id, run_no, project_id || '#' || run_no, status, code, CASE WHEN status = 'CRAWLING' THEN known - 1 ELSE 0 END FROM hosts JOIN more ON length(project_id) % 5 = rest),
+        act AS (SELECT * FROM every WHERE status NOT IN ('COMPLETED', 'FAILED', 'CANCELLED') QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY run_no DESC) = 1),
+        f AS (SELECT * FROM every WHERE status IN ('FAILED', 'CANCELLED') QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY run_no DESC) = 1),
+        o AS (SELECT i.project_id, count(*) AS n FROM issues i LEFT JOIN sup USING (project_id, page_id, rule_key) WHERE state = 'OPEN' AND (until IS NULL OR until <= TIMESTAMP '2026-01-26') GROUP BY ALL)
+        SELECT k.project_id, pages_known, s.s.run_id AS run_id, s.s.health_score AS health_score, s.s.total AS changes, s.s.critical AS critical, s.s.urls_crawled AS urls_crawled, coalesce(o.n, 0) AS open_issues,
+          act.run_id AS active_run_id, act.status AS active_status, act.done AS active_done, f.run_id AS failed_run_id, f.status AS failed_status, f.code AS failed_code
+        FROM (SELECT project_id, count(*) AS pages_known FROM pt GROUP BY ALL) k LEFT JOIN s USING (project_id) LEFT JOIN act USING (project_id) LEFT JOIN f USING (project_id) LEFT JOIN o USING (project_id)""",
     "report_changes": _ALL + f""", {_PAGES} SELECT ev.project_id, ev.run_id, ev.page_id, pt.identity_url, change_type, before, after FROM ev JOIN (SELECT project_id, arg_max(run_id, run_no) AS run_id FROM summary GROUP BY project_id) l USING (project_id, run_id)
         JOIN pt USING (project_id, page_id) WHERE severity = 'CRITICAL'""",
     "report_issues": _ALL + _CURRENT + "SELECT project_id, page_id, rule_key, state, occurrence, first_run_no, last_run_no, evidence FROM issues WHERE state = 'OPEN'",
@@ -226,6 +250,8 @@ ORACLES: dict[str, str] = {
         SELECT id, outcome FROM s""",
     "outbox_claim": "SELECT event_id FROM events WHERE event_type = 'click' AND event_id % 2 <> 0 AND event_id % 3 <> 0 AND ts <= TIMESTAMP '2024-01-20' ORDER BY ts, event_id LIMIT 40",
     "schedule_scan": _SCHEDULES + "SELECT project_id, strftime(slot, '%Y-%m-%d %H:%M:%S') AS scheduled_for, status FROM occ WHERE status IS NOT NULL",
+    "schedule_tick": _SCHEDULES + """, first AS (SELECT DISTINCT project_id FROM occ ORDER BY project_id LIMIT 20)
+        SELECT project_id, strftime(slot, '%Y-%m-%d %H:%M:%S') AS scheduled_for, status FROM occ SEMI JOIN first USING (project_id) WHERE status IS NOT NULL""",
     "schedule_next": _SCHEDULES + """SELECT k AS project_id, strftime(CASE WHEN nxt > TIMESTAMP '2026-02-01' THEN nxt ELSE nxt + to_days(((date_diff('day', nxt, TIMESTAMP '2026-02-01') // gap + 1) * gap)::INT) END, '%Y-%m-%d %H:%M:%S') AS next_run_at FROM s""",
     "schedule_counters": _SCHEDULES + "SELECT count(*) FILTER (status = 'TRIGGERED') AS triggered, count(*) FILTER (status = 'SKIPPED_MISSED') AS missed, count(*) FILTER (status LIKE 'SKIPPED%' AND status <> 'SKIPPED_MISSED') AS skipped FROM occ",
     "retention_plan": _RETENTION + "SELECT * FROM plan",
@@ -240,8 +266,9 @@ ORACLES: dict[str, str] = {
     "audit_redact": "SELECT event_id, 'who=' || user_id || ';note=' || CASE WHEN length(event_type) * 50 > 200 THEN repeat(event_type, 50)[1:200] || '…' ELSE repeat(event_type, 50) END AS details FROM events",
     "cursor_codec": f"SELECT o_orderkey, {_CURSOR.format(t='o_orderdate', i='o_orderkey')} AS cursor, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS created_at, o_orderkey::VARCHAR AS id FROM orders",
     "tenancy_semi_join": "SELECT o_orderkey, o_custkey AS project_id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7)",
-    "write_relations": _OBS + """SELECT coalesce(a.project_id, b.project_id) AS project_id, coalesce(a.page_id, b.page_id) AS page_id, coalesce(a.run_id, b.run_id) AS first_seen_run_id, coalesce(b.run_id, a.run_id) AS last_seen_run_id
-        FROM (SELECT * FROM obs WHERE run_no = 1) a FULL JOIN (SELECT * FROM obs WHERE run_no = 2) b ON a.project_id = b.project_id AND a.page_id = b.page_id""",
+    "write_relations": _OBS.rstrip() + _PAIRS + """SELECT coalesce(a.pair, b.pair) AS pair, coalesce(a.project_id, b.project_id) AS project_id, coalesce(a.page_id, b.page_id) AS page_id,
+          coalesce(a.run_id, b.run_id) AS first_seen_run_id, coalesce(b.run_id, a.run_id) AS last_seen_run_id
+        FROM a FULL JOIN b ON a.pair = b.pair AND a.project_id = b.project_id AND a.page_id = b.page_id""",
 }
 ORACLES["frontier_bfs"] = f"""WITH RECURSIVE t AS (SELECT {_HOST} AS scope, row_number() OVER (PARTITION BY {_HOST} ORDER BY page_id) - 1 AS n FROM pages),
   b AS (SELECT scope, n AS node, 0 AS depth FROM t WHERE n = 0 UNION ALL SELECT t.scope, t.n, depth + 1 FROM b JOIN t ON t.scope = b.scope AND t.n > 0 AND (t.n - 1) // 3 = b.node WHERE depth < 3)

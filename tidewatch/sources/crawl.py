@@ -1,7 +1,8 @@
 """Crawl observations derived from the pages table: four weekly runs of every host, by plain arithmetic.
 
 A host is a project. The formulas give every outcome, status and validity the operators tell apart; failures are gated by
-host and run, so most runs stay complete. The text below is the derivation alone and is shared with the SQL oracle; what
+host and run, so most runs stay complete. Every 13th host gets a new policy before its third run; for half of these it begins
+a new scope, for the others the scope goes on. The text below is the derivation alone and is shared with the SQL oracle; what
 is computed from it is not.
 """
 
@@ -18,10 +19,11 @@ _OBSERVED = r"""
 obs_p AS (
   SELECT page_id, {host} AS project_id, regexp_replace(url, '#.*$', '') AS identity_url, {title} AS html_title, {links} AS n_links FROM {pages}
 ),
-obs_h AS (SELECT *, min(page_id) OVER (PARTITION BY project_id) AS hn FROM obs_p),
+obs_h AS (SELECT obs_p.*, hn FROM obs_p JOIN (SELECT {host} AS host, min(page_id) AS hn FROM {pages} GROUP BY {host}) h ON project_id = host),
 obs_w AS (
   SELECT obs_h.*, CAST(run_no AS BIGINT) AS run_no, concat(project_id, '#', CAST(run_no AS {string})) AS run_id,
     concat(project_id, CASE WHEN hn % 13 = 0 AND run_no >= 3 THEN '@2' ELSE '@1' END) AS policy_id,
+    CAST(CASE WHEN hn % 26 = 13 AND run_no >= 3 THEN 2 ELSE 1 END AS BIGINT) AS scope_generation, CAST(1 AS BIGINT) AS rule_version,
     CASE WHEN (hn + run_no) % 6 = 0 AND page_id % 3 = 0 THEN 'NETWORK_ERROR'
       WHEN (hn + run_no * 2) % 11 = 0 AND page_id % 4 = 1 THEN 'SECURITY_BLOCKED'
       WHEN (page_id * 7 + run_no * 3) % 40 = 0 THEN 'ROBOTS_BLOCKED' ELSE 'HTTP_RESPONSE' END AS fetch_outcome
@@ -38,7 +40,7 @@ obs_v AS (
     (page_id * 13 + run_no) % 19 AS canonical_kind FROM obs_s
 ),
 obs AS (
-  SELECT project_id, run_no, run_id, policy_id, page_id, identity_url, fetch_outcome, initial_status, validity,
+  SELECT project_id, run_no, run_id, policy_id, scope_generation, rule_version, page_id, identity_url, fetch_outcome, initial_status, validity,
     CASE WHEN validity <> 'KNOWN' OR (page_id * 3 + run_no) % 17 = 0 THEN NULL
       WHEN (page_id + run_no) % 9 = 0 THEN concat(html_title, ' v', CAST(run_no AS {string})) ELSE html_title END AS title,
     CASE WHEN validity <> 'KNOWN' OR (page_id * 2 + run_no) % 7 = 0 THEN NULL
@@ -77,9 +79,35 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     directives = F.when(F.col("robots_index") == "DISALLOWED", F.array(F.lit("noindex"))).otherwise(none)
     validity = F.map_from_arrays(F.array(*map(F.lit, FIELDS)), F.array_repeat("validity", len(FIELDS)))
     return obs.select(
-        "project_id", "run_no", "run_id", "policy_id", "page_id", "identity_url", "fetch_outcome", "initial_status", "title", "meta_description", "internal_links_count",
+        "project_id", "run_no", "run_id", "policy_id", "scope_generation", "rule_version", "page_id", "identity_url", "fetch_outcome", "initial_status", "title", "meta_description", "internal_links_count",
         F.when(kind.isNotNull(), F.struct(raw.alias("raw"), resolved.alias("resolved"))).alias("canonical"),
         F.when(F.col("robots_index").isNotNull(), F.struct(directives.alias("raw"), F.col("robots_index").alias("index"))).alias("robots"),
         validity.alias("field_validity"),
         F.expr("timestamp_ntz'2026-01-05 00:00:00' + make_dt_interval(7 * cast(run_no - 1 as int))").alias("fetched_at"),
     )
+
+
+def suppressions(observations: DataFrame) -> DataFrame:
+    """project_id, page_id, rule_key, suppressed_until: issues that are muted for a while, by plain arithmetic."""
+    pages = observations.filter("page_id % 3 = 1").select("project_id", "page_id").distinct()
+    until = F.expr("timestamp_ntz'2026-01-12 00:00:00' + make_dt_interval(7 * cast(page_id % 4 as int))")
+    keys = F.array(F.lit("missing_title"), F.lit("noindex_on_indexable"))
+    return pages.select("project_id", "page_id", F.explode(keys).alias("rule_key"), until.alias("suppressed_until"))
+
+
+def later_runs(observations: DataFrame) -> DataFrame:
+    """Runs of some projects after the observed ones: ended without publication, or still going."""
+    hosts = observations.groupBy("project_id").agg(F.countDistinct("page_id").alias("pages_known"))
+    k = F.length("project_id") % 5
+    kinds = [(0, 5, "CRAWLING", None), (1, 5, "FAILED", "LEASE_LOST"), (1, 6, "QUEUED", None), (2, 5, "FAILED", "NO_OBSERVATIONS"), (2, 6, "CANCELLED", None)]
+    rows = [
+        F.when(
+            k == rest,
+            F.struct(
+                F.lit(n).cast("bigint").alias("run_no"), F.concat("project_id", F.lit(f"#{n}")).alias("run_id"), F.lit(status).alias("status"),
+                F.lit(code).cast("string").alias("failure_code"), (F.col("pages_known") - 1 if status == "CRAWLING" else F.lit(0).cast("bigint")).alias("pages_done"),
+            ),
+        )
+        for rest, n, status, code in kinds
+    ]
+    return hosts.select("project_id", F.inline(F.filter(F.array(*rows), lambda r: r.isNotNull())), "pages_known")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 
 
@@ -9,6 +12,29 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which all executors share; only a local master may go without, with a folder of its own."""
+    there = spark.conf.get("spark.checkpoint.dir", None)
+    if not there and (now := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        there = now.get()
+    if not there:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        there = f"file://{tempfile.mkdtemp(prefix='tidewatch-')}"
+        spark.sparkContext.setCheckpointDir(there)
+    return there.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, computed once, as a Parquet table in the shared folder. The table goes when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tidewatch-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def find_unique(df: DataFrame, condition: Column) -> DataFrame:
     """The row with a unique key: the predicate goes to the scan, two rows at most come back."""
     return df.filter(condition).limit(2)
