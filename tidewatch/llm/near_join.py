@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.anchors import _repeated, keyed, row_key, runs
+from tidewatch.llm.anchors import _repeated, keyed, portions, row_key, runs
 from tidewatch.llm.base import dropped, limits, materialised, private, release
 from tidewatch.llm.components import components
 from tidewatch.llm.rolling import BASES, Fingerprints, flat_texts, mix, word_bounds, word_symbols
@@ -44,6 +44,8 @@ TREES, DEPTH, RECALL = 16, 6, 0.9995
 CUT, CORE, STOP = 0.45, 0.8, 0.95
 #: Sets and grams of one block of a candidate group.
 BLOCK_SETS, BLOCK_GRAMS = 2048, 4 << 20
+#: Bytes of text worked on at once.
+PORTION = 1 << 20
 
 
 def prefix_depth(trees: int = TREES, depth: int = DEPTH, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
@@ -83,9 +85,7 @@ SKETCHES = "doc_id bigint, k bigint, rid bigint, n bigint, d1 bigint, d2 bigint,
 
 def _sketched(gram: int, minima: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in portions(whole, PORTION)):
             h, offsets = gram_sets(batch.column("text").to_pylist(), gram)
             n = np.diff(offsets)
             some = np.flatnonzero(n)
@@ -201,12 +201,11 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in portions(whole, PORTION)):
             h, offsets = gram_sets(batch.column("text").to_pylist(), gram)
             cells = [h[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("root", "node", "copies", "blocks")), pa.array(cells, pa.binary())], names=["root", "node", "copies", "blocks", "grams"])
+        release()
 
     return run
 

@@ -29,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.anchors import anchor_rows, keyed, longs, packed, repeated_anchors, runs, unpacked, whole_copies
+from tidewatch.llm.anchors import anchor_rows, keyed, longs, packed, portions, repeated_anchors, runs, unpacked, whole_copies
 from tidewatch.llm.base import limits
 from tidewatch.llm.rolling import BASES, Fingerprints, flat_texts, sliding_argmin, word_bounds, word_symbols
 
 WINDOW, GRAM = 20, 8
+#: Bytes of text worked on at once.
+PORTION = 2 << 20
 
 
 class Words:
@@ -87,11 +89,9 @@ def _factored(window: int, gram: int):
     """Rows of the blocks, and ranges that the batch already answers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in portions(whole, PORTION)):
             k, rid = batch.column("k").to_numpy(), batch.column("rid").to_numpy()
-            hs = np.unique(batch.column("hs").values.to_numpy()).view(np.uint64)
+            hs = np.unique(batch.column("hs").flatten().to_numpy()).view(np.uint64)
             w = Words(batch.column("text").to_pylist(), window, gram)
             hs = np.sort(hs)
             own = w.grams[w.anchor]
@@ -226,7 +226,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, te
     limits(docs.sparkSession)
     rows = keyed(docs, text, key)
     copies = whole_copies(rows)
-    hits = repeated_anchors(rows, copies, _found(window, gram))
+    hits = repeated_anchors(rows, copies, _found(window, gram), PORTION)
     blocks = rows.join(hits, ["k", "rid"]).select("doc_id", "k", "rid", "text", "hs").mapInArrow(_factored(window, gram), BLOCKS)
     factors = blocks.repartition("route").sortWithinPartitions("route", "k", "lo").mapInArrow(_looked_up(window), FACTORS)
     ranges = factors.groupBy("k", "rid").agg(F.collect_list("ranges").alias("ranges"))
