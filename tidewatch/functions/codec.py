@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 DEFAULT_PAGE, MAX_PAGE = 50, 100
 # Audit details keep this many entries, none with such a name, and values of this length.
 AUDIT_ENTRIES, AUDIT_LENGTH = 20, 200
+# Fixed value: what trimming a record takes off.
+BLANKS = " \t\n\r\x0b\x0c\u00a0\ufeff\u2028\u2029"
 SENSITIVE = "(?i)token|secret|password|cookie|authorization|credential"
 
 
@@ -57,7 +59,7 @@ def challenge_name(prefix: str, hostname: Column) -> Column:
 
 def matches_challenge(records: Column, expected: Column) -> Column:
     """records: array of TXT records, each an array of chunks; joined, trimmed, compared exactly (case counts)."""
-    return F.exists(records, lambda chunks: F.trim(F.array_join(chunks, "")) == expected)
+    return F.exists(records, lambda chunks: F.trim(F.array_join(chunks, ""), F.lit(BLANKS)) == expected)
 
 
 def verified_until(verified_at: Column) -> Column:
@@ -76,20 +78,25 @@ def is_expired(expires_at: Column, now: Column) -> Column:
     return expires_at <= now
 
 
+def invitation_expiry(now: Column) -> Column:
+    return now + F.expr("interval 72 hours")
+
+
 def positive_number(json: Column, key: str, default: float) -> Column:
-    """A policy's number if it is positive, else the default."""
-    v = F.get_json_object(json, f"$.{key}").try_cast("double")
-    return F.when(v > 0, v).otherwise(float(default))
+    """A policy's number if it is one and positive, else the default; a string of digits is no number."""
+    v = F.to_json(F.try_variant_get(F.try_parse_json(json), f"$.{key}", "variant"))
+    number = F.when(v.rlike("^[-0-9]"), v.try_cast("double"))
+    return F.when(number > 0, number).otherwise(float(default))
 
 
 def request_hash(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", *parts), 256)
 
 
-def client_key(forwarded: Column) -> Column:
-    """The first address of x-forwarded-for."""
+def client_key(forwarded: Column, peer: Column | None = None) -> Column:
+    """The first address of x-forwarded-for if that is sent, else the peer's, else unknown."""
     first = F.trim(F.get(F.split(forwarded, ","), F.lit(0)))
-    return F.when(first != "", first).otherwise("unknown")
+    return F.when(forwarded != "", first).otherwise(F.coalesce(F.lit(None) if peer is None else peer, F.lit("unknown")))
 
 
 def shorten(text: Column, n: int) -> Column:

@@ -83,3 +83,22 @@ def acquisition(scheme: Column, attempt: Column, outcome: Column, status: Column
         F.when(http_answer & (status == 200) & has_body, "RULES").when(https & (missing | lost), F.when(retry, "RETRY").otherwise("FALLBACK_HTTP")).when(missing, "ALLOW_ALL")
         .when(http_answer & status.isin(401, 403), "DENIED").when(http_answer & ((status == 429) | (status >= 500)) & https & retry, "RETRY").otherwise("UNAVAILABLE")
     )
+
+
+def acquired(attempts: DataFrame, *keys: str) -> DataFrame:
+    """Per key what its robots.txt attempts come to: a final https answer decides; where all three found nothing or nobody, and
+    none got any other answer, the one http attempt does; RETRY while https attempts are left.
+
+    attempts: keys, scheme, attempt (from 1 per scheme), outcome, status, has_body.
+    """
+    c = F.col
+    https = c("scheme") == "https"
+    verdict = acquisition(c("scheme"), c("attempt"), c("outcome"), c("status"), c("has_body"))
+    other = https & (c("outcome") == "HTTP_RESPONSE") & ~F.coalesce(c("status"), F.lit(0)).isin(404, 410)
+    facts = attempts.withColumns({"__v": verdict, "__https": https, "__other": other}).groupBy(*keys).agg(
+        F.min_by("__v", F.when(c("__https") & c("__v").isin("RULES", "DENIED", "UNAVAILABLE"), c("attempt"))).alias("final"),
+        F.bool_or(c("__https") & (c("__v") == "FALLBACK_HTTP")).alias("fell"), F.bool_or("__other").alias("other"),
+        F.max(F.when(~c("__https"), c("__v"))).alias("plain"),
+    )
+    rest = F.when(~c("fell"), "RETRY").when(c("other"), "UNAVAILABLE").otherwise(F.coalesce("plain", F.lit("UNAVAILABLE")))
+    return facts.select(*keys, F.coalesce("final", rest).alias("robots"))

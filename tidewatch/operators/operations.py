@@ -179,12 +179,10 @@ def outbox_claim(events: DataFrame, kind: str, limit: int, now: Column) -> DataF
 
 
 def delivery(attempts: Column, succeeded: Column, backoff_s: int = 90) -> Column:
-    """What becomes of a delivered event: struct(status, delay_s)."""
-    return (
-        F.when(succeeded, F.struct(F.lit("DELIVERED").alias("status"), F.lit(0).alias("delay_s")))
-        .when(attempts >= MAX_DELIVERIES, F.struct(F.lit("FAILED").alias("status"), F.lit(0).alias("delay_s")))
-        .otherwise(F.struct(F.lit("PENDING").alias("status"), F.lit(backoff_s).alias("delay_s")))
-    )
+    """What becomes of a claimed event, struct(status, delay_s); attempts counts its claims, this one included. One claimed too
+    often is not tried again: FAILED."""
+    answer = lambda status, delay: F.struct(F.lit(status).alias("status"), F.lit(delay).alias("delay_s"))
+    return F.when(attempts > MAX_DELIVERIES, answer("FAILED", 0)).when(succeeded, answer("DELIVERED", 0)).otherwise(answer("PENDING", backoff_s))
 
 
 def verification_retry(attempts: Column) -> Column:
@@ -207,8 +205,33 @@ def recovered(frontier: DataFrame) -> DataFrame:
 
 
 def cancel(status: Column, lease_expires_at: Column, now: Column) -> Column:
-    """IMMEDIATE for queued runs or a lapsed lease, COOPERATIVE under a live one, null for ended runs."""
-    return F.when(status.isin(*TERMINAL), None).when((status == "QUEUED") | lease_expires_at.isNull() | (lease_expires_at < now), "IMMEDIATE").otherwise("COOPERATIVE")
+    """IMMEDIATE for queued runs or without a live lease (one that ends now is not), COOPERATIVE under one; ended runs:
+    ALREADY_FINISHED if cancelled, else CONFLICT."""
+    ended = F.when(status == "CANCELLED", "ALREADY_FINISHED").when(status.isin(*TERMINAL), "CONFLICT")
+    return ended.when((status == "QUEUED") | lease_expires_at.isNull() | (lease_expires_at <= now), "IMMEDIATE").otherwise("COOPERATIVE")
+
+
+def acquire_leases(runs: DataFrame, now: Column, lease_s: int) -> DataFrame:
+    """runs (status, lease_token, lease_expires_at) after a worker took each that is free, with acquired. A new holder raises the
+    token, which fences the one before off; a run being finalized stays so."""
+    free = ~F.col("status").isin(*TERMINAL) & (F.col("lease_expires_at").isNull() | (F.col("lease_expires_at") <= now))
+    return runs.withColumn("acquired", free).withColumns({
+        "status": F.when(free & (F.col("status") != "FINALIZING"), "RUNNING").otherwise(F.col("status")),
+        "lease_token": F.col("lease_token") + free.cast("int"),
+        "lease_expires_at": F.when(free, _after(now, lease_s)).otherwise(F.col("lease_expires_at")),
+    })
+
+
+def renew_leases(runs: DataFrame, held: DataFrame, now: Column, lease_s: int) -> DataFrame:
+    """runs with renewed: active ones whose token is the holder's run on for lease_s from now. held: run_id, token, one row a run."""
+    both = runs.join(held.select("run_id", F.col("token").alias("__held")), "run_id", "left")
+    fine = F.coalesce(F.col("lease_token") == F.col("__held"), F.lit(False)) & ~F.col("status").isin(*TERMINAL)
+    expires = F.when(fine, _after(now, lease_s)).otherwise(F.col("lease_expires_at"))
+    return both.withColumns({"renewed": fine, "lease_expires_at": expires}).drop("__held")
+
+
+def _after(now: Column, s: int) -> Column:
+    return now + F.expr(f"make_dt_interval(0, 0, 0, {int(s)})")
 
 
 def create_crawl(requests: DataFrame) -> DataFrame:

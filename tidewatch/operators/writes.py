@@ -52,12 +52,18 @@ def outbox_row(kind: Column, payload: Column, event_id: Column, now: Column) ->
     )
 
 
-def ack(events: DataFrame, event_id: str, token: str, now: Column, retry_after: Column | None = None) -> DataFrame:
-    """Delivered (or, with retry_after, put back) if the claim's token still holds."""
-    hit = (F.col("event_id") == event_id) & F.col("claim_token").eqNullSafe(token)
-    values = {"status": F.lit("PENDING" if retry_after is not None else "DELIVERED"), "claim_token": F.lit(None).cast("string")}
-    values |= {"available_at": retry_after} if retry_after is not None else {"delivered_at": now}
-    return guarded_update(events, hit, values)[0]
+def ack(events: DataFrame, answers: DataFrame, now: Column) -> DataFrame:
+    """events after workers answered: delivered, or with delay_s put back until then. Only the holder of the claim counts.
+
+    answers: event_id, claim_token, delay_s (null: delivered), one row per event and token.
+    """
+    given = answers.select(F.col("event_id").alias("__id"), F.col("claim_token").alias("__token"), F.col("delay_s").alias("__delay"), F.lit(True).alias("__hit"))
+    same = (F.col("event_id") == F.col("__id")) & (F.col("claim_token") == F.col("__token"))
+    both = events.join(given, same, "left").withColumn("__hit", F.coalesce("__hit", F.lit(False)))
+    later = now + F.make_dt_interval(secs=F.col("__delay").cast("decimal(18,6)"))
+    values = {"delivered_at": F.when(F.col("__delay").isNull(), now).otherwise(F.col("delivered_at")), "available_at": F.when(F.col("__delay").isNotNull(), later).otherwise(F.col("available_at"))}
+    values |= {"claim_token": F.lit(None), "claim_until": F.lit(None)}
+    return guarded_update(both, F.col("__hit"), values)[0].select(*events.columns)
 
 
 def write_run(df: DataFrame, path: str) -> None:
