@@ -7,19 +7,19 @@ def run(spark, df, path, query, name, mode):
     df.write.parquet(str(path))
     stream = spark.readStream.schema(df.schema).parquet(str(path))
     q = query(stream).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     return spark.sql(f"select * from {name}").collect()
 
 
 def test_limiter(spark, tmp_path):
     df = spark.createDataFrame([(i, "u", i) for i in range(5)] + [(9, "u", 100), (10, "v", 1)], "id long, subject string, t long").coalesce(1)
-    got = {r.id: r.allowed for r in run(spark, df, tmp_path / "a", lambda s: state.limiter(s, 3, 50), "limited", "append")}
+    got = {r.id: r.allowed for r in run(spark, df, tmp_path / "a", lambda s: state.limiter(s, 3, 50, forget=False), "limited", "append")}
     assert got == {0: True, 1: True, 2: True, 3: False, 4: False, 9: True, 10: True}
 
 
 def test_deliveries(spark, tmp_path):
     df = spark.createDataFrame([("bad", False)] * 6 + [("good", False), ("good", True)], "event_id string, succeeded boolean").coalesce(1)
-    got = {r.event_id: (r.attempts, r.status) for r in run(spark, df, tmp_path / "b", state.deliveries, "delivered", "update")}
+    got = {r.event_id: (r.attempts, r.status) for r in run(spark, df, tmp_path / "b", lambda s: state.deliveries(s, forget=False), "delivered", "update")}
     assert got == {"bad": (5, "FAILED"), "good": (2, "DELIVERED")}
 
 

@@ -22,7 +22,13 @@ from tidewatch.operators.operations import DAY_S, MAX_DELIVERIES
 DELIVERY_TTL_S = 7 * DAY_S
 
 
-def limiter(attempts: DataFrame, most: int, window_s: int) -> DataFrame:
+def _timeout(forget: bool) -> str:
+    """State that waits for its time keeps a stream in batches: one with an availableNow trigger would never end, so it has to
+    be told not to forget."""
+    return GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout
+
+
+def limiter(attempts: DataFrame, most: int, window_s: int, forget: bool = True) -> DataFrame:
     """id, subject, t, allowed for a stream of (id bigint, subject string, t bigint seconds). Refused attempts do not count.
 
     Within a trigger a subject's attempts are judged by time; attempts of a later trigger come after those of an earlier one.
@@ -41,15 +47,16 @@ def limiter(attempts: DataFrame, most: int, window_s: int) -> DataFrame:
             if ok[-1]:
                 kept.append(int(t))
         state.update((kept,))
-        state.setTimeoutDuration(window_s * 1000)
+        if forget:
+            state.setTimeoutDuration(window_s * 1000)
         yield pd.DataFrame({"id": rows["id"].to_numpy(), "subject": key[0], "t": rows["t"].to_numpy(), "allowed": ok})
 
     return attempts.groupBy("subject").applyInPandasWithState(
-        judge, "id bigint, subject string, t bigint, allowed boolean", "kept array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout
+        judge, "id bigint, subject string, t bigint, allowed boolean", "kept array<bigint>", "append", _timeout(forget)
     )
 
 
-def deliveries(attempts: DataFrame) -> DataFrame:
+def deliveries(attempts: DataFrame, forget: bool = True) -> DataFrame:
     """event_id, attempts, status for a stream of delivery attempts (event_id string, succeeded boolean): DELIVERED, PENDING, or FAILED after MAX_DELIVERIES."""
 
     def step(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -63,10 +70,11 @@ def deliveries(attempts: DataFrame) -> DataFrame:
                     n += 1
                     status = "DELIVERED" if ok else "FAILED" if n >= MAX_DELIVERIES else "PENDING"
         state.update((n, status))
-        state.setTimeoutDuration(DELIVERY_TTL_S * 1000)
+        if forget:
+            state.setTimeoutDuration(DELIVERY_TTL_S * 1000)
         yield pd.DataFrame({"event_id": [key[0]], "attempts": [n], "status": [status]})
 
-    return attempts.groupBy("event_id").applyInPandasWithState(step, "event_id string, attempts int, status string", "attempts int, status string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return attempts.groupBy("event_id").applyInPandasWithState(step, "event_id string, attempts int, status string", "attempts int, status string", "update", _timeout(forget))
 
 
 def first_of_key(requests: DataFrame, keys: list[str], ts: str, ttl: str) -> DataFrame:
