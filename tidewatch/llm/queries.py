@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, html_extract, licenses, near_join, pieces, pii, quality, substring_dedup, suffix_dedup, token_counts
+from tidewatch.llm import (
+    decontaminate, fill_middle, html_extract, licenses, merkle, near_join, pieces, pii, quality, substring_dedup, suffix_dedup, token_counts, whitening,
+)
 from tidewatch.llm.base import table, text_of
 
 PIECE_MODEL, WORD_MODEL = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -77,11 +79,31 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = merkle.compared(table(spark, sf_dir, "documents"))
+    return out.select(
+        F.col("key").alias("doc_id"), F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        "near_edited", "near_next", *[F.coalesce(F.col(f"edit.{x}"), F.lit(-1)).alias(f"edit_{x}") for x in ("section", "paragraph")],
+    )
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_middle(table(spark, sf_dir, "documents"))
+    columns = ("doc_id", "n", "form", "prefix_chars", "middle_chars")
+    back = fill_middle.restore(made, keep=(*columns, "output"))
+    return back.select(*columns, F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).drop("residual", "passes")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pii, op2_substring_dedup, op3_decontamination, op4_sentencepiece, op5_suffix_dedup,
         op6_quality_rules, op7_near_join, op8_license_scan, op9_token_counts, op10_html_extract,
+        op11_fingerprints, op12_fill_middle, op13_whitening,
     )
 }
 
@@ -140,4 +162,87 @@ r(x, y) AS (SELECT x, y FROM link UNION SELECT r.x, link.y FROM r JOIN link ON r
 SELECT doc_id, least(doc_id, coalesce((SELECT min(y) FROM r WHERE x = doc_id), doc_id)) AS class_id, (SELECT count(*) FROM link WHERE x = doc_id) AS n_links FROM documents
 """
 
-ORACLES: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op6_quality_rules": OP6_SQL, "op7_near_join": OP7_SQL}
+_PARAGRAPHS = r"regexp_extract_all(t, '[^.!?\n]{1,64}[^.!? \t\n\x0B\f\r]{0,32}[.!? \t\n\x0B\f\r]{0,64}|[.!? \t\n\x0B\f\r]{1,64}')"
+
+OP11_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, coalesce(lead(doc_id) OVER o, first_value(doc_id) OVER o) AS next_id, coalesce(lead(t) OVER o, first_value(t) OVER o) AS nt, length(t) // 4 AS q
+  FROM d WINDOW o AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+x AS (
+  SELECT doc_id, kind, t, ps, len(ps) AS n,
+    CASE WHEN len(ps) <= 64 AND len(regexp_extract_all(t, '[^ 	
+
+]+')) <= 64
+      THEN list_transform(regexp_extract_all(t, '[^ 	
+
+]+'), lambda w: left(md5(w), 8)) ELSE [] END AS words,
+    CASE WHEN length(t) BETWEEN 1 AND 48 THEN list_transform(range(1, greatest(1, length(t) - 1) + 1), lambda i: left(md5(substring(t, i, 2)), 8)) ELSE [] END AS pairs
+  FROM (SELECT doc_id, kind, t, {_PARAGRAPHS} AS ps FROM (
+    SELECT doc_id, 0 AS kind, t FROM n UNION ALL SELECT doc_id, 1, substring(t, 1, length(t) - q) || substring(nt, 1, q) FROM n))
+),
+p AS (SELECT doc_id, kind, n, i, ps[i] AS p, sha256(ps[i]) AS node FROM x, unnest(range(1, n + 1)) AS u(i)),
+g AS (SELECT *, coalesce(sum((left(node, 1) IN ('0', '8') OR contains(p, chr(10) || chr(10)))::INT)
+  OVER (PARTITION BY doc_id, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM p),
+c AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, kind, g ORDER BY i) - 1) // 32 AS c FROM g),
+s AS (SELECT doc_id, kind, n, min(i) AS pos, sha256(string_agg(node, '' ORDER BY i)) AS node, list(left(node, 8) ORDER BY i) AS below FROM c GROUP BY doc_id, kind, n, g, c),
+f AS (
+  SELECT doc_id, kind, sha256(string_agg(node, '' ORDER BY pos)) AS root, list(left(node, 8) ORDER BY pos) AS sections,
+    CASE WHEN n <= 256 THEN flatten(list(below ORDER BY pos)) ELSE [] END AS paragraphs, list(CASE WHEN n <= 256 THEN below ELSE NULL END ORDER BY pos) AS below,
+    list(left(node, 8) || CASE WHEN n <= 256 THEN ':' || array_to_string(below, '.') ELSE '' END ORDER BY pos) AS printed
+  FROM s GROUP BY doc_id, kind, n
+),
+w AS (
+  SELECT x.doc_id, x.kind, x.t, coalesce(root, sha256('')) AS root, coalesce(sections, []) AS sections, coalesce(paragraphs, []) AS paragraphs, coalesce(below, []) AS below,
+    coalesce(printed, []) AS printed, words, pairs,
+    coalesce(root, sha256('')) || '/' || coalesce(array_to_string(printed, ','), '') || '/' || coalesce(array_to_string(words, '.'), '') || '/' || coalesce(array_to_string(pairs, '.'), '') AS fingerprint
+  FROM x LEFT JOIN f USING (doc_id, kind)
+),
+two AS (
+  SELECT a.doc_id, 'edited' AS how, a.root AS ra, b.root AS rb, a.pairs AS pa, b.pairs AS pb, a.words AS wa, b.words AS wb, a.paragraphs AS ga, b.paragraphs AS gb, a.sections AS sa, b.sections AS sb
+  FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.kind = 0 AND b.kind = 1
+  UNION ALL SELECT a.doc_id, 'next', a.root, b.root, a.pairs, b.pairs, a.words, b.words, a.paragraphs, b.paragraphs, a.sections, b.sections
+  FROM n JOIN w a ON n.doc_id = a.doc_id AND a.kind = 0 JOIN w b ON n.next_id = b.doc_id AND b.kind = 0
+),
+level AS (
+  SELECT doc_id, how, ra = rb AS same,
+    CASE WHEN len(pa) > 0 AND len(pb) > 0 THEN pa WHEN len(wa) > 0 AND len(wb) > 0 THEN wa WHEN len(ga) > 0 AND len(gb) > 0 THEN ga ELSE sa END AS a,
+    CASE WHEN len(pa) > 0 AND len(pb) > 0 THEN pb WHEN len(wa) > 0 AND len(wb) > 0 THEN wb WHEN len(ga) > 0 AND len(gb) > 0 THEN gb ELSE sb END AS b
+  FROM two
+),
+ca AS (SELECT doc_id, how, v, count(*) AS k FROM (SELECT doc_id, how, unnest(a) AS v FROM level) GROUP BY ALL),
+cb AS (SELECT doc_id, how, v, count(*) AS k FROM (SELECT doc_id, how, unnest(b) AS v FROM level) GROUP BY ALL),
+sh AS (SELECT doc_id, how, sum(least(ca.k, cb.k)) AS k FROM ca JOIN cb USING (doc_id, how, v) GROUP BY ALL),
+near AS (
+  SELECT doc_id, how, CASE WHEN same THEN 1.0::DOUBLE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * coalesce(k, 0)::DOUBLE / (len(a) + len(b))::DOUBLE END AS near
+  FROM level LEFT JOIN sh USING (doc_id, how)
+),
+e AS (
+  SELECT a.doc_id, a.below AS ba, b.below AS bb, CASE WHEN a.root <> b.root THEN coalesce(
+    list_filter(range(1, len(a.printed) + 1), lambda i: a.printed[i] IS DISTINCT FROM b.printed[i])[1], len(a.printed) + 1) END AS pos
+  FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.kind = 0 AND b.kind = 1
+)
+SELECT a.doc_id, length(a.t)::BIGINT AS n_chars, sha256(b.t) AS edited_sha256, a.fingerprint, b.fingerprint AS edited_fingerprint, x.near AS near_edited, y.near AS near_next,
+  coalesce(e.pos - 1, -1)::INT AS edit_section, CASE WHEN ba[e.pos] IS NOT NULL AND bb[e.pos] IS NOT NULL THEN
+    coalesce(list_filter(range(1, len(ba[e.pos]) + 1), lambda i: ba[e.pos][i] IS DISTINCT FROM bb[e.pos][i])[1] - 1, len(ba[e.pos]))::INT ELSE -1 END AS edit_paragraph
+FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.kind = 0 AND b.kind = 1 JOIN near x ON x.doc_id = a.doc_id AND x.how = 'edited' JOIN near y ON y.doc_id = a.doc_id AND y.how = 'next' JOIN e ON e.doc_id = a.doc_id
+"""
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || doc_id) AS h FROM documents
+), r AS (
+  SELECT doc_id, t, w, len(w) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d
+), c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM r
+), x AS (
+  SELECT *, coalesce(array_to_string(w[1:a], ''), '') AS p, coalesce(array_to_string(w[a + 1:b], ''), '') AS m, coalesce(array_to_string(w[b + 1:n], ''), '') AS s FROM c
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM x
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_substring_dedup": OP2_SQL, "op6_quality_rules": OP6_SQL, "op7_near_join": OP7_SQL, "op11_fingerprints": OP11_SQL, "op12_fill_middle": OP12_SQL,
+}
