@@ -211,7 +211,7 @@ def followed(
     whole = F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(-(1 << 63)))
     n = rows.select(key).count()
     parts = max(1, min(ranges, n // range_rows))
-    share = F.array(*[F.lit(i / parts) for i in range(1, parts)]) if parts <= 256 else F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda i: i / F.lit(parts))
+    share = F.split(F.lit(",".join(str(i / parts) for i in range(1, parts))), ",").cast("array<double>")
     bounds = rows.select(whole.alias(k)).agg(F.percentile_approx(k, share, F.lit(max(10_000, 10 * parts))).alias("q")).collect()[0].q if parts > 1 else []
     bounds = sorted(b for b in bounds or [] if b is not None)
     digest = F.shiftrightunsigned(F.xxhash64(F.col(f"`{text}`")), 33)
