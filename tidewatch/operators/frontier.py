@@ -77,8 +77,8 @@ def breadth_first(start: DataFrame, links: DataFrame, depth: int, limit: int | N
 
 
 def sitemap_walk(roots: DataFrame, documents: DataFrame, depth: int = SITEMAP_DEPTH, max_documents: int = SITEMAP_DOCUMENTS, max_urls: int = SITEMAP_URLS) -> tuple[DataFrame, DataFrame]:
-    """(urls: scope, url; state: scope, documents, truncated). roots: scope, root and, where it is not the root's, host;
-    documents: url, kind, urls.
+    """(urls: scope, url; state: scope, documents, truncated). roots: scope, root and, where it is not the root's, host, and
+    pos where a scope has several; documents: url, kind, urls.
 
     A scope fetches documents in (level, position) order until max_documents (the root counts) and takes URLs in the order
     of those documents until max_urls. The root is level 0 and level `depth` is the last one opened. Documents and URLs of
@@ -86,7 +86,7 @@ def sitemap_walk(roots: DataFrame, documents: DataFrame, depth: int = SITEMAP_DE
     """
     at_home = lambda url: (urls.host_of(url) == F.col("host")) & ((F.col("host") == "") | url.rlike("(?i)^https?://"))
     host = F.lower("host") if "host" in roots.columns else urls.host_of(F.col("root"))
-    level = roots.select("scope", F.col("root").alias("url"), F.array(F.lit(0)).alias("place"), host.alias("host")).filter(at_home(F.col("url")))
+    level = roots.select("scope", F.col("root").alias("url"), F.array(F.col("pos") if "pos" in roots.columns else F.lit(0)).alias("place"), host.alias("host")).filter(at_home(F.col("url")))
     fetched = None
     cut = roots.select("scope", F.lit(False).alias("cut")).limit(0)
     for d in range(depth + 1):
