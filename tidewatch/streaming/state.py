@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidewatch.operators.ledger import Ledger
 from tidewatch.operators.operations import DAY_S, MAX_DELIVERIES
 
 #: How long a delivery's counter outlives its last attempt.
@@ -94,7 +95,8 @@ def publish_stream(
 
     Observations are kept under path/observations, one folder per run and batch, so a batch that is tried again writes the
     same rows. A run's tables are made of all its observations so far (the first of each key) and replaced as a whole: a run
-    may arrive in any number of batches.
+    may arrive in any number of batches. publish_batch sees the batch's runs alone, so its tables must not look back at
+    earlier runs: for publication with baselines and issues see ledger_stream().
     """
     schema = observations.schema
 
@@ -115,3 +117,14 @@ def publish_stream(
         merged.unpersist()
 
     return observations.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ledger_stream(ended: DataFrame, observations: Callable[[], DataFrame], folder: str, checkpoint: str, suppressed: Callable[[], DataFrame] | None = None) -> Any:
+    """Publishes runs as they end, each batch against what was published before (see ledger): baseline, issues and their
+    occurrence carry over from batch to batch. ended: project_id, run_id and, where known, token; observations() and
+    suppressed() give the present tables. A batch that is tried again finds its runs in the ledger."""
+
+    def publish(batch: DataFrame, number: int) -> None:
+        Ledger(batch.sparkSession, folder).publish(batch, observations(), suppressed() if suppressed else None)
+
+    return ended.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
