@@ -37,7 +37,7 @@ _KEYS = "project_id string, run_id string, run_no long, page_id long"
 _SCOPE = "scope_generation long, rule_version long, rule_key string"
 TABLES = {
     "events": f"{_KEYS}, change_type string, severity string, before string, after string",
-    "issues": f"{_KEYS}, {_SCOPE}, state string, occurrence int, last_evaluated_run_id string, last_confirmed_run_id string, evidence map<string,string>",
+    "issues": f"{_KEYS}, {_SCOPE}, from_state string, state string, occurrence int, last_evaluated_run_id string, last_confirmed_run_id string, evidence map<string,string>, own boolean",
     "transitions": f"{_KEYS}, rule_key string, from_state string, to_state string, occurrence int, idempotency_key string",
     "summary": "project_id string, run_id string, run_no long, policy_id string, finished_at timestamp_ntz, comparison_mode string, base_run_id string, urls_crawled long, total long, critical long, "
     "warning long, info long, affected_pages long, issues_open long, issues_resolved long, health_score long, health_score_version long, health_coverage double, reason string",
@@ -136,10 +136,11 @@ class Ledger:
         last = self.commits().groupBy("project_id").agg(F.max_by(F.struct("run_id", "attempt"), "n").alias("l")).select("l.*")
         return self.rows("issues").join(last, ["run_id", "attempt"], "left_semi").select(*_names(TABLES["issues"]))
 
-    def write(self, name: str, table: DataFrame, attempt: str) -> None:
-        columns = _names(TABLES[name])
-        rows = table.select(*columns).sortWithinPartitions("project_id", "run_id")
+    def write(self, name: str, table: DataFrame, attempt: str) -> DataFrame:
+        """The rows as the attempt's part of a table, read from there."""
+        rows = table.select(*_names(TABLES[name])).sortWithinPartitions("project_id", "run_id")
         rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/attempt={attempt}")
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{name}/attempt={attempt}")
 
     def sweep(self) -> list[str]:
         """Removes the rows of attempts that nothing was committed of; only when no writer is at work."""
@@ -189,9 +190,10 @@ class Ledger:
         batch = self.spark.createDataFrame(rows, RUN)
         prior = [(r.project_id, ledgers[r.project_id][-1]["run_id"], ledgers[r.project_id][-1]["attempt"]) for r in runs if ledgers[r.project_id]]
         wanted = [r.run_id for r in runs] + [x[7] for x in rows if x[7]]
-        tables = publication(batch, observations.filter(F.col("run_id").isin(wanted)), self._prior(prior), suppressed)
-        for name, table in tables.items():
-            self.write(name, table, attempt)
+        events, issues = compared(batch, observations.filter(F.col("run_id").isin(wanted)), self._prior(prior))
+        events, issues = self.write("events", events, attempt), self.write("issues", issues, attempt)
+        self.write("transitions", transitions(issues), attempt)
+        self.write("summary", summary(batch, events, issues, suppressed), attempt)
         if between:
             between()
         for r, row in zip(runs, rows, strict=True):
@@ -219,36 +221,43 @@ def _gated(spark: SparkSession, asked: list[tuple]) -> list[str]:
     return [d for _, d in sorted((r.i, r.decision) for r in rows)]
 
 
-def publication(runs: DataFrame, observations: DataFrame, prior: DataFrame, suppressed: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Events, issues, transitions and summary of runs (RUN), one per project, from their own and their baselines' observations and the
-    issues before them."""
+def compared(runs: DataFrame, observations: DataFrame, prior: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, issues) of runs (RUN), one per project, from their own and their baselines' observations and the issues before
+    them: one join of the observations, one of the verdicts with the issues."""
     runs = F.broadcast(runs)  # a row a project
     current = observations.join(runs.select("run_id", "base_run_id"), "run_id")
     events = diff.observation_diff(current, observations)
     scope = ("project_id", "scope_generation", "rule_version", "page_id", "rule_key")
     verdicts = rules.evaluate(rules.rule_input(current), keys=("project_id", "scope_generation", "rule_version", "run_id", "run_no", "page_id"))
     before = prior.select(*scope, F.struct("state", "occurrence", "last_evaluated_run_id", "last_confirmed_run_id", "evidence").alias("was"))
-    now = verdicts.select(*scope, F.struct("run_id", "run_no", "verdict", "evidence").alias("now"))
-    both = now.join(before, list(scope), "full").join(runs.select("project_id", F.struct("run_id", "run_no", "scope_generation", "rule_version").alias("run")), "project_id")
+    now = verdicts.select(*scope, F.struct("verdict", "evidence").alias("now"))
+    run = runs.select("project_id", F.struct("run_id", "run_no", "scope_generation", "rule_version").alias("run"))
+    both = now.join(before, list(scope), "full").join(run, "project_id")
     verdict, old = F.coalesce(F.col("now.verdict"), F.lit(rules.UNKNOWN)), F.col("was.state")
     new = rules.next_state(old, verdict)
     fresh = (old.isNull() & new.isNotNull()) | rules.reopens(old, verdict)
     own = (F.col("scope_generation") == F.col("run.scope_generation")) & (F.col("rule_version") == F.col("run.rule_version"))
-    sure = verdict != rules.UNKNOWN
-    stepped = both.select(
+    issues = both.select(
         "project_id", "run.run_id", "run.run_no", "page_id", "scope_generation", "rule_version", "rule_key", old.alias("from_state"), new.alias("state"),
         (F.coalesce("was.occurrence", F.lit(0)) + fresh.cast("int")).alias("occurrence"),
         F.when(own, F.col("run.run_id")).otherwise(F.col("was.last_evaluated_run_id")).alias("last_evaluated_run_id"),
-        F.when(sure, F.col("run.run_id")).otherwise(F.col("was.last_confirmed_run_id")).alias("last_confirmed_run_id"),
+        F.when(verdict != rules.UNKNOWN, F.col("run.run_id")).otherwise(F.col("was.last_confirmed_run_id")).alias("last_confirmed_run_id"),
         F.when(verdict == rules.PRESENT, F.col("now.evidence")).otherwise(F.col("was.evidence")).alias("evidence"), own.alias("own"),
-    ).filter(F.col("state").isNotNull())
-    changed = stepped.filter(~F.col("from_state").eqNullSafe(F.col("state"))).withColumnRenamed("state", "to_state")
+    )
+    return events, issues.filter(F.col("state").isNotNull())
+
+
+def transitions(issues: DataFrame) -> DataFrame:
+    """The state changes that runs made, with their idempotency keys."""
+    changed = issues.filter(~F.col("from_state").eqNullSafe(F.col("state"))).withColumnRenamed("state", "to_state")
     issue = F.concat_ws(":", "page_id", "rule_key")
-    key = F.when(F.col("from_state").isNull(), F.concat_ws(":", "run_id", "page_id", "rule_key", F.lit("open"))).otherwise(F.concat_ws(":", F.col("run_id"), issue, F.col("to_state")))
-    return {"events": events, "issues": stepped, "transitions": changed.withColumn("idempotency_key", key), "summary": _summary(runs, events, stepped, suppressed)}
+    again = F.concat_ws(":", F.col("run_id"), issue, F.col("to_state"))
+    return changed.withColumn("idempotency_key", F.when(F.col("from_state").isNull(), F.concat_ws(":", "run_id", "page_id", "rule_key", F.lit("open"))).otherwise(again))
 
 
-def _summary(runs: DataFrame, events: DataFrame, issues: DataFrame, suppressed: DataFrame | None) -> DataFrame:
+def summary(runs: DataFrame, events: DataFrame, issues: DataFrame, suppressed: DataFrame | None = None) -> DataFrame:
+    """One row per run, from its events and the issues that it left."""
+    runs = F.broadcast(runs)
     opened = issues.filter("own and state = 'OPEN'").select("project_id", "page_id", "rule_key")
     if suppressed is not None:
         muted = suppressed.join(runs.select("project_id", "finished_at"), "project_id").filter(F.col("suppressed_until") >= F.col("finished_at"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from tidewatch.sources.crawl import OBSERVED_SQL
 
-_IDENTITY = "CASE WHEN regexp_matches(regexp_replace(url, '#.*$', ''), '^[a-z]+://[^/?]+$') THEN regexp_replace(url, '#.*$', '') || '/' ELSE regexp_replace(url, '#.*$', '') END"
+IDENTITY = "CASE WHEN regexp_matches(regexp_replace(url, '#.*$', ''), '^[a-z]+://[^/?]+$') THEN regexp_replace(url, '#.*$', '') || '/' ELSE regexp_replace(url, '#.*$', '') END"
 _TITLE = "nullif(trim(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), '')"
-_HOST = "regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)"
+HOST = "regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)"
 
 _RUNS = """
 facts AS (
@@ -141,16 +141,16 @@ _RETENTION = _ORDERS + """, prot AS (SELECT min(run_id) AS run_id FROM r GROUP B
 ranked AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY finished_at DESC, run_id DESC) - 1 AS rank FROM r WHERE status <> 'CRAWLING' AND details_expired_at IS NULL),
 plan AS (SELECT run_id, project_id, rank FROM ranked WHERE (finished_at < TIMESTAMP '2000-06-01' - INTERVAL 900 DAY OR rank >= 100) AND run_id NOT IN (SELECT run_id FROM prot)) """
 _CURSOR = "rtrim(translate(to_base64(encode(strftime({t}, '%Y-%m-%dT%H:%M:%S.%g') || 'Z|' || {i})), '+/', '-_'), '=')"
-_TREE = f"WITH t AS (SELECT page_id, {_HOST} AS scope, row_number() OVER (PARTITION BY {_HOST} ORDER BY page_id) - 1 AS n FROM pages) "
+_TREE = f"WITH t AS (SELECT page_id, {HOST} AS scope, row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) - 1 AS n FROM pages) "
 _CHECKED = "WITH c AS (SELECT c_custkey AS k, ['OWNER', 'ADMIN', 'MEMBER', 'VIEWER'] AS roles FROM customer), m AS (SELECT k, k % 2 = 0 AS chg, k % 6 AS actor_id, k % 5 AS target_id, roles[k % 4 + 1] AS actor, roles[(k // 4) % 4 + 1] AS target, roles[(k // 16) % 4 + 1] AS new, k % 3 AS owners FROM c) "
 
 ORACLES: dict[str, str] = {
-    "url_identity": f"SELECT page_id, {_IDENTITY} AS identity FROM pages",
-    "url_key": f"SELECT page_id, sha256({_IDENTITY}) AS url_key FROM pages",
+    "url_identity": f"SELECT page_id, {IDENTITY} AS identity FROM pages",
+    "url_key": f"SELECT page_id, sha256({IDENTITY}) AS url_key FROM pages",
     "url_strip_tracking": f"""SELECT page_id, CASE WHEN len(q) = 0 THEN b ELSE b || '?' || array_to_string(q, '&') END AS stripped FROM (
         SELECT page_id, regexp_extract(i, '^([^?]*)', 1) AS b, list_filter(string_split(regexp_extract(i, '\\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_(source|medium|campaign|term|content)|gclid|fbclid)(=|$)')) AS q
-        FROM (SELECT page_id, {_IDENTITY} AS i FROM pages))""",
-    "url_scope": f"SELECT page_id, {_HOST} AS host, {_HOST} LIKE 'm.%' AS on_mobile_host FROM pages",
+        FROM (SELECT page_id, {IDENTITY} AS i FROM pages))""",
+    "url_scope": f"SELECT page_id, {HOST} AS host, {HOST} LIKE 'm.%' AS on_mobile_host FROM pages",
     "url_safety": """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'NON_DEFAULT_PORT' WHEN page_id % 3 = 1 AND page_id % 2 = 1 THEN 'NON_DEFAULT_PORT' WHEN page_id % 7 = 0 THEN 'BLOCKED_HOST' ELSE 'OK' END AS verdict FROM pages""",
     "ipv4_class": f"SELECT event_id, {_ipv4(_ADDRESS)} AS address_class FROM events",
     "dns_policy": f"""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'NETWORK_ERROR' WHEN {_ipv4(_ADDRESS)} <> 'PUBLIC' OR {_ipv4("(event_id * 40503) % 4294967296")} <> 'PUBLIC' THEN 'SECURITY_BLOCKED' ELSE 'PASS' END AS outcome FROM events""",
@@ -270,9 +270,9 @@ ORACLES: dict[str, str] = {
           coalesce(a.run_id, b.run_id) AS first_seen_run_id, coalesce(b.run_id, a.run_id) AS last_seen_run_id
         FROM a FULL JOIN b ON a.pair = b.pair AND a.project_id = b.project_id AND a.page_id = b.page_id""",
 }
-ORACLES["frontier_bfs"] = f"""WITH RECURSIVE t AS (SELECT {_HOST} AS scope, row_number() OVER (PARTITION BY {_HOST} ORDER BY page_id) - 1 AS n FROM pages),
+ORACLES["frontier_bfs"] = f"""WITH RECURSIVE t AS (SELECT {HOST} AS scope, row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) - 1 AS n FROM pages),
   b AS (SELECT scope, n AS node, 0 AS depth FROM t WHERE n = 0 UNION ALL SELECT t.scope, t.n, depth + 1 FROM b JOIN t ON t.scope = b.scope AND t.n > 0 AND (t.n - 1) // 3 = b.node WHERE depth < 3)
   SELECT scope, node, depth FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY depth, node) AS k FROM b) WHERE k <= 20"""
-ORACLES["crawl_run"] = f"""WITH p AS (SELECT DISTINCT {_HOST} AS host, {_IDENTITY} AS u FROM pages)
+ORACLES["crawl_run"] = f"""WITH p AS (SELECT DISTINCT {HOST} AS host, {IDENTITY} AS u FROM pages)
   SELECT host AS run_id, count(*) AS observed, count(*) FILTER (NOT regexp_matches(u, '^[a-z]+://[^/]+/en/')) AS answered, count(*) FILTER (regexp_matches(u, '^[a-z]+://[^/]+/en/')) AS blocked,
     count(*) FILTER (NOT regexp_matches(u, '^[a-z]+://[^/]+/en/')) AS titled FROM p GROUP BY host"""
