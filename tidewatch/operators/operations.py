@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.operators import hot
+
 # Limits of the service.
 DAILY_MANUAL_RUNS, MANUAL_SPACING_S, DAY_S = 10, 300, 86_400
 LIMITS = {"sign-in/email": (20, 900), "sign-up/email": (20, 3600), "send-verification-email": (10, 3600)}
@@ -87,10 +89,12 @@ def limiter(most: int, window_s: int) -> Callable[[], Callable[[int, object], bo
     return fold
 
 
-def rate_limit(attempts: DataFrame, most: int, window_s: int, key: str = "subject", at: str = "ts", id_: str = "id") -> DataFrame:
-    """key, id, allowed for every attempt of one route."""
+def rate_limit(attempts: DataFrame, most: int, window_s: int, key: str = "subject", at: str = "ts", id_: str = "id", hot_rows: int = hot.HOT_ROWS) -> DataFrame:
+    """key, id, allowed for every attempt of one route. A key of over hot_rows rows is spread over tasks."""
     rows = attempts.select(F.col(key), seconds(F.col(at)).alias("__t"), F.col(id_).alias("id"))
-    return folded(rows, (key,), ("__t", "id"), _ddl(rows, (key, "id"), "allowed boolean"), limiter(most, window_s))
+    others, many = hot.parted(rows, (key,), hot_rows)
+    out = folded(others, (key,), ("__t", "id"), _ddl(rows, (key, "id"), "allowed boolean"), limiter(most, window_s))
+    return out if many is None else out.unionByName(hot.hot_rate_limit(many, key, most, window_s))
 
 
 SCHEDULES_PER_TICK = 20  # fixed value
@@ -162,11 +166,15 @@ def holder(ttl_s: int) -> Callable[[], Callable[[int, object, object], str]]:
 
 
 def idempotency(
-    requests: DataFrame, ttl_s: int = DAY_S, key: tuple[str, ...] = ("actor_id", "workspace_id", "route", "key"), at: str = "ts", hash_: str = "request_hash", id_: str = "id"
-) -> DataFrame:
-    """key, id, outcome (RUN, REPLAY, CONFLICT) of requests: the first of a key runs and holds it for ttl_s; later ones meet it."""
+    requests: DataFrame, ttl_s: int = DAY_S, key: tuple[str, ...] = ("actor_id", "workspace_id", "route", "key"), at: str = "ts", hash_: str = "request_hash", id_: str = "id",
+    hot_rows: int = hot.HOT_ROWS,
+) -> DataFrame:
+    """key, id, outcome (RUN, REPLAY, CONFLICT) of requests: the first of a key runs and holds it for ttl_s; later ones meet it.
+    A key of over hot_rows rows is spread over tasks."""
     rows = requests.select(*key, seconds(F.col(at)).alias("__t"), F.col(id_).alias("id"), F.col(hash_).alias("__h"))
-    return folded(rows, key, ("__t", "id"), _ddl(rows, (*key, "id"), "outcome string"), holder(ttl_s))
+    others, many = hot.parted(rows, key, hot_rows)
+    out = folded(others, key, ("__t", "id"), _ddl(rows, (*key, "id"), "outcome string"), holder(ttl_s))
+    return out if many is None else out.unionByName(hot.hot_idempotency(many, key, ttl_s))
 
 
 def claimable(events: DataFrame, now: Column) -> Column:
