@@ -1,16 +1,24 @@
 """HTML extraction by the maximum-scoring subsequence.
 
-A page is read as a sequence of words and tags. A word scores WORD, but below an element that labelled pages show outside
-the content (menus, headers, footers, sidebars, notices, adverts, forms, comments) it scores that element's log odds, which
-are clearly negative; where such an element stands inside an article it scores nothing, so that an advert does not part the
-text around it. Tags score negative: slightly, or heavily where labelled pages show content to begin or end at that tag. One
-linear scan (Kadane) finds the best contiguous region, and its words but for those of such elements are the main text. So
-text that no element gives away (a slogan above the menu, a line behind the footer) stays out as reaching it costs more
+A page is read as a sequence of words and tags. A word scores WORD, and more below an element that labelled pages show around
+the content, whose log odds are clearly above those of any word: these are added. In a block that is nothing but links it scores the log odds of such blocks,
+which are negative, unless it stands below such an element. Below an element that labelled pages show outside the content
+(menus, headers, footers, sidebars, notices, adverts, forms, comments) it scores that element's log odds, which are clearly
+negative; where such an element stands inside an article it scores nothing, so that an advert does not part the text around
+it. Tags score negative: slightly, or heavily where labelled pages show content to begin or end at that tag. One linear scan
+(Kadane) finds the best contiguous region, and its words but for those of such elements are the main text. So text that no
+element gives away (a slogan above the menu, a list of links, a line behind the footer) stays out as reaching it costs more
 than it brings.
 
+Names of layouts are weak evidence. html, body and main are never outside the content; nor is an element for a part of a class
+(right-sidebar, menu-closed) if it holds an article or main, if the part is negated (no-comments), or if it is not the first
+part and the element has most of the page's words; nor a form that wraps the page; nor, inside an article, a block of text
+(p, h2, li, ...) for a class that labelled pages hardly show (STRONG).
+
 All weights are counted from LABELLED, pages with their content marked:
   weight of an element's feature (tag name, or a token of its class, id or role) = log odds, with one added to both counts,
   of words below it lying in the content; an element's weight is its least one below BAD, else none;
+  weight of blocks of links = the same log odds of their words;
   tag weight = -(BASE_COST + BORDER_COST * share of the tag's occurrences that the content begins right after or ends before).
 
 White space (as str.split() sees it) inside a block becomes one space, blocks are trimmed and joined by one space, character
@@ -35,7 +43,10 @@ from pyspark.sql import DataFrame
 from tidewatch.llm.base import carried, map_batches
 
 START, STOP = "[[", "]]"
-BAD = -1.0
+#: The feature of blocks that are nothing but links.
+LINKS = "(links)"
+#: Log odds: below BAD an element is outside the content, above GOOD around it; below STRONG for a block of text in an article.
+BAD, GOOD, STRONG = -1.0, 1.0, -2.0
 #: Scores: of a word, of any tag, and of a tag at which content always begins or ends (in words).
 WORD, BASE_COST, BORDER_COST = 1.0, 0.005, 40.0
 #: Labelled pages: content stands between [[ and ]].
@@ -75,7 +86,12 @@ LABELLED = (
     "<h4>one more title here</h4><ul><li>a list of words in the text with <a>a long link of words</a></li></ul>"
     "<ol><li>and a numbered list</li></ol><p>and the last words of the text <a>with a link</a></p>]]</div></div></div></body>",
     "<body><div class=page><main>[[" + "<div>a text in plain boxes</div><section><div><p>one in another</p></div></section>" * 40 + "]]</main></div></body>",
+    "<body><div class=page><p>a name</p><article>[[" + "<p>a text of an article</p><div>and more of it</div>" * 40 + "]]</article></div></body>",
 )
+#: Elements that classes do not put outside the content, that may wrap a page, that hold text; words that negate a class.
+TOP, WRAPS = frozenset(("html", "body", "main")), frozenset(("form",))
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li td dd figcaption".split())
+NEGATED = frozenset(("no", "not", "without"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noframes svg math object canvas audio video".split())
 BLOCK = frozenset(
@@ -131,6 +147,61 @@ def events(html: str):
             yield "e", name, ""
 
 
+def closed(stack: list, name: str) -> int | None:
+    """Where an end tag cuts the stack of open elements (their first entry is the name); None: it closes nothing."""
+    for i in range(len(stack) - 1, -1, -1):
+        if stack[i][0] == name:
+            return i
+        if stack[i][0] in ("article", "body", "html", "td", "th") and name not in ("article", "body", "html", "main", "table", "tr"):
+            return None
+    return None
+
+
+def outline(found: list[tuple[str, str, str]], weights: Weights | None = None) -> tuple[dict[int, tuple[int, bool]], set[int], int]:
+    """Of a page's events: words and whether an article or main is in it (of the content, by the weights), by the place of each
+    start tag; the places of text in blocks that are nothing but links; words of the page."""
+    inside: dict[int, tuple[int, bool]] = {}
+    stack: list[tuple[str, int, int]] = []  # name, place, words before
+    homes: list[int] = []
+    links: set[int] = set()
+    block: list[int] = []
+    words = linked = free = open_links = 0
+
+    def leave(i: int) -> None:
+        nonlocal open_links
+        for name, at, before in reversed(stack[i:]):
+            inside[at] = (words - before, bool(homes) and homes[-1] > at)
+            open_links -= name == "a"
+        del stack[i:]
+
+    def next_block() -> None:
+        nonlocal linked, free
+        if linked and not free:
+            links.update(block)
+        linked = free = 0
+        block.clear()
+
+    for at, (kind, value, attrs) in enumerate(found):
+        if kind == "t":
+            if n := len(value.split()):
+                words += n
+                linked, free = (linked + n, free) if open_links > 0 else (linked, free + n)
+                block.append(at)
+            continue
+        if value in BLOCK:
+            next_block()
+        if kind == "s" and value not in VOID:
+            if value in ("article", "main") and (weights is None or weights.element(value, attrs, False) >= 0):
+                homes.append(at)
+            stack.append((value, at, words))
+            open_links += value == "a"
+        elif kind == "e" and (i := closed(stack, value)) is not None:
+            leave(i)
+    next_block()
+    leave(0)
+    return inside, links, words
+
+
 class Weights:
     """Counted from labelled pages."""
 
@@ -138,7 +209,9 @@ class Weights:
         inside, outside, border, seen = Counter(), Counter(), Counter(), Counter()
         for page in pages:
             now, stack, ended, before = False, [], False, None
-            for kind, value, attrs in events(page):
+            found = list(events(page))
+            _, links, _ = outline(found)
+            for at, (kind, value, attrs) in enumerate(found):
                 if kind == "t":
                     for part in re.split(r"(\[\[|\]\])", value):
                         if part == START:
@@ -147,7 +220,7 @@ class Weights:
                         elif part == STOP:
                             now, ended = False, True
                         elif part.strip():
-                            for f in {f for _, fs in stack for f in fs}:
+                            for f in {f for _, fs in stack for f in fs} | ({LINKS} if at in links else set()):
                                 (inside if now else outside)[f] += len(part.split())
                     continue
                 before = ("/" if kind == "e" else "") + value
@@ -163,24 +236,38 @@ class Weights:
                             del stack[i:]
                             break
         self.word = {f: math.log((inside[f] + 1) / (outside[f] + 1)) for f in {*inside, *outside}}
+        self.usual = self.word["body"]  # the log odds of any word
         self.tag = {t: -(BASE_COST + BORDER_COST * border[t] / n) for t, n in seen.items()}
 
+    def part(self, token: str, inside: bool, holds: bool, most: bool) -> float:
+        """The least weight of a part of a class that no labelled page has as a whole (site-footer, ad-box)."""
+        parts = [p for p in re.split(r"[-_]+", token) if p]
+        if len(parts) < 2 or holds or not NEGATED.isdisjoint(parts):
+            return 0.0
+        own = lambda p: "header-in" if p == "header" and inside else p
+        return min([self.word.get(f".{own(p)}", 0.0) for p in (parts[:1] if most else parts)] + [0.0])
+
     @cache  # noqa: B019
-    def element(self, name: str, attrs: str, inside: bool) -> float:
-        """Weight of an element that stands outside the content, below BAD; 0: it does not."""
-        if attrs and HIDDEN.search(attrs):
+    def element(self, name: str, attrs: str, inside: bool, holds: bool = False, most: bool = False) -> float:
+        """Weight of an element: below BAD it stands outside the content; above those of any word by GOOD around it; else 0. holds: an article or main;
+        most: of the page's words."""
+        if attrs and name not in TOP and HIDDEN.search(attrs):
             return min(self.word.values())
-        found = []
-        for f in features(name, attrs, inside):
-            w = self.word.get(f)
-            if w is None and f[0] == "." and len(parts := re.split(r"[-_]+", f[1:])) > 1:  # site-footer, ad-box
-                w = min(self.word.get(f".{'header-in' if p == 'header' and inside else p}", 0.0) for p in parts)
-            found.append(w or 0.0)
-        marked = min(found[1:], default=0.0)
+        tokens = features(name, attrs, inside)
+        tag = self.word.get(tokens[0], 0.0)
+        if name in WRAPS and (holds or most):
+            tag = 0.0
+        found = [self.word[t] if t in self.word else self.part(t[1:], inside, holds and name != "article", most or name == "article") for t in tokens[1:]]
+        marked, best = min(found, default=0.0), max([tag, *found])
+        around = best if best > self.usual + GOOD and name not in TEXT else 0.0
+        if name in TOP:
+            return around
+        if tag >= BAD and inside and name in TEXT and marked >= STRONG:
+            marked = 0.0
         # A content class outweighs a neutral tag or another class, never a tag of the outside.
-        if found[0] >= BAD and (marked >= BAD or max(found[1:]) > -BAD):
-            return 0.0
-        return min(found[0], marked)
+        if tag >= BAD and (marked >= BAD or max(found) > -BAD):
+            return around
+        return min(tag, marked)
 
 
 @cache
@@ -208,33 +295,39 @@ def sequence(html: str, weights: Weights | None = None) -> tuple[list[float], li
     pieces: list[str] = []
     stack: list[tuple[str, float]] = []
     outer: list[float] = []  # weights of open elements that stand outside the content
+    around: list[float] = []  # weights of open elements that stand around it
     homes = 0
-    for kind, value, attrs in events(html):
+    found = list(events(html))
+    inside, links, words = outline(found, w)
+    linked = min(w.word.get(LINKS, 0.0), 0.0)
+    for at, (kind, value, attrs) in enumerate(found):
         if kind == "t":
             text = unescape(value) if "&" in value else value
             n = len(text.split())
-            scores.append(WORD * n if not outer else 0.0 if homes else min(outer) * n)
+            plain = WORD + max(around) if around else linked if at in links else WORD
+            scores.append(plain * n if not outer else 0.0 if homes else min(outer) * n)
             pieces.append("" if outer else text)
             continue
         brk = value in BLOCK and not outer
         if kind == "s":
-            weight = 0.0 if value in VOID else w.element(value, attrs, homes > 0)
+            weight = 0.0
             if value not in VOID:
+                size, holds = inside[at]
+                weight = w.element(value, attrs, homes > 0, holds, 2 * size > words)
                 stack.append((value, weight))
-                if weight:
+                if weight < 0:
                     outer.append(weight)
+                elif weight > 0:
+                    around.append(weight)
                 homes += value in ("article", "main") and not outer
-        else:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == value:
-                    for name, weight in reversed(stack[i:]):
-                        homes -= name in ("article", "main") and not outer
-                        if weight:
-                            outer.pop()
-                    del stack[i:]
-                    break
-                if stack[i][0] in ("article", "body", "html", "td", "th") and value not in ("article", "body", "html", "main", "table", "tr"):
-                    break
+        elif (i := closed(stack, value)) is not None:
+            for name, weight in reversed(stack[i:]):
+                homes -= name in ("article", "main") and not outer
+                if weight < 0:
+                    outer.pop()
+                elif weight > 0:
+                    around.pop()
+            del stack[i:]
         scores.append(-BASE_COST if outer else w.tag.get(value if kind == "s" else f"/{value}", -BASE_COST))
         pieces.append("\n\n" if brk or (value in BLOCK and not outer) else "")
     return scores, pieces
