@@ -72,3 +72,44 @@ def test_clashing_columns_ties_and_long_pages(spark):
     got = extract_pages(df, keep=("page_id", "text"))
     assert got.columns == ["page_id", "text_", "text"]
     assert sorted((r.page_id, r.text_, r.text) for r in got.collect()) == [(1, "t", " ".join(["word and word"] * 40_000)), (2, "t", "a b"), (2, "t", "a b")]
+
+
+ARTICLE = "<article><h1>Title here</h1><p>one two three four five six seven</p></article>"
+WANT = "Title here one two three four five six seven"
+
+
+def test_names_of_layouts_do_not_empty_a_page():
+    inner = ARTICLE.removeprefix("<article>").removesuffix("</article>")
+    for page in (
+        f'<body class="single right-sidebar">{ARTICLE}</body>', f'<body class="has-sidebar">{ARTICLE}', f'<body><div class="with-sidebar">{ARTICLE}</div></body>',
+        f'<div class="with-sidebar">{inner}</div><div class="left-sidebar">a b c</div>', f'<main class="site-main no-sidebar">{inner}</main>', f'<article class="no-comments">{inner}</article>',
+        f'<article class="has-sidebar">{inner}</article>', f'<body class="cookies-not-set">{ARTICLE}', f'<body class="menu-closed">{ARTICLE}', f'<body><div class="no-share">{ARTICLE}</div>',
+        f'<body><form id="aspnetForm">{ARTICLE}</form></body>', ARTICLE.replace("<p>", '<p class="warning">'),
+    ):
+        assert extract(page) == WANT, page
+
+
+def test_comments_links_and_lines_around_a_short_article():
+    comments = '<div class="comments"><p>' + "first comment words " * 9 + "</p></div>"
+    links = "<ul><li><a href=a>one link</a></li><li><a>two</a></li><li><a>three</a></li></ul>"
+    reader = '<div class="comments-area"><article class="comment-body"><p>' + "zip zap " * 30 + "</p></article></div>"
+    inner = ARTICLE.removeprefix("<article>").removesuffix("</article>")
+    for page in (
+        ARTICLE + comments + "footer line " * 13, links + ARTICLE, f"{links}<div>{inner}</div>", f"<div>{inner}</div>{reader}",
+        ARTICLE.replace("</article>", '<div class="comments-area"><article class="comment"><p>zip zap</p></article></div></article>'),
+    ):
+        assert extract(page) == WANT, page
+    assert extract(ARTICLE.replace("</article>", links + "</article>")) == WANT + " one link two three"  # an article's own list
+
+
+def test_text_of_random_pages_against_all_runs():
+    """The text is that of the best of all contiguous runs, by their sums."""
+    r = random.Random(6)
+    parts = ["<p>", "</p>", "<div>", "</div>", "<article>", "</article>", "<nav>", "</nav>", '<div class="ad">', "<ul><li>", "</li></ul>", "<a href=x>", "</a>", "<h1>", "</h1>", "some words ", "&amp; x", "<br>", "<footer>", "</footer>", "a b c d "]
+    for _ in range(300):
+        page = "".join(r.choice(parts) for _ in range(r.randint(0, 25)))
+        scores, pieces = sequence(page)
+        sums = [(round(sum(scores[a:b]), 6), -a, b) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)]
+        top = max(sums, default=(0.0, 0, 0))
+        want = " ".join("".join(pieces[-top[1] : top[2]]).split()) if top[0] > 0 else ""
+        assert extract(page) == want, page
