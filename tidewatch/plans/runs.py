@@ -16,6 +16,7 @@ from tidewatch.plans.oracles import HOST, IDENTITY, ORACLES as BATCH
 from tidewatch.plans.stored import observations, suppressions
 from tidewatch.sources.responses import responses
 from tidewatch.sources.tables import load, shared_folder
+from tidewatch.sources.warc import read_archive, write_archive
 from tidewatch.streaming.visits import visit
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,9 +82,12 @@ def archive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
       CASE WHEN outcome <> 'HTTP_RESPONSE' THEN 'UNKNOWN' WHEN status = 200 AND k % 19 <> 3 THEN 'KNOWN' ELSE 'NOT_APPLICABLE' END AS validity FROM o"""
 )
 def crawl_visits(spark, sf_dir):
-    """The whole crawl of every host as a stream, discovery included; what became of the monitored pages."""
+    """The whole crawl of every host as a stream, discovery included, from an archive of WARC files; what became of the monitored
+    pages."""
     answers, pages = archive(spark, sf_dir)
-    seen, _ = visit(pages.select("host").distinct(), pages, answers, _folder(spark))
+    folder = _folder(spark)
+    write_archive(answers.repartition(spark.sparkContext.defaultParallelism), f"{folder}/archive")
+    seen, _ = visit(pages.select("host").distinct(), pages, read_archive(spark, f"{folder}/archive"), folder)
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     own = seen.join(pages.select(F.col("host").alias("run_id"), "url").distinct(), ["run_id", "url"], "left_semi")
     return own.select("run_id", "url", "fetch_outcome", "tries", zero("initial_status"), zero("final_status"), zero("chain"), F.col("field_validity")["title"].alias("validity"))
