@@ -84,8 +84,8 @@ def current_issues(states: DataFrame, runs: DataFrame) -> DataFrame:
 
 def pages_report(pages: DataFrame, observations: DataFrame) -> DataFrame:
     """Every known page with what its last run saw of it."""
-    seen = observations.select("page_id", F.col("run_id").alias("last_seen_run_id"), "fetch_outcome", "initial_status", "title")
-    return pages.join(seen, ["page_id", "last_seen_run_id"], "left")
+    seen = observations.select("project_id", "page_id", F.col("run_id").alias("last_seen_run_id"), "fetch_outcome", "initial_status", "title")
+    return pages.join(seen, ["project_id", "page_id", "last_seen_run_id"], "left")
 
 
 def unsuppressed(issues: DataFrame, suppressed: DataFrame, now: Column, inclusive: bool = False) -> DataFrame:

@@ -1,7 +1,9 @@
-"""Publication tables of a data set, written once per application: reports read them as a service reads its tables.
+"""Publication tables of a data set, written once per application and version of its pages: reports read them as a service
+reads its tables.
 
 The observations are derived from the pages once, then the publication from the observations; every query of the catalogue
-starts from these tables, not from HTML.
+starts from these tables, not from HTML. All are bucketed by project: reports join them without an exchange, and what is asked
+of one project reads its bucket.
 """
 
 from __future__ import annotations
@@ -15,16 +17,20 @@ from pyspark.sql import functions as F
 from tidewatch.operators import publish as publishing
 from tidewatch.operators import rules
 from tidewatch.sources import crawl
-from tidewatch.sources.tables import stored
+from tidewatch.sources.tables import bucketed, version
 
-_TABLES: dict[tuple[str, str, str], DataFrame] = {}
-_PUBLICATIONS: dict[tuple[str, str], publishing.Publication] = {}
+_TABLES: dict[tuple, DataFrame] = {}
+_PUBLICATIONS: dict[tuple, publishing.Publication] = {}
+
+
+def _key(spark: SparkSession, sf_dir: str) -> tuple:
+    return spark.sparkContext.applicationId, sf_dir, version(spark, f"{sf_dir}/pages.parquet")
 
 
 def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (*_key(spark, sf_dir), name)
     if key not in _TABLES:
-        _TABLES[key] = stored(make())
+        _TABLES[key] = bucketed(make(), "project_id")
     return _TABLES[key]
 
 
@@ -43,7 +49,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def publication(spark: SparkSession, sf_dir: str) -> publishing.Publication:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = _key(spark, sf_dir)
     if key in _PUBLICATIONS:
         return _PUBLICATIONS[key]
     once = partial(_once, spark, sf_dir)

@@ -18,7 +18,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not there and (now := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         there = now.get()
     if not there:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         there = f"file://{tempfile.mkdtemp(prefix='tidewatch-')}"
         spark.sparkContext.setCheckpointDir(there)
@@ -35,6 +35,31 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
+    """The rows, computed once, as a table in the shared folder that is bucketed and sorted by key.
+
+    Tables with as many buckets (by default as many as shuffle partitions) join and aggregate by key, or by key and
+    more columns, without an exchange, and a filter on one key reads one bucket. A bucket is read by one task, so this is
+    for tables that are read key by key. The table goes when the application ends.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"tidewatch_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")  # (key, more) is met by buckets of key
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return spark.table(name)
+
+
+def version(spark: SparkSession, path: str) -> tuple:
+    """Names, lengths and times of a table's files: another version gives another value."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in files.listStatus(there)))
+
+
 def find_unique(df: DataFrame, condition: Column) -> DataFrame:
     """The row with a unique key: the predicate goes to the scan, two rows at most come back."""
     return df.filter(condition).limit(2)
