@@ -6,6 +6,8 @@ their places (patience piles) is kept, and the gaps between anchors are aligned
 matched by its equal beginning and end. Coverage is the share of the template's words that are matched. The words that tell
 a license from its kin (name and version, KEYS) must be matched besides, each phrase without a word in between.
 
+A match reaches over its largest part: words far from it count as matched, but their place is left to other licenses.
+
 Defined results: a null or empty text has no licenses; repeated rows each get a row; extra columns are ignored; of
 overlapping matches the one with more matched words stays (ties: higher coverage, then the template's name); an empty table
 gives no rows; texts are scanned whole. Versions 3 and 3.0 are the same. A statement that names no single license ("the BSD
@@ -97,6 +99,17 @@ TEMPLATES |= {
     "LGPL-2.1/notice": _GPL.replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1"),
     "LGPL-3.0/notice": _GPL.replace("GNU General", "GNU Lesser General"),
 }
+# How a license is named on its own, by SPDX name.
+_NAMES = {
+    "AGPL-3.0/short": "AGPLv3", "Apache-2.0/name": "Apache License 2.0", "Apache-2.0/short": "Licensed under Apache 2.0", "BSD-2-Clause/name": "BSD 2-Clause License", "BSD-3-Clause/name": "BSD 3-Clause License",
+    "CC-BY-4.0/name": "CC BY 4.0", "CC-BY-NC-4.0/name": "CC BY-NC 4.0", "CC-BY-NC-ND-4.0/name": "CC BY-NC-ND 4.0", "CC-BY-NC-SA-4.0/name": "CC BY-NC-SA 4.0", "CC-BY-ND-4.0/name": "CC BY-ND 4.0",
+    "CC-BY-SA-4.0/name": "CC BY-SA 4.0", "CC0-1.0/name": "CC0 1.0", "GPL-2.0/short": "GPLv2", "GPL-3.0/short": "GPLv3", "ISC/name": "ISC License", "LGPL-2.1/short": "LGPLv2.1", "LGPL-3.0/short": "LGPLv3",
+    "MIT/licensed": "MIT licensed", "MIT/name": "MIT License", "MPL-2.0/name": "Mozilla Public License 2.0",
+}
+#: Each license's SPDX tag, for the GNU ones also with what the tag says of later versions.
+_IDS = sorted({n.split("/")[0] for n in TEMPLATES})
+_TAGS = {f"{n}{more}/spdx": f"SPDX-License-Identifier: {n}{more}" for n in _IDS for more in ("", *(("-only", "-or-later") if "GPL" in n else ()))}
+TEMPLATES |= _NAMES | _TAGS
 #: Phrases that must be matched whole, by template; texts without a name of their own are told apart by their conditions.
 KEYS = {
     "AGPL-3.0/line": ("gnu affero general public license version 3",), "AGPL-3.0/notice": ("gnu affero general public license", "version 3"),
@@ -111,7 +124,9 @@ KEYS = {
     "LGPL-2.1/line": ("gnu lesser general public license version 2.1",), "LGPL-2.1/notice": ("gnu lesser general public license", "version 2.1"),
     "LGPL-3.0/line": ("gnu lesser general public license version 3",), "LGPL-3.0/notice": ("gnu lesser general public license", "version 3"),
     "MIT/line": ("mit license",), "MPL-2.0": ("mozilla public license v 2.0",), "Unlicense": ("unencumbered software", "public domain"),
-}
+} | {n: (t,) for n, t in (_NAMES | _TAGS).items()}
+#: Words of the text that a match may skip between two matched ones, beyond what it skips of the template; more part it.
+SLACK = 3
 
 
 def words_of(text: str) -> list[str]:
@@ -167,6 +182,14 @@ def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def largest_part(pairs: list[tuple[int, int]], slack: int) -> list[tuple[int, int]]:
+    """Of a match the part with the most words, where parts are far from each other in the text: common words of another
+    statement ("under the") are no part of this one."""
+    cuts = [i for i in range(1, len(pairs)) if pairs[i][0] - pairs[i - 1][0] > pairs[i][1] - pairs[i - 1][1] + slack]
+    parts = [pairs[a:b] for a, b in zip([0, *cuts], [*cuts, len(pairs)], strict=True)]
+    return max(parts, key=len)
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float, keys: dict[str, tuple[str, ...]] = KEYS):
         self.coverage = coverage
@@ -212,7 +235,13 @@ class Scanner:
                         break
                     pairs = aligned(words[begin : min(begin + width, end)], own)
                     if len(pairs) >= least and self.names(pairs, places):
-                        a, z = begin + pairs[0][0], begin + pairs[-1][0]
+                        slack = max(SLACK, len(own) // 8)
+                        core = largest_part(pairs, slack)
+                        first = begin + core[0][0]
+                        again = aligned(words[first : first + width], own)  # its end may lie behind the window that began earlier
+                        if len(again) >= len(pairs) and self.names(again, places):
+                            begin, pairs, core = first, again, largest_part(again, slack)
+                        a, z = begin + core[0][0], begin + core[-1][0]
                         found.append((len(pairs), len(pairs) / len(own), name, a, z + 1))
                         at = z + 1
                     else:

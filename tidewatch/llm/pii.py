@@ -31,6 +31,8 @@ IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 TEL = re.compile(r"(?<![0-9+(])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])")
 SECRET = re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}={0,2}")
+#: What stands right before a run in the same token, looked for in so many characters, and what makes it a URL or path.
+TOKEN_END, URL_START, LOOK_BACK = re.compile(r"[^\s\"'<>=]+\Z"), re.compile(r"://|^(?:www\.|[.~]{0,2}/)"), 512
 DIGIT, LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 #: Score of a validated proposal, what a word for or against in the CONTEXT characters around it adds, and the least score reported.
 PRIOR = {"iban": 0.9, "ssn": 0.4, "tel": 0.4, "secret": 0.4}
@@ -96,6 +98,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def key_like(text: str, a: int, b: int) -> bool:
+    """Whether a run of key characters may be a key: varied, letters and digits, not part of a URL or path. A run with a slash must
+    be base64: letters of both cases, and no character that base64 with slashes lacks."""
+    run = text[a:b]
+    if not (len(set(run)) >= VARIETY and DIGIT.search(run) and LETTER.search(run)):
+        return False
+    if "/" in run and (run[0] == "/" or "-" in run or "_" in run or (run.lower() == run or run.upper() == run) and not run.endswith("=")):
+        return False
+    before = TOKEN_END.search(text, max(0, a - LOOK_BACK), a)  # the token that the run stands in
+    return not (before and URL_START.search(before[0]))
+
+
 def score(text: str, kind: str, a: int, b: int) -> float:
     near = f"{text[max(0, a - CONTEXT) : a]} {text[b : b + CONTEXT]}".lower()
     has = lambda words: any(re.search(rf"(?<!\w){re.escape(w)}(?!\w)", near) for w in words)
@@ -121,7 +135,7 @@ def more_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
                     continue
             elif kind == "ssn" and (m[0][:3] in ("000", "666") or m[0][0] == "9" or m[0][4:6] == "00" or m[0][7:] == "0000"):
                 continue
-            elif kind == "secret" and not (len(set(m[0])) >= VARIETY and DIGIT.search(m[0]) and LETTER.search(m[0])):
+            elif kind == "secret" and not key_like(text, a, b):
                 continue
             if any(a < e and s < b for s, _, e in taken) or any(a < e and s < b for s, _, e in out):
                 continue
