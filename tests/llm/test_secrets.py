@@ -14,6 +14,19 @@ def test_context_decides_on_keys():
     assert pii._masked([f"secret {key}."]) == ["secret <SECRET>."]
 
 
+def test_paths_and_urls_are_no_keys():
+    key = "a1b2c3d4e5f6a7b8c9d0e1f2a3"
+    for text in (
+        f"The access key is https://example.com/files/{key}", f"token: https://example.com/{key}?x", f"secret www.example.com/{key}", "password reset link /users/2024/reports/final-version-9b",
+        "password in users/2024/reports/final-version-9b", f"token ./build/{key}", f"password {key}/index/page1", f"api key at https://example.com/?q=x/{key}",
+    ):
+        assert added(text) == [], text
+    assert added("secret wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY") == [("secret", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY")]
+    assert added(f"token={key}") == [("secret", key)] and added(f'"token":"{key}"') == [("secret", key)]
+    long = "password " + "x" * 3000 + f" {key}"
+    assert added(long) == []  # no word for it near by
+
+
 def test_the_method_adds_spans_and_keeps_the_base(spark, tmp_path):
     text = 'mail a.b@c.de, token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'
     spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
