@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -254,6 +255,93 @@ def create_crawl(requests: DataFrame) -> DataFrame:
     )
 
 
+def admission() -> Callable[[], Callable[..., str]]:
+    """A fold over a project's requests in time. An accepted one is active until it ends, counts for a day, sets the spacing and
+    holds its key for a day; refused ones leave nothing. At most DAILY_MANUAL_RUNS accepted ones are held."""
+
+    def fold() -> Callable[..., str]:
+        held: deque[tuple[int, tuple, object]] = deque()  # accepted within a day: time, (actor, workspace, key), id
+        until = last = None
+
+        def step(t: int, id_: object, actor: object, workspace: object, key: object, lasts: int, early: str | None, late: str | None) -> str:
+            nonlocal until, last
+            while held and held[0][0] < t - DAY_S:
+                held.popleft()
+            if early:
+                return early
+            again = next((i for at, k, i in held if k == (actor, workspace, key) and t < at + DAY_S), None)
+            if again is not None:
+                return f"REPLAY {again}"
+            refused = late or ("ALREADY_ACTIVE" if until is not None and until > t else "DAILY_LIMIT" if len(held) >= DAILY_MANUAL_RUNS else "SPACING" if last is not None and last + MANUAL_SPACING_S > t else None)
+            if refused:
+                return refused
+            held.append((t, (actor, workspace, key), id_))
+            until, last = t + lasts, t
+            return "ACCEPTED"
+
+        return step
+
+    return fold
+
+
+@dataclass
+class Admitted:
+    """What requests for crawls come to, and the rows that accepted ones write."""
+
+    decisions: DataFrame
+    runs: DataFrame
+    outbox: DataFrame
+    audit: DataFrame
+
+
+def admit(requests: DataFrame) -> Admitted:
+    """Requests for crawls, each judged by all that were accepted before it in its project.
+
+    requests: id, project_id, workspace_id, actor_id, role, key, at, lasts_s (how long the crawl goes on if it is accepted),
+    policy_id and, of the project: project_exists, archived, block_reason. decisions: project_id, id, outcome (ACCEPTED, REPLAY or the error),
+    run_id (of an accepted request or the one that it repeats).
+    """
+    c = F.col
+    idle = {"replay": F.lit(False), "active": F.lit(False), "runs_today": F.lit(0), "seconds_since_last": F.lit(None).cast("long"), "has_policy": c("policy_id").isNotNull()}
+    judged = create_crawl(requests.withColumns(idle))
+    first = c("error").isin("FORBIDDEN", "IDEMPOTENCY_KEY_REQUIRED")
+    rows = judged.select(
+        "project_id", seconds(c("at")).alias("__t"), "id", "actor_id", "workspace_id", "key", c("lasts_s").cast("long").alias("__lasts"), F.when(first, c("error")).alias("__early"), F.when(~first, c("error")).alias("__late")
+    )
+    said = folded(rows, ("project_id",), ("__t", "id"), _ddl(rows, ("project_id", "id"), "said string"), admission())
+    outcome = F.split("said", " ")
+    kind = outcome[0]
+    run = lambda i: F.concat_ws("/", "project_id", i.cast("string"))
+    decisions = said.select("project_id", "id", kind.alias("outcome"), F.when(kind == "ACCEPTED", run(c("id"))).when(kind == "REPLAY", run(outcome[1])).alias("run_id"))
+    made = requests.join(decisions.filter("outcome = 'ACCEPTED'"), ["project_id", "id"])
+    nothing = F.lit(None).cast("string")
+    runs = made.select(
+        "run_id", "project_id", "policy_id", F.lit("MANUAL").alias("trigger"), F.lit("QUEUED").alias("status"), nothing.alias("base_run_id"), F.lit(0).alias("lease_token"), c("at").alias("created_at")
+    )
+    payload = F.to_json(F.struct(c("workspace_id").alias("workspaceId"), c("project_id").alias("projectId"), c("run_id").alias("crawlId")))
+    outbox = made.select(F.inline(F.array(F.struct(
+        F.concat(c("run_id"), F.lit(":requested")).alias("event_id"), F.lit("crawl.requested").alias("type"), c("run_id").alias("aggregate_id"), F.lit(1).alias("payload_version"), payload.alias("payload"),
+        F.lit("PENDING").alias("status"), F.lit(0).alias("attempts"), c("at").alias("available_at"),
+    ))))
+    audit = made.select("workspace_id", "actor_id", F.lit("crawl.created").alias("action"), c("run_id").alias("resource_id"), F.to_json(F.struct(c("project_id").alias("projectId"), F.lit("MANUAL").alias("trigger"))).alias("details"), c("at").alias("created_at"))
+    return Admitted(decisions, runs, outbox, audit)
+
+
+def claims(events: DataFrame, kind: str, workers: list[str], limit: int, now: Column, claim_s: int = 30) -> DataFrame:
+    """What several workers claim at once: the first due events of a type, `limit` for each, dealt in turn, so no event goes to two
+    and each worker has its own in the order in which they wait. A claim has its worker, a batch number and an end; ack() takes
+    an answer only with the claim's token, so a worker whose claim has ended is fenced off.
+
+    The scan keeps a top-k of limit x workers; only these are ranked.
+    """
+    top = outbox_claim(events, kind, limit * len(workers), now)
+    place = F.row_number().over(Window.orderBy("available_at", "event_id")) - 1  # over limit x workers rows at most
+    dealt = top.withColumn("__n", place).withColumn("claimed_by", F.element_at(F.array(*map(F.lit, workers)), (F.col("__n") % len(workers)).cast("int") + 1))
+    turn = F.floor(F.col("__n") / len(workers)).cast("int")
+    token = F.concat_ws(":", "claimed_by", F.unix_micros(now.cast("timestamp")).cast("string"), F.col("event_id").cast("string"))
+    return dealt.withColumns({"claim_order": turn, "claim_token": token, "claim_until": _after(now, claim_s)}).drop("__n")
+
+
 def prune_counters(*counts: DataFrame) -> DataFrame:
     """Rows deleted in all, over the per-run counts of several tables."""
     out = counts[0].select("deleted")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import urls
-from tidewatch.operators import publish
+from tidewatch.operators import operations, publish
 from tidewatch.operators.ledger import Ledger
 from tidewatch.plans.catalogue import SUMMARY
 from tidewatch.plans.oracles import HOST, IDENTITY, ORACLES as BATCH
@@ -117,3 +117,54 @@ def publish_gate(spark, sf_dir):
     status = F.when(F.col("o_orderstatus") == "F", "FINALIZING").otherwise("CRAWLING")
     asked = o.select(k, status.alias("status"), (k % 5 == 0).alias("cancel_requested"), (k % 4 == 1).alias("published"), (c % 9 != 0).alias("same_project"), (c % 3 == k % 3).alias("token_matches"))
     return publish.publish_gate(asked).select("o_orderkey", "decision")
+
+
+# --- admission and claims
+
+
+_ASKED = """a AS (SELECT event_id AS id, user_id AS project_id, event_type AS actor, floor(epoch(ts))::BIGINT AS t, 'k' || event_id % 6 AS key, event_id % 11 * 900 AS lasts,
+    CASE WHEN event_id % 13 = 0 THEN 'FORBIDDEN' WHEN event_id % 29 = 0 THEN 'IDEMPOTENCY_KEY_REQUIRED' END AS early, CASE WHEN user_id % 17 = 0 THEN 'ARCHIVED' WHEN user_id % 19 = 0 THEN 'NOT_VERIFIED' END AS late,
+    row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS n FROM events)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_ASKED},
+    z AS (SELECT project_id, 0::BIGINT AS n, NULL::BIGINT AS id, ''::VARCHAR AS outcome, NULL::BIGINT AS run, 0::BIGINT AS until, -1000000::BIGINT AS last,
+      []::STRUCT(t BIGINT, k VARCHAR, i BIGINT)[] AS held FROM a GROUP BY project_id),
+    s AS (SELECT * FROM z UNION ALL
+      SELECT project_id, n, id, CASE WHEN early IS NOT NULL THEN early WHEN again IS NOT NULL THEN 'REPLAY' ELSE coalesce(refused, 'ACCEPTED') END,
+        CASE WHEN early IS NOT NULL THEN NULL WHEN again IS NOT NULL THEN again WHEN refused IS NULL THEN id END,
+        CASE WHEN ok THEN t + lasts ELSE until END, CASE WHEN ok THEN t ELSE last END, CASE WHEN ok THEN list_append(day, struct_pack(t := t, k := k, i := id)) ELSE day END
+      FROM (SELECT *, early IS NULL AND again IS NULL AND refused IS NULL AS ok FROM (SELECT *, list_filter(day, lambda x: x.k = k AND t < x.t + 86400)[1].i AS again,
+          coalesce(late, CASE WHEN until > t THEN 'ALREADY_ACTIVE' WHEN len(day) >= 10 THEN 'DAILY_LIMIT' WHEN last + 300 > t THEN 'SPACING' END) AS refused
+        FROM (SELECT a.project_id, a.n, a.id, a.t, a.lasts, a.early, a.late, a.actor || '|' || a.key AS k, s.until, s.last, list_filter(s.held, lambda x: x.t >= a.t - 86400) AS day
+          FROM s JOIN a ON a.project_id = s.project_id AND a.n = s.n + 1))))
+    SELECT project_id, id, outcome, CASE WHEN run IS NOT NULL THEN project_id || '/' || run END AS run_id, outcome = 'ACCEPTED' AS has_run, outcome = 'ACCEPTED' AS has_event, outcome = 'ACCEPTED' AS has_audit FROM s WHERE n > 0"""
+)
+def crawl_admission(spark, sf_dir):
+    """Every event as a request for a crawl of its user's project; what it comes to and what it writes."""
+    k, u = F.col("event_id"), F.col("user_id")
+    asked = load(spark, sf_dir, "events").select(
+        k.alias("id"), u.alias("project_id"), F.lit("w").alias("workspace_id"), F.col("event_type").alias("actor_id"), F.when(k % 13 == 0, "VIEWER").otherwise("MEMBER").alias("role"),
+        F.when(k % 29 == 0, "").otherwise(F.concat(F.lit("k"), k % 6)).alias("key"), F.col("ts").alias("at"), (k % 11 * 900).alias("lasts_s"), F.lit("p").alias("policy_id"),
+        F.lit(True).alias("project_exists"), (u % 17 == 0).alias("archived"), F.when(u % 19 == 0, "NOT_VERIFIED").alias("block_reason"),
+    )
+    got = operations.admit(asked)
+    there = lambda df, c, n: df.select(F.col(c).alias("run_id"), F.lit(True).alias(n))
+    own = got.decisions.withColumn("own", F.when(F.col("outcome") == "ACCEPTED", F.col("run_id")))
+    for df, c, n in ((got.runs, "run_id", "has_run"), (got.outbox, "aggregate_id", "has_event"), (got.audit, "resource_id", "has_audit")):
+        own = own.join(there(df, c, n).withColumnRenamed("run_id", "own"), "own", "left").withColumn(n, F.coalesce(n, F.lit(False)))
+    return own.drop("own")
+
+
+@query(
+    """SELECT event_id, ['w1', 'w2', 'w3'][((n - 1) % 3 + 1)::INT] AS claimed_by, ((n - 1) // 3)::INT AS claim_order FROM (
+      SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'click' AND event_id % 2 <> 0 AND ts <= TIMESTAMP '2024-01-20') WHERE n <= 60"""
+)
+def outbox_claims(spark, sf_dir):
+    """Twenty events for each of three workers."""
+    e = load(spark, sf_dir, "events").select(
+        "event_id", F.col("event_type").alias("type"), F.col("ts").alias("available_at"), F.when(F.col("event_id") % 2 == 0, F.col("ts")).alias("delivered_at"), F.lit(None).cast("timestamp_ntz").alias("claim_until")
+    )
+    got = operations.claims(e, "click", ["w1", "w2", "w3"], 20, F.lit("2024-01-20").cast("timestamp_ntz"))
+    return got.select("event_id", "claimed_by", "claim_order")

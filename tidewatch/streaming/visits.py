@@ -9,7 +9,9 @@ needs an answer that it has not got, and asks for those of all waiting URLs at o
 Fetching is relational: in each batch the asked URLs of all runs are judged by robots.txt, met with the archive, followed over
 redirects and searched for links together, and their answers become the stream's next input. So a level of links costs
 a batch, not a request a batch, and hosts are spread over the state's partitions. A run's state is bounded by its budgets
-(MAX_FRONTIER URLs); visited URLs keep their key only.
+(MAX_FRONTIER URLs). URLs that were visited are a state of their own, which is asked for single URLs and never read as a
+whole: the state store tells by its Bloom filters and, where these say maybe, exactly. So a batch costs what is waiting and
+what was found, however long the crawl has been.
 
 Time is the crawl's own: a wait moves the run's clock. State, asked URLs and visits survive a restart with the stream's
 checkpoint; a batch that is tried again overwrites what it wrote.
@@ -61,6 +63,7 @@ class Visits(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.run = handle.getValueState("run", "clock long, next_at long, pages long, bytes long, seq long, admitted long, truncated boolean, over boolean")
         self.frontier = handle.getMapState("frontier", "url string", "key string, depth int, tries int, due long, asked boolean, done boolean")
+        self.visited = handle.getMapState("visited", "url string", "seq long")
         self.answers = handle.getMapState("answers", "url string", "allowed boolean, lost int, outcome string, bytes long, links array<string>, ends int")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
@@ -73,13 +76,14 @@ class Visits(StatefulProcessor):
                 (seeds if r.kind == "seed" else answers).append(r)
         state = {k[0]: list(v) for k, v in self.frontier.iterator()} if seq or pages or admitted else {}
         at_hand = {k[0]: v for k, v in self.answers.iterator()} if state else {}
+        kept, again = set(state), bool(seq)
         touched, new = set(), {r.url: (r.allowed, r.lost, r.outcome, r.bytes, r.links, r.seq) for r in answers}
         waiting: list[tuple[int, int, str, str]] = []  # due, depth, key, url
         due: list[tuple[int, str, str]] = []
 
         def add(url: str, depth: int) -> None:
             nonlocal admitted, truncated
-            if len(url) > MAX_URL or url in state:
+            if len(url) > MAX_URL or url in state or (again and self.visited.containsKey((url,))):
                 return
             if admitted >= self.max_frontier:
                 truncated = True
@@ -90,9 +94,8 @@ class Visits(StatefulProcessor):
             touched.add(url)
             heapq.heappush(due, (depth, ukey, url))
 
-        for url, (ukey, depth, _, at, _, done) in state.items():
-            if not done:
-                heapq.heappush(waiting, (at, depth, ukey, url))
+        for url, (ukey, depth, _, at, _, _) in state.items():
+            heapq.heappush(waiting, (at, depth, ukey, url))
         for r in sorted(seeds, key=lambda r: (r.seq, key_of(r.url))):
             add(r.url, 0)
         out: list[dict] = []
@@ -145,7 +148,7 @@ class Visits(StatefulProcessor):
                     add(link, depth if i == end else depth + 1)
         if ended:
             out.append({"kind": "end", "seq": seq, "at_ms": clock, "pages": pages, "bytes": taken, "limit_reached": truncated, "body_budget_exceeded": over or taken > self.body_bytes})
-            for s in (self.frontier, self.answers, self.run):
+            for s in (self.frontier, self.visited, self.answers, self.run):
                 s.clear()
         else:
             for _, _, url in due:
@@ -154,7 +157,12 @@ class Visits(StatefulProcessor):
                     touched.add(url)
                     out.append({"kind": "want", "url": url})
             for url in touched:
-                self.frontier.updateValue((url,), tuple(state[url]))
+                if not state[url][5]:
+                    self.frontier.updateValue((url,), tuple(state[url]))
+                    continue
+                self.visited.updateValue((url,), (seq,))
+                if url in kept:
+                    self.frontier.removeKey((url,))
             for url, a in new.items():
                 if not state[url][5]:
                     self.answers.updateValue((url,), a)
