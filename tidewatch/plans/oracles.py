@@ -137,7 +137,7 @@ _ORDERS = """WITH r AS (
   SELECT lpad(o_orderkey::VARCHAR, 10, '0') AS run_id, o_custkey % 50 AS project_id, o_orderdate AS finished_at, CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'FAILED' ELSE 'CRAWLING' END AS status,
     CASE WHEN o_orderkey % 11 = 0 THEN lpad(((o_orderkey * 7) % 1000)::VARCHAR, 10, '0') END AS base_run_id, CASE WHEN o_orderkey % 13 = 0 THEN o_orderdate END AS details_expired_at FROM orders
 ) """
-_RETENTION = _ORDERS + """, prot AS (SELECT min(run_id) AS run_id FROM r GROUP BY project_id UNION SELECT base_run_id FROM r WHERE status = 'CRAWLING' AND base_run_id IS NOT NULL),
+RETENTION = _ORDERS + """, prot AS (SELECT min(run_id) AS run_id FROM r GROUP BY project_id UNION SELECT base_run_id FROM r WHERE status = 'CRAWLING' AND base_run_id IS NOT NULL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY finished_at DESC, run_id DESC) - 1 AS rank FROM r WHERE status <> 'CRAWLING' AND details_expired_at IS NULL),
 plan AS (SELECT run_id, project_id, rank FROM ranked WHERE (finished_at < TIMESTAMP '2000-06-01' - INTERVAL 900 DAY OR rank >= 100) AND run_id NOT IN (SELECT run_id FROM prot)) """
 _CURSOR = "rtrim(translate(to_base64(encode(strftime({t}, '%Y-%m-%dT%H:%M:%S.%g') || 'Z|' || {i})), '+/', '-_'), '=')"
@@ -254,8 +254,8 @@ ORACLES: dict[str, str] = {
         SELECT project_id, strftime(slot, '%Y-%m-%d %H:%M:%S') AS scheduled_for, status FROM occ SEMI JOIN first USING (project_id) WHERE status IS NOT NULL""",
     "schedule_next": _SCHEDULES + """SELECT k AS project_id, strftime(CASE WHEN nxt > TIMESTAMP '2026-02-01' THEN nxt ELSE nxt + to_days(((date_diff('day', nxt, TIMESTAMP '2026-02-01') // gap + 1) * gap)::INT) END, '%Y-%m-%d %H:%M:%S') AS next_run_at FROM s""",
     "schedule_counters": _SCHEDULES + "SELECT count(*) FILTER (status = 'TRIGGERED') AS triggered, count(*) FILTER (status = 'SKIPPED_MISSED') AS missed, count(*) FILTER (status LIKE 'SKIPPED%' AND status <> 'SKIPPED_MISSED') AS skipped FROM occ",
-    "retention_plan": _RETENTION + "SELECT * FROM plan",
-    "retention_effect": _RETENTION + "SELECT run_id, count(*) AS deleted FROM lineitem JOIN plan ON run_id = lpad(l_orderkey::VARCHAR, 10, '0') GROUP BY run_id",
+    "retention_plan": RETENTION + "SELECT * FROM plan",
+    "retention_effect": RETENTION + "SELECT run_id, count(*) AS deleted FROM lineitem JOIN plan ON run_id = lpad(l_orderkey::VARCHAR, 10, '0') GROUP BY run_id",
     "role_matrix": """SELECT r AS role, a AS action, rn <= ln AS allowed FROM (VALUES ('OWNER', 1), ('ADMIN', 2), ('MEMBER', 3), ('VIEWER', 4)) r(r, rn), (VALUES ('view', 4), ('run-crawl', 3), ('manage-project', 2), ('manage-members', 2), ('manage-owners', 1)) a(a, ln)""",
     "member_guard": _CHECKED + """SELECT k AS id, CASE WHEN CASE WHEN target = 'OWNER' OR new = 'OWNER' THEN actor <> 'OWNER' ELSE actor NOT IN ('OWNER', 'ADMIN') END THEN 'FORBIDDEN' WHEN NOT chg AND actor_id = target_id THEN 'SELF_REMOVAL'
         WHEN target = 'OWNER' AND (NOT chg OR new <> 'OWNER') AND owners <= 1 THEN 'LAST_OWNER' END AS error FROM m""",

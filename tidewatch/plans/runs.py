@@ -8,13 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.functions import urls
-from tidewatch.operators import operations, publish
+from tidewatch.functions import netclass, urls
+from tidewatch.operators import operations, publish, writes
 from tidewatch.operators.ledger import Ledger
-from tidewatch.plans.catalogue import SUMMARY
-from tidewatch.plans.oracles import HOST, IDENTITY, ORACLES as BATCH
-from tidewatch.plans.stored import observations, suppressions
-from tidewatch.sources.responses import responses
+from tidewatch.plans.catalogue import SUMMARY, retention_plan
+from tidewatch.plans.oracles import HOST, IDENTITY, RETENTION
+from tidewatch.plans.oracles import ORACLES as BATCH
+from tidewatch.plans.stored import observations, publication, suppressions
+from tidewatch.sources.responses import joined_headers, request_body, responses
 from tidewatch.sources.tables import load, shared_folder
 from tidewatch.sources.warc import read_archive, write_archive
 from tidewatch.streaming.visits import visit
@@ -168,3 +169,61 @@ def outbox_claims(spark, sf_dir):
     )
     got = operations.claims(e, "click", ["w1", "w2", "w3"], 20, F.lit("2024-01-20").cast("timestamp_ntz"))
     return got.select("event_id", "claimed_by", "claim_order")
+
+
+# --- single operators
+
+
+@query(
+    f"""SELECT run_id, issues_open + CASE WHEN urls_crawled % 2 = 0 THEN 1000 ELSE 0 END AS issues_open, coalesce(health_score, -1) AS health_score, comparison_mode
+    FROM ({BATCH["publish_summary"]})"""
+)
+def write_summary(spark, sf_dir):
+    """Every run's summary is written; those that were there already, here with other counts, stay as they are."""
+    new = publication(spark, sf_dir).summary.select("run_id", "issues_open", F.coalesce("health_score", F.lit(-1)).alias("health_score"), "comparison_mode", "urls_crawled")
+    there = new.filter(F.col("urls_crawled") % 2 == 0).withColumn("issues_open", F.col("issues_open") + 1000)
+    return writes.first_write_wins(there, new, ["run_id"]).drop("urls_crawled")
+
+
+@query(RETENTION + "SELECT ((SELECT count(*) FROM lineitem JOIN plan ON run_id = lpad(l_orderkey::VARCHAR, 10, '0')) + (SELECT count(*) FROM plan))::BIGINT AS deleted")
+def retention_counters(spark, sf_dir):
+    """Rows that retention deletes in all: line items and orders of the runs that go."""
+    plan = retention_plan(spark, sf_dir).select("run_id")
+    key = lambda c: F.lpad(F.col(c).cast("string"), 10, "0").alias("run_id")
+    counts = [writes.delete_details(load(spark, sf_dir, t).select(key(c)), plan)[1] for t, c in (("lineitem", "l_orderkey"), ("orders", "o_orderkey"))]
+    return operations.prune_counters(*counts)
+
+
+@query(f"SELECT page_id, CASE WHEN page_id % 3 > 0 THEN {IDENTITY} END AS identity FROM pages")
+def same_host(spark, sf_dir):
+    """The identity of every page's URL on its own host, and none on another."""
+    own = F.when(F.col("page_id") % 3 > 0, F.upper(urls.host_of(F.col("url")))).otherwise("other.example")
+    return load(spark, sf_dir, "pages").select("page_id", urls.same_host_identity(F.col("url"), own).alias("identity"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 6 < 2 THEN (event_id * 2654435761) % 4294967296 END AS number FROM events"""
+)
+def ipv4_literal(spark, sf_dir):
+    """Dotted quads, and what only looks like one: a part too large, a part too few, a sign, text behind it."""
+    n = F.pmod(F.col("event_id") * 2654435761, F.lit(2**32))
+    part = lambda k: (F.shiftright(n, k) % 256).cast("string")
+    quad, kind = F.concat_ws(".", part(24), part(16), part(8), part(0)), F.col("event_id") % 6
+    literal = F.when(kind < 2, quad).when(kind == 2, F.concat(F.lit("256."), part(16), F.lit(".1.1"))).when(kind == 3, F.concat_ws(".", part(24), part(16), part(8)))
+    literal = literal.when(kind == 4, F.concat(F.lit("-"), quad)).otherwise(F.concat(quad, F.lit(".example")))
+    return load(spark, sf_dir, "events").select("event_id", netclass.ipv4_number(literal).alias("number"))
+
+
+@query("""SELECT event_id, event_type || ', ' || (event_id % 3) || ', ' AS value FROM events""")
+def header_lines(spark, sf_dir):
+    """A header that came three times, the last time empty."""
+    return load(spark, sf_dir, "events").select("event_id", joined_headers(F.array("event_type", (F.col("event_id") % 3).cast("string"), F.lit(""))).alias("value"))
+
+
+@query("""SELECT event_id, event_id % 4 <> 0 AS json, CASE WHEN event_id % 4 <> 0 THEN event_id % 10 END AS page FROM events""")
+def request_bodies(spark, sf_dir):
+    """JSON bodies of requests, every fourth one broken."""
+    k = F.col("event_id")
+    text = F.concat(F.lit('{"page": '), k % 10, F.lit(', "who": ["'), F.col("event_type"), F.lit('"]'), F.when(k % 4 == 0, "").otherwise("}"))
+    body = request_body(text)
+    return load(spark, sf_dir, "events").select("event_id", body.isNotNull().alias("json"), F.variant_get(body, "$.page", "bigint").alias("page"))
