@@ -73,9 +73,13 @@ def changes(events: DataFrame, pages: DataFrame, summary: DataFrame, severity: s
     return shown.join(pages.select("project_id", "page_id", "identity_url"), ["project_id", "page_id"])
 
 
-def current_issues(states: DataFrame, runs: DataFrame) -> DataFrame:
-    """The present row of every issue in its project's current scope (that of the last run's policy)."""
-    scope = runs.groupBy("project_id").agg(F.max_by(F.struct("scope_generation", "rule_version"), "run_no").alias("s")).select("project_id", "s.*")
+def current_issues(states: DataFrame, runs: DataFrame, policies: DataFrame | None = None) -> DataFrame:
+    """The present row of every issue in its project's current scope: that of its current policy (policies: project_id,
+    scope_generation, rule_version, one row a project; one without has no issues), by default that of its last run's policy."""
+    if policies is not None:
+        scope = policies.select(*SCOPE)
+    else:
+        scope = runs.groupBy("project_id").agg(F.max_by(F.struct("scope_generation", "rule_version"), "run_no").alias("s")).select("project_id", "s.*")
     last = states.groupBy(*SCOPE, "page_id", "rule_key").agg(
         F.max_by(F.struct("state", "occurrence", "evidence"), "run_no").alias("s"), F.max("run_no").alias("last_run_no"), F.min("run_no").alias("first_run_no")
     )
@@ -115,6 +119,16 @@ def overview(summary: DataFrame, runs: DataFrame, pages: DataFrame, issues: Data
     )
 
 
+#: Rows that the dashboard shows of a project.
+SHOWN_CHANGES, SHOWN_ISSUES = 8, 10
+
+
+def shown_first(df: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The first n rows of each project: kept per task before they are shuffled."""
+    place = F.row_number().over(Window.partitionBy("project_id").orderBy(*order))
+    return df.withColumn("__n", place).filter(F.col("__n") <= n).drop("__n")
+
+
 def display_deductions(components: DataFrame) -> DataFrame:
     return components.filter("deduction > 0")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import netclass, urls
-from tidewatch.operators import operations, publish, writes
+from tidewatch.operators import accounts, operations, publish, writes
 from tidewatch.operators.ledger import Ledger
 from tidewatch.plans.catalogue import SUMMARY, retention_plan
 from tidewatch.plans.oracles import HOST, IDENTITY, RETENTION
@@ -227,3 +227,50 @@ def request_bodies(spark, sf_dir):
     text = F.concat(F.lit('{"page": '), k % 10, F.lit(', "who": ["'), F.col("event_type"), F.lit('"]'), F.when(k % 4 == 0, "").otherwise("}"))
     body = request_body(text)
     return load(spark, sf_dir, "events").select("event_id", body.isNotNull().alias("json"), F.variant_get(body, "$.page", "bigint").alias("page"))
+
+
+# --- control plane
+
+
+_ROLES = "['OWNER', 'ADMIN', 'MEMBER', 'VIEWER']"
+
+
+@query(
+    f"""WITH r AS (SELECT o_orderkey AS id, o_orderdate AS d, o_custkey AS c, o_custkey % 40 AS w, {_ROLES}[o_custkey % 4 + 1] AS role, 'h' || o_orderkey % 900 || '.example.com' AS host FROM orders),
+    f AS (SELECT *, CASE WHEN c % 6 = 5 OR role IN ('MEMBER', 'VIEWER') THEN 'FORBIDDEN' WHEN id % 11 = 0 THEN 'INVALID_INPUT' WHEN w = id % 900 % 40 THEN 'CONFLICT' END AS e FROM r)
+    SELECT id, coalesce(e, CASE WHEN row_number() OVER (PARTITION BY w, host ORDER BY e IS NOT NULL, d, id) > 1 THEN 'CONFLICT' END) AS error FROM f"""
+)
+def project_requests(spark, sf_dir):
+    """Every order as a request for a project in one of forty workspaces, some of which have the host name already."""
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    roles = F.array(*map(F.lit, ("OWNER", "ADMIN", "MEMBER", "VIEWER")))
+    o = load(spark, sf_dir, "orders")
+    asked = o.select(
+        k.alias("id"), F.col("o_orderdate").alias("at"), (c % 40).alias("workspace_id"), c.alias("actor_id"), F.lit("x").alias("display_name"),
+        F.when(k % 11 == 0, "no host").otherwise(F.concat(F.lit(" H"), k % 900, F.lit(".example.com. "))).alias("hostname"),
+    )
+    members = o.filter(c % 6 != 5).select((c % 40).alias("workspace_id"), c.alias("user_id"), F.get(roles, (c % 4).cast("int")).alias("role")).distinct()
+    there = spark.range(900).select((F.col("id") % 40).alias("workspace_id"), F.concat(F.lit("h"), "id", F.lit(".example.com")).alias("hostname"))
+    return accounts.create_projects(asked, there, members).decisions
+
+
+@query(
+    """WITH p AS (SELECT c_custkey AS p, c_custkey % 5 AS v, c_custkey % 3 AS s FROM customer),
+    r AS (SELECT o_orderkey AS id, o_orderdate AS d, o_custkey AS p, v, s FROM orders LEFT JOIN p ON o_custkey = p.p AND o_custkey % 7 <> 0),
+    f AS (SELECT *, CASE WHEN id % 9 = 0 THEN 'FORBIDDEN' WHEN v IS NULL THEN 'NOT_FOUND' WHEN v > 0 AND s = 0 THEN 'CONFLICT' END AS e FROM r),
+    g AS (SELECT *, coalesce(e, CASE WHEN row_number() OVER (PARTITION BY p ORDER BY e IS NOT NULL, d, id) > 1 THEN 'CONFLICT' END) AS error FROM f)
+    SELECT id, error, CASE WHEN error IS NULL THEN v + 1 ELSE 0 END::INT AS challenge_version FROM g"""
+)
+def verification_rotate(spark, sf_dir):
+    """Every order as a request for the next challenge of its customer's project."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    who = F.when(k % 9 == 0, "viewer").otherwise("owner")
+    asked = load(spark, sf_dir, "orders").select(k.alias("id"), F.col("o_orderdate").alias("at"), F.lit("w").alias("workspace_id"), who.alias("actor_id"), c.alias("project_id"))
+    members = spark.createDataFrame([("w", "viewer", "VIEWER"), ("w", "owner", "OWNER")], "workspace_id string, user_id string, role string")
+    customers = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project_id"))
+    own = customers.filter(F.col("project_id") % 7 != 0).select(F.lit("w").alias("workspace_id"), "project_id", F.concat(F.lit("h"), "project_id", F.lit(".example")).alias("hostname"))
+    n = F.col("project_id") % 5
+    done = customers.filter(n > 0).select("project_id", F.explode(F.sequence(F.lit(1), n.cast("int"))).alias("challenge_version"), F.when(F.col("project_id") % 3 == 0, "PENDING").otherwise("FAILED").alias("status"))
+    got = accounts.rotate_challenges(asked, own, done, members, F.concat(F.lit("c"), "id"))
+    rows = got.rows.select(F.substring("verification_id", 2, 20).cast("bigint").alias("id"), "challenge_version")
+    return got.decisions.join(rows, "id", "left").select("id", "error", F.coalesce("challenge_version", F.lit(0)).cast("int").alias("challenge_version"))
