@@ -15,7 +15,9 @@ longest_shared) but stay. REPORT is what fifty short words take up, so a passage
 seen even where it is shorter than WINDOW.
 
 Texts equal as a whole are met first by digest, and suffixes whose whole context is equal within a batch send one witness.
-The sample of splitters is bounded (SAMPLE pieces of 32 bytes) and moves balance only, never results.
+The sample of splitters is bounded (SAMPLE pieces of 32 bytes), so there are at most 2 x SAMPLE buckets, whatever the corpus. A
+bucket is read in the order of its leading bytes and sorted in parts of about HELD bytes, cut where these change, so a task's
+memory does not grow with its bucket; only suffixes that have their first 32 bytes in common are held together.
 
 Defined results: a null text is empty; a null doc_id is kept; a text that stands in several rows counts once per row (also
 if the rows share doc_id); invalid UTF-8 cannot occur in a string column, and what is kept is returned as binary, as
@@ -39,6 +41,8 @@ WINDOW, REPORT, GRAM = 400, 150, 32
 SAMPLE, LEADING = 8192, 32
 #: Bytes of text worked on at once: each takes some 80 bytes of arrays.
 PORTION = 1 << 20
+#: Bytes of contexts that are sorted at once; more only where they have their leading bytes in common.
+HELD = 8 << 20
 
 
 class Bytes:
@@ -211,8 +215,8 @@ def repeated_strings(contexts: list[bytes], near: np.ndarray, far: np.ndarray, w
 RANGES = "k bigint, rid bigint, lo int, hi int, cut int"
 
 
-def _sorted(window: int, report: int):
-    """From suffixes sorted by bucket: byte ranges [lo, hi) that repeat elsewhere. cut 1: as strings of window bytes, 0: of report bytes."""
+def _sorted(window: int, report: int, leading: int, most_held: int):
+    """From suffixes sorted by bucket and leading bytes: byte ranges [lo, hi) that repeat elsewhere. cut 1: as strings of window bytes, 0: of report bytes."""
     names = ["k", "rid", "lo", "hi", "cut"]
 
     def rows(k: np.ndarray, rid: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -233,7 +237,7 @@ def _sorted(window: int, report: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        now = None
+        now, last, size_held = None, None, 0
         for batch in batches:
             kind = batch.column("kind").to_numpy()
             if (kind == 1).any():
@@ -241,14 +245,25 @@ def _sorted(window: int, report: int):
                 k, rid, lo, hi, cut = (p.column(n).to_numpy() for n in ("k", "rid", "near", "far", "whole"))
                 yield rows(k, rid, [(hi > lo, lo, hi), (cut > lo, lo, cut)])
             batch = batch.filter(pa.array(kind == 0))
+            if not batch.num_rows:
+                continue
             route = batch.column("route").to_numpy()
-            cuts = np.flatnonzero(runs(route)).tolist() + [len(route)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if now is not None and route[a] != now:
-                    yield bucket(held)
-                    held = []
-                now = route[a]
-                held.append(batch.slice(a, b - a))
+            far = batch.column("far").to_numpy().tolist()
+            lead = [c[f : f + leading] for c, f in zip(batch.column("context").to_pylist(), far, strict=True)]
+            sizes = np.append(0, np.cumsum(np.fromiter(map(len, batch.column("context").to_pylist()), np.int64, batch.num_rows)))
+            at = 0  # where what is not held yet begins
+            for i in range(len(lead)):
+                new = route[i] != now
+                # a bucket may be cut wherever the leading bytes change: equal strings have equal anchors
+                if new or (lead[i] != last and size_held + sizes[i] - sizes[at] >= most_held):
+                    if i > at:
+                        held.append(batch.slice(at, i - at))
+                    if held:
+                        yield bucket(held)
+                    held, size_held, at = [], 0, i
+                now, last = route[i], lead[i]
+            held.append(batch.slice(at, len(lead) - at))
+            size_held += int(sizes[-1] - sizes[at])
         if held:
             yield bucket(held)
 
@@ -305,17 +320,19 @@ def sampled_splitters(rows: DataFrame, buckets: int, leading: int = LEADING) ->
     return np.unique(pieces[(np.arange(1, buckets) * len(pieces) // buckets)])
 
 
-def dedup_suffixes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str = "text", key: str = "doc_id", report: int = REPORT) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str = "text", key: str = "doc_id", report: int = REPORT, held: int = HELD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (bytes left) of every row; n_shared (bytes in strings
     of report bytes that also start elsewhere) and longest_shared (the longest run of them)."""
     limits(docs.sparkSession)
     report = min(report, window)
     rows = keyed(docs, text, key)
     copies = whole_copies(rows)
-    splitters = sampled_splitters(rows, 16 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(LEADING, gram))
+    leading = min(LEADING, gram)
+    splitters = sampled_splitters(rows, 16 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), leading)
     hits = repeated_anchors(rows, copies, _found(report, gram), PORTION)
     suffixes = rows.join(hits, ["k", "rid"]).select("doc_id", "k", "rid", "text", "hs").mapInArrow(_suffixes(window, report, gram, splitters), SUFFIXES)
-    ranges = suffixes.repartition("route").sortWithinPartitions("route").mapInArrow(_sorted(window, report), RANGES)
+    lead = F.expr(f"substring(context, far + 1, {leading})")
+    ranges = suffixes.repartition("route").sortWithinPartitions("route", lead).mapInArrow(_sorted(window, report, leading, held), RANGES)
     ranges = ranges.groupBy("k", "rid").agg(F.collect_list(F.struct("lo", "hi", "cut")).alias("ranges"))
     joined = rows.join(ranges, ["k", "rid"], "left").join(copies.select("k", "rid", F.lit(True).alias("copied")), ["k", "rid"], "left")
     return joined.select("doc_id", "text", "ranges", "copied").mapInArrow(_removed(window, report), RESULT)
