@@ -118,3 +118,13 @@ def test_empty_and_repeated_rows(spark):
     twice = spark.createDataFrame([(1, text, "", ""), (1, text, "", "")], SCHEMA)
     assert [(r.n_words, r.n_removed) for r in dedup_substrings(twice).collect()] == [(200, 0)] * 2  # one and the same place
     assert [r.n_removed for r in dedup_suffixes(twice).collect()] == [len(text)] * 2
+
+
+def test_buckets_far_above_the_limit(spark):
+    """Every bucket is cut wherever its leading bytes change: nothing is lost between the parts."""
+    rows = corpus(11, [f"w{i}" for i in range(40)], n=150)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for held in (1, 2000):
+        got = {r.doc_id: r for r in dedup_suffixes(df, window=30, gram=6, report=14, held=held).collect()}
+        assert {k: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for k, r in got.items()} == brute_bytes(rows, 30)
+        assert {k: r.n_shared for k, r in got.items()} == {k: v[1] for k, v in brute_bytes(rows, 14).items()}
