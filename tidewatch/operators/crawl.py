@@ -19,6 +19,8 @@ from tidewatch.sources.responses import RUN_CAP
 
 # Budgets of a run (pages, frontier, duration at one request per interval), fetches of a lost URL, longest URL.
 MAX_PAGES, MAX_FRONTIER, MAX_MS, INTERVAL_MS, TRIES, MAX_URL = 5000, 20_000, 120 * 60_000, 1000, 3, 8192
+#: Budgets of a run that ends with its frontier alone, however large its host is.
+NO_BUDGETS = dict.fromkeys(("max_pages", "body_bytes", "max_frontier", "max_ms"), 1 << 60)
 
 
 def observe(fetched: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import netclass, urls
 from tidewatch.operators import accounts, operations, publish, writes
+from tidewatch.operators.crawl import NO_BUDGETS
 from tidewatch.operators.ledger import Ledger
 from tidewatch.plans.catalogue import SUMMARY, retention_plan
 from tidewatch.plans.oracles import HOST, IDENTITY, RETENTION
@@ -84,11 +85,11 @@ def archive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 )
 def crawl_visits(spark, sf_dir):
     """The whole crawl of every host as a stream, discovery included, from an archive of WARC files; what became of the monitored
-    pages."""
+    pages, all of them as its SQL has it, so runs have no budgets."""
     answers, pages = archive(spark, sf_dir)
     folder = _folder(spark)
     write_archive(answers.repartition(spark.sparkContext.defaultParallelism), f"{folder}/archive")
-    seen, _ = visit(pages.select("host").distinct(), pages, read_archive(spark, f"{folder}/archive"), folder)
+    seen, _ = visit(pages.select("host").distinct(), pages, read_archive(spark, f"{folder}/archive"), folder, **NO_BUDGETS)
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     own = seen.join(pages.select(F.col("host").alias("run_id"), "url").distinct(), ["run_id", "url"], "left_semi")
     return own.select("run_id", "url", "fetch_outcome", "tries", zero("initial_status"), zero("final_status"), zero("chain"), F.col("field_validity")["title"].alias("validity"))
