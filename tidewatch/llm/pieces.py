@@ -53,6 +53,8 @@ class Pieces:
         self.char = {c: self.id.get(c, n + k) for k, c in enumerate(chars)}  # from n on: characters that are no piece
         self.lone = {n + k: c for k, c in enumerate(chars) if c not in self.id}
         self.other = self.span = n + len(chars)
+        self.symbol = np.full(0x110000, self.other, np.int32)  # of each code point
+        self.symbol[[ord(c) for c in self.char]] = list(self.char.values())
         part = lambda s: self.id.get(s) if s in self.id else self.char[s] if len(s) == 1 else None
         found = {}
         for i in usual:
@@ -79,12 +81,10 @@ class Pieces:
         at = np.searchsorted(self.keys, key)
         return np.where(self.keys[at] == key, self.to[at], -1)
 
-    def merge(self, words: list[list[int]]) -> list[np.ndarray]:
-        """Symbols of each word after all merges."""
-        done: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        sym = np.fromiter((s for w in words for s in w), np.int32, int(size.sum()))
-        word = np.repeat(np.arange(len(words)), size)
+    def merge(self, sym: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of words of these sizes, one word after the other, after all merges; and the words' new sizes."""
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # of words without a pair left: symbols, words, sizes
+        word = np.repeat(np.arange(len(size), dtype=np.int32), size)
         new = np.full(len(sym), -1, np.int32)
         inside = np.flatnonzero(word[1:] == word[:-1])
         new[inside] = self.pairs(sym[inside], sym[inside + 1])
@@ -95,9 +95,8 @@ class Pieces:
             ended = least == NONE
             sizes = np.diff(np.r_[starts, len(sym)])
             if ended.any():
-                for k in np.flatnonzero(ended).tolist():
-                    done[word[starts[k]]] = sym[starts[k] : starts[k] + sizes[k]].copy()
                 stay = np.repeat(~ended, sizes)
+                done.append((sym[~stay], word[starts[ended]], sizes[ended]))
                 sym, word, new, rank = sym[stay], word[stay], new[stay], rank[stay]
                 least, sizes = least[~ended], sizes[~ended]
                 if not len(sym):
@@ -114,7 +113,10 @@ class Pieces:
             moved = np.cumsum(keep) - 1
             sym, word, new, rank = sym[keep], word[keep], new[keep], rank[keep]
             at = moved[at]
-            touched = np.unique(np.r_[at, at[at > 0] - 1])
+            beside = np.zeros(len(sym), bool)
+            beside[at] = True
+            beside[at[at > 0] - 1] = True
+            touched = np.flatnonzero(beside)
             last = np.append(word[1:] != word[:-1], True)[touched]
             new[touched] = -1
             rank[touched] = NONE
@@ -122,41 +124,52 @@ class Pieces:
             made = self.pairs(sym[touched], sym[touched + 1])
             new[touched] = made
             rank[touched] = np.where(made >= 0, self.rank[made], NONE)
-        return done
+        left = np.zeros(len(size), np.int64)
+        for _, of, n in done:
+            left[of] = n
+        begin = np.cumsum(left) - left
+        out = np.empty(int(left.sum()), np.int32)
+        for ids, of, n in done:
+            out[np.arange(len(ids)) + np.repeat(begin[of] - (np.cumsum(n) - n), n)] = ids
+        return out, left
 
     def encode_words(self, words: list[str]) -> None:
         """Encodes words into the cache."""
-        char, other, lone = self.char, self.other, self.lone
         parts: list[str] = []
-        of: list[int] = []
+        cut: list[tuple[int, int, int]] = []  # words of several parts: word, its first part, behind its last one
         for k, w in enumerate(words):
             if len(w) <= LONG:
                 parts.append(w)
-                of.append(k)
             else:
-                a = 0
+                a, first = 0, len(parts)
                 for b in range(1, len(w) + 1):
                     if b == len(w) or w[b - 1 : b + 1] not in self.beside:
                         parts.append(w[a:b])
-                        of.append(k)
                         a = b
-        merged = self.merge([[char.get(c, other) for c in p] for p in parts])
-        out: list[list[bytes]] = [[] for _ in words]
-        for p, k, ids in zip(parts, of, merged, strict=True):
-            if len(ids) and int(ids.max()) >= self.n:  # characters that are no piece fall back to bytes
-                flat: list[int] = []
-                at = 0
-                for s in ids.tolist():
-                    if s >= self.n:
-                        flat += self.byte[list(p[at].encode("utf-8", "surrogatepass"))].tolist()
-                        at += 1
-                    else:
-                        flat.append(s)
-                        at += self.length(s)
-                ids = np.array(flat, np.int32)
-            out[k].append(ids.tobytes())
-        for w, ids in zip(words, out, strict=True):
-            self.cache[w] = b"".join(ids)
+                cut.append((k, first, len(parts)))
+        points = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        ids, sizes = self.merge(self.symbol[points], np.fromiter(map(len, parts), np.int64, len(parts)))
+        ends = np.cumsum(sizes)
+        raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+        out = [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        for k in np.unique(np.searchsorted(ends, np.flatnonzero(ids >= self.n), "right")).tolist():
+            out[k] = self.fallen(parts[k], ids[at[k] // 4 : at[k + 1] // 4])
+        for k, first, last in reversed(cut):
+            out[first:last] = [b"".join(out[first:last])]
+        self.cache.update(zip(words, out, strict=True))
+
+    def fallen(self, part: str, ids: np.ndarray) -> bytes:
+        """The ids of a part with characters that are no piece, which fall back to bytes."""
+        flat: list[int] = []
+        at = 0
+        for s in ids.tolist():
+            if s >= self.n:
+                flat += self.byte[list(part[at].encode("utf-8", "surrogatepass"))].tolist()
+                at += 1
+            else:
+                flat.append(s)
+                at += self.length(s)
+        return np.array(flat, np.int32).tobytes()
 
     def length(self, piece: int) -> int:
         return len(self.shown[self.shown_at[piece] : self.shown_at[piece + 1]].tobytes().decode())
