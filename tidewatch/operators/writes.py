@@ -41,8 +41,11 @@ def guarded_update(df: DataFrame, precondition: Column, values: dict[str, Column
 
 
 def delete_details(details: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Details left after those of runs go, and the number that goes per run."""
-    gone = details.join(runs.select("run_id"), "run_id", "left_semi").groupBy("run_id").agg(F.count(F.lit(1)).alias("deleted"))
+    """Details left after those of runs go, and the number that goes per run. Details and runs meet by being counted together: a
+    task holds a count per run and sorts no details, and no table of runs is sent to every task."""
+    both = details.select("run_id", F.lit(1).alias("n"), F.lit(False).alias("goes")).unionByName(runs.select("run_id", F.lit(0).alias("n"), F.lit(True).alias("goes")))
+    counted = both.filter("run_id is not null").groupBy("run_id").agg(F.sum("n").alias("deleted"), F.bool_or("goes").alias("goes"))
+    gone = counted.filter("goes and deleted > 0").select("run_id", "deleted")
     return details.join(runs.select("run_id"), "run_id", "left_anti"), gone
 
 
